@@ -381,7 +381,7 @@ ANCHOR = r"""(?is)<a\b[^>]*?href\s*=\s*["']([^"'#]+)["'][^>]*>(.*?)</a>"""
 NAV_LABEL = (
     r"(?i)^(?:students?|interns?|internships?|co-?ops?|new\s+grads?|graduates?|"
     r"early\s+careers?|early\s+talent|university|campus|programs?|opportunities|jobs|careers|"
-    r"recent\s+grads|and|&|[\s,/&-])++(?:jobs|program|programs|opportunities)?$"
+    r"recent\s+grads|and|[\s,/&-])+(?:jobs|program|programs|opportunities)?$"
 )
 JOB_LINK = r"(?i)job|career|position|opening|posting|apply|vacanc|req"
 JSONLD_SCRIPT = (

@@ -21,6 +21,7 @@ def local_session(cpus: str = "8", memory: str = "8g", app: str = "jobsluice") -
     builder = (
         SparkSession.builder.master(f"local[{cpus}]").appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
     )
