@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from jobsluice.functions import vocab
 
 BLANKS = " \t\n\r\x0b\x0c\x85 "
-JSON_TOKEN = r'"(?:[^"\\]|\\.)*+"(?:\s*:)?|true|[\[\]{}]'
+JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*:)?|true|[\[\]{}]'
 MAX_NESTING = 4
 
 

@@ -1 +1,3 @@
 """Landed payloads to posting rows, one function per board platform."""
+
+from jobsluice.sources import json_boards, markup_boards  # noqa: F401  (register themselves)
