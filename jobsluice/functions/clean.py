@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobsluice.functions import vocab
 
@@ -15,7 +16,7 @@ JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*:)?|true|[\[\]{}]'
 MAX_NESTING = 4
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_html(text: pd.Series) -> pd.Series:
     """HTML entities decoded; the engine has no built-in for the entity table."""
     return text.map(lambda s: html.unescape(s) if s is not None and "&" in s else s)

@@ -17,6 +17,7 @@ from jobsluice.session import materialise
 from jobsluice.settings import DEFAULT, Settings
 
 KEYS = ["key_fp", "key_req", "key_host"]
+ORDER = "decimal(38,0)"
 MAX_ROUNDS = 50
 
 
@@ -84,7 +85,8 @@ class Groups(NamedTuple):
     merged: DataFrame     # old_group -> group_id, for roles that became one
 
 
-def assign_groups(rows: DataFrame, stored_keys: DataFrame, cfg: Settings = DEFAULT) -> Groups:
+def assign_groups(rows: DataFrame, stored_keys: DataFrame, as_of: int,
+                  cfg: Settings = DEFAULT) -> Groups:
     """Give each row its role.
 
     ``rows`` need uid, company, title, url and seq (arrival order), and may
@@ -123,14 +125,15 @@ def assign_groups(rows: DataFrame, stored_keys: DataFrame, cfg: Settings = DEFAU
 
     # Candidates for a component's id: stored roles by age first, then arrivals.
     from_store = known.select(F.col("key").alias("node"), F.struct(
-        F.lit(0).alias("rank"), F.col("since").alias("at"), F.col("group_id").alias("id")
+        F.lit(0).alias("rank"), F.col("since").cast(ORDER).alias("at"),
+        F.col("group_id").alias("id")
     ).alias("c"))
     held = tuples.where(F.col("stored_group").isNotNull()).select(
         F.col("key_fp").alias("node"), F.struct(
-            F.lit(0).alias("rank"), F.coalesce("since", F.lit(0)).cast("bigint").alias("at"),
+            F.lit(0).alias("rank"), F.coalesce("since", F.lit(0)).cast(ORDER).alias("at"),
             F.col("stored_group").alias("id")).alias("c"))
     arrived = batch_keys.select(F.col("key").alias("node"), F.struct(
-        F.lit(1).alias("rank"), F.col("first.seq").cast("bigint").alias("at"),
+        F.lit(1).alias("rank"), F.col("first.seq").cast(ORDER).alias("at"),
         F.col("first.uid").alias("id")).alias("c"))
     candidates = from_store.unionByName(held).unionByName(arrived).groupBy("node").agg(
         F.min("c").alias("c"))
@@ -142,7 +145,8 @@ def assign_groups(rows: DataFrame, stored_keys: DataFrame, cfg: Settings = DEFAU
         placed.select("node", "component"), names.drop("n"), ["component"], ["node"],
         counts=names.select("component", "n"), how="inner", cfg=cfg).select(
             F.col("node").alias("key"), F.col("c.id").alias("group_id"),
-            F.col("c.at").alias("since"), "component"), "labels")
+            F.when(F.col("c.rank") == 0, F.col("c.at")).otherwise(F.lit(as_of))
+            .cast("bigint").alias("since")), "labels")
 
     by_fp = labels.select(F.col("key").alias("key_fp"), "group_id")
     per_fp = tuples.groupBy("key_fp").agg(F.sum("n").alias("n"))
@@ -174,7 +178,7 @@ def regroup(jobs: DataFrame, merged: DataFrame, cfg: Settings = DEFAULT) -> Data
     return joined.withColumn("group_id", F.coalesce("_to", "group_id")).select(*jobs.columns)
 
 
-def refresh_url(jobs: DataFrame, seen: DataFrame, stored_keys: DataFrame,
+def refresh_url(jobs: DataFrame, seen: DataFrame, stored_keys: DataFrame, as_of: int,
                 cfg: Settings = DEFAULT) -> Groups:
     """Stored rows whose short link has since been resolved, under their real link.
 
@@ -192,7 +196,7 @@ def refresh_url(jobs: DataFrame, seen: DataFrame, stored_keys: DataFrame,
         F.coalesce("group_id", "uid").alias("stored_group"),
         F.col("first_seen").alias("stored_since"))
     changed = materialise(changed, "relinked")
-    groups = assign_groups(changed, stored_keys, cfg)
+    groups = assign_groups(changed, stored_keys, as_of, cfg)
     relinked = jobs.join(changed.select("uid", F.col("url").alias("_url")), "uid", "left")
     relinked = relinked.withColumn("url", F.coalesce("_url", "url")).select(*jobs.columns)
     return Groups(regroup(relinked, groups.merged, cfg), groups.keys, groups.merged)
