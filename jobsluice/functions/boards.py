@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobsluice.functions import vocab
 from jobsluice.functions.clean import authority
 
 
-def _board(platform: str, token: Column, when: Column) -> Column:
-    return F.when(when, F.struct(F.lit(platform).alias("platform"), token.alias("token")))
-
-
 def workday_token(tenant: Column, wd: Column, site: Column) -> Column:
     return F.concat(F.lit("https://"), tenant, F.lit("."), wd, F.lit(".myworkdayjobs.com/wday/cxs/"),
                     tenant, F.lit("/"), site, F.lit("/jobs"))
@@ -23,38 +19,60 @@ def eightfold_token(name: Column) -> Column:
     return F.concat(low, F.lit(".eightfold.ai|"), low, F.lit(".com"))
 
 
-def board_from_url(url: Column) -> Column:
-    """The board a posting link belongs to, as struct(platform, token) or null."""
+def board_of(url: Column) -> Column:
+    """The board a posting link belongs to, as "platform token", or null.
+
+    A plain text, so that the long chain of patterns is evaluated once; use
+    ``with_board`` to add it to rows as two columns.
+    """
     link = F.coalesce(url, F.lit(""))
 
-    def part(pattern: str, group: int = 1) -> Column:
-        return F.regexp_extract(link, pattern, group)
+    def whole(pattern: str, shape: str) -> Column:
+        """The shape filled from the groups of a matching link."""
+        flags = "(?i)" if pattern.startswith("(?i)") else ""
+        full = f"(?s){flags}^.*?{pattern.removeprefix('(?i)')}.*$"
+        return F.when(link.rlike(pattern), F.regexp_replace(link, full, shape))
 
     def site(platform: str, pattern: str, suffix: str = "") -> Column:
-        token = F.concat(F.lit("https://"), F.lower(part(pattern)), F.lit(suffix))
-        return _board(platform, token, link.rlike(pattern))
+        host = F.lower(F.regexp_extract(link, pattern, 1))
+        return F.when(host != "", F.concat(F.lit(f"{platform} https://"), host, F.lit(suffix)))
 
-    wd, wds, orc = vocab.WORKDAY_POSTING, vocab.WORKDAY_SITE_POSTING, vocab.ORACLE_POSTING
+    cxs = ".myworkdayjobs.com/wday/cxs/"
+    oracle = vocab.ORACLE_POSTING
+    eightfold = F.regexp_extract(link, vocab.EIGHTFOLD_POSTING, 1)
     boards = [
-        _board("workday", workday_token(part(wd, 1), part(wd, 2), part(wd, 3)), link.rlike(wd)),
-        _board("workday", workday_token(part(wds, 2), part(wds, 1), part(wds, 3)),
-               link.rlike(wds)),
-        _board("oracle", F.concat(F.lit("https://"), F.lower(part(orc, 1)), F.lit("|"),
-                                  part(orc, 2)), link.rlike(orc)),
-        _board("eightfold", eightfold_token(part(vocab.EIGHTFOLD_POSTING)),
-               link.rlike(vocab.EIGHTFOLD_POSTING)),
+        whole(vocab.WORKDAY_POSTING, f"workday https://$1.$2{cxs}$1/$3/jobs"),
+        whole(vocab.WORKDAY_SITE_POSTING, f"workday https://$2.$1{cxs}$2/$3/jobs"),
+        F.when(link.rlike(oracle), F.concat(
+            F.lit("oracle https://"), F.lower(F.regexp_extract(link, oracle, 1)), F.lit("|"),
+            F.regexp_extract(link, oracle, 2))),
+        F.when(eightfold != "", F.concat(F.lit("eightfold "), eightfold_token(eightfold))),
         site("jibe", vocab.JIBE_POSTING),
         site("icims", vocab.ICIMS_POSTING),
         site("successfactors", vocab.SUCCESSFACTORS_POSTING,
              "/search/?q=&locationsearch=Ontario"),
     ]
     for platform, pattern in vocab.SLUG_POSTINGS:
-        slug = part(pattern)
-        named = (slug != "") & ~F.lower(slug).isin(vocab.TOKEN_NOISE)
-        boards.append(_board(platform, slug, named))
+        slug = F.regexp_extract(link, pattern, 1)
+        named = ~F.lower(slug).isin("", *vocab.TOKEN_NOISE)
+        boards.append(F.when(named, F.concat(F.lit(f"{platform} "), slug)))
     return F.coalesce(*boards)
 
 
+def with_board(rows: DataFrame, keep_all: bool = False) -> DataFrame:
+    """Adds ``platform`` and ``token`` of the board each row's ``url`` belongs to.
+
+    Rows that name no board are dropped unless ``keep_all``. The array
+    generator keeps the optimiser from repeating the patterns in a filter.
+    """
+    found = F.array(board_of(F.col("url")))
+    one = F.explode(found if keep_all else F.array_compact(found)).alias("_board")
+    return rows.select("*", one).withColumns({
+        "platform": F.split_part("_board", F.lit(" "), F.lit(1)),
+        "token": F.split_part("_board", F.lit(" "), F.lit(2)),
+    }).drop("_board")
+
+
 def board_key(platform: Column, token: Column) -> Column:
     """Case-insensitive identity of a board; a SuccessFactors board is its site."""
     whole = F.lower(F.regexp_replace(token, "/+$", ""))

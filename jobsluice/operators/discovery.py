@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobsluice.functions import vocab
 from jobsluice.functions.boards import (
-    board_from_url, board_key, eightfold_token, is_denied_board, workday_token)
+    board_key, eightfold_token, is_denied_board, with_board, workday_token)
 from jobsluice.functions.classify import classify
 from jobsluice.functions.clean import bare_host, location_blob, on_domain
 from jobsluice.functions.dates import DAY
@@ -50,11 +50,10 @@ def discover_boards(rows: DataFrame, configured: DataFrame, canadian_only: bool
 
     ``rows`` are postings with ``seq``; ``configured(platform, token)``.
     """
-    linked = rows.withColumn("_board", board_from_url(F.col("url"))).where(
-        F.col("_board").isNotNull())
+    linked = with_board(rows)
     if canadian_only:
         linked = linked.where(in_canada(_place()))
-    linked = linked.select("company", "seq", "_board.platform", "_board.token").withColumn(
+    linked = linked.select("company", "seq", "platform", "token").withColumn(
         "key", board_key(F.col("platform"), F.col("token")))
     boards = _most_linked(linked, "key", ["platform", "token"])
     known = configured.select(board_key(F.col("platform"), F.col("token")).alias("key")).distinct()
@@ -67,9 +66,9 @@ def unplaced_hosts(rows: DataFrame, configured: DataFrame) -> DataFrame:
     """Hosts of Canadian postings that no board pattern knows, most linked first."""
     taken = configured.select(F.split_part("token", F.lit("|"), F.lit(1)).alias("t")).where(
         F.col("t").startswith("http")).select(bare_host(F.col("t")).alias("host")).distinct()
-    found = rows.withColumn("host", bare_host(F.col("url"))).where(
-        (F.col("host") != "") & board_from_url(F.col("url")).isNull()
-        & ~on_domain(F.col("host"), vocab.DENIED_HOSTS))
+    hosted = rows.withColumn("host", bare_host(F.col("url"))).where(
+        (F.col("host") != "") & ~on_domain(F.col("host"), vocab.DENIED_HOSTS))
+    found = with_board(hosted, keep_all=True).where(F.col("platform").isNull())
     canadian = found.where(in_canada(_place())).select("company", "seq", "url", "host")
     hosts = _most_linked(canadian, "host", ["url"]).join(taken, "host", "left_anti")
     return hosts.select("host", "url", F.coalesce("name", "host").alias("name"), "hits", "seq") \
