@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["expressions"]
+MODULES = ["expressions", "boards"]
 
 
 def _load() -> None:
