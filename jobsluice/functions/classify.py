@@ -115,10 +115,10 @@ def classify(df: DataFrame, as_of: int | Column, cfg: Settings = DEFAULT,
     levelled = text.withColumn("_level", F.when(~is_reject(F.col("_all")), level))
     placed = levelled.withColumn(
         "_scope", F.when(F.col("_level") > 0, location_scope(F.col("_place"))))
-    dated = placed.withColumn("_cycle", F.when(
-        F.col("_scope").isin("ontario", "canada"),
-        cycle_verdict(parse_cycles(
-            F.concat(F.col("_all"), F.lit(" | "), F.col("_terms")), as_of, cfg), cfg)))
+    cycles = parse_cycles(F.concat(F.col("_all"), F.lit(" | "), F.col("_terms")), as_of, cfg)
+    dated = placed.withColumn(
+        "_cycles", F.when(F.col("_scope").isin("ontario", "canada"), cycles))
+    dated = dated.withColumn("_cycle", cycle_verdict(F.col("_cycles"), cfg))
     open_ = F.col("_cycle") != "past"
     titled = dated.withColumn(
         "_ai", F.when(open_, F.coalesce(F.col("ai_native"), F.lit(False)) | has_ai_signal(title)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -83,22 +84,25 @@ def flatten_json(text: Column, enclosing: int = 0) -> Column:
     return F.coalesce(decoded, F.array().cast("array<string>"))
 
 
-def blob(*parts: Column) -> Column:
-    """Non-empty strings of several arrays, joined by bars."""
-    arrays = [F.coalesce(p, F.array().cast("array<string>")) for p in parts]
-    kept = F.filter(F.concat(*arrays), lambda x: F.coalesce(x, F.lit("")) != "")
-    return F.array_join(kept, " | ")
+def _said(text: Column) -> Column:
+    return F.nullif(text, F.lit(""))
 
 
 def location_blob(location: Column, loc_extra: Column, country: Column,
                   employment_type: Column) -> Column:
     """Every field that may carry a place, as one text."""
-    return blob(F.array(location), loc_extra, F.array(country, employment_type))
+    return F.concat_ws(" | ", _said(location), F.array_remove(loc_extra, ""), _said(country),
+                       _said(employment_type))
 
 
 def cycle_blob(cycle_extra: Column, employment_type: Column) -> Column:
     """Every field outside the title that may carry a work term, as one text."""
-    return blob(cycle_extra, F.array(employment_type))
+    return F.concat_ws(" | ", F.array_remove(cycle_extra, ""), _said(employment_type))
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
 
 
 def strip_tags(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobsluice.functions import vocab
+from jobsluice.functions.clean import let
 from jobsluice.functions.dates import at
 from jobsluice.settings import DEFAULT, Settings
 
@@ -27,10 +28,11 @@ def _full_year(digits: Column) -> Column:
     return F.when(year < 100, year + 2000).otherwise(year)
 
 
-def _dated(text: Column, pattern: str, season_group: int, year_group: int) -> Column:
-    seasons = F.regexp_extract_all(text, F.lit(_CI + pattern), F.lit(season_group))
-    years = F.regexp_extract_all(text, F.lit(_CI + pattern), F.lit(year_group))
-    return F.zip_with(seasons, years, lambda s, y: _full_year(y) * 100 + _month(s))
+def _dated(text: Column, pattern: str) -> Column:
+    """Terms of every match: its letters are the season, its digits the year."""
+    matches = F.regexp_extract_all(text, F.lit(_CI + pattern), F.lit(0))
+    return F.transform(matches, lambda m: _full_year(
+        F.regexp_extract(m, r"(\d+)", 1)) * 100 + _month(F.regexp_extract(m, "([A-Za-z]+)", 1)))
 
 
 def parse_cycles(text: Column, as_of: int | Column, cfg: Settings = DEFAULT) -> Column:
@@ -42,16 +44,16 @@ def parse_cycles(text: Column, as_of: int | Column, cfg: Settings = DEFAULT) ->
     text = F.coalesce(text, F.lit(""))
     rest = F.regexp_replace(text, _CI + vocab.CYCLE_SEASON_FIRST, " ")
     dated = F.concat(
-        _dated(text, vocab.CYCLE_SEASON_FIRST, 1, 2),
-        _dated(rest, vocab.CYCLE_YEAR_FIRST, 2, 1),
-        _dated(text, vocab.CYCLE_SHORT, 1, 2),
+        _dated(text, vocab.CYCLE_SEASON_FIRST),
+        _dated(rest, vocab.CYCLE_YEAR_FIRST),
+        _dated(text, vocab.CYCLE_SHORT),
     )
     utc = F.to_utc_timestamp(F.timestamp_seconds(at(as_of)), F.current_timezone())
     today = F.from_utc_timestamp(utc, cfg.timezone)
     bare = F.transform(
         F.regexp_extract_all(text, F.lit(_CI + vocab.CYCLE_BARE), F.lit(1)),
         lambda s: (F.year(today) + (_month(s) < F.month(today)).cast("int")) * 100 + _month(s))
-    found = F.when(F.size(dated) > 0, dated).otherwise(bare)
+    found = let(dated, lambda terms: F.when(F.size(terms) > 0, terms).otherwise(bare))
     return F.when(text.rlike(_HINT), F.array_sort(F.array_distinct(found))).otherwise(
         F.array().cast(_NONE))
 
@@ -59,7 +61,8 @@ def parse_cycles(text: Column, as_of: int | Column, cfg: Settings = DEFAULT) ->
 def cycle_verdict(cycles: Column, cfg: Settings = DEFAULT) -> Column:
     """target, later, earlier, past, or unknown when no term is named."""
     return (
-        F.when(F.size(cycles) == 0, "unknown")
+        F.when(cycles.isNull(), None)
+        .when(F.size(cycles) == 0, "unknown")
         .when(F.exists(cycles, lambda c: c.between(cfg.first_target, cfg.last_target)), "target")
         .when(F.exists(cycles, lambda c: c > cfg.last_target), "later")
         .when(F.exists(cycles, lambda c: (c >= cfg.live_from) & (c < cfg.first_target)), "earlier")

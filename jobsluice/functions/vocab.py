@@ -11,8 +11,16 @@ from collections.abc import Iterable
 
 
 def any_of(terms: Iterable[str]) -> str:
-    """One case-insensitive, Unicode-aware alternation."""
-    return "(?iU)" + "|".join(terms)
+    """One case-insensitive, Unicode-aware alternation, for yes/no matching.
+
+    Terms that open a word share one boundary test, so most positions of a
+    text are passed over without trying any of them.
+    """
+    terms = list(terms)
+    words = [t.removeprefix(r"\b") for t in terms if t.startswith(r"\b")]
+    rest = [t for t in terms if not t.startswith(r"\b")]
+    opening = [rf"\b(?:{'|'.join(words)})"] if words else []
+    return "(?iU)" + "|".join(opening + rest)
 
 
 # --- Fixed values: title vocabularies --------------------------------------
