@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from jobsluice.catalog import duck as d
 from jobsluice.catalog.fixtures import (
-    AS_OF, AS_OF_2026, DAY, MONTHS, duck, fx, pick, postings, quote, table)
+    AS_OF, AS_OF_2026, DAY, MONTHS, duck, fx, pick, postings, quote, spread, table)
 from jobsluice.catalog.registry import query
 from jobsluice.functions import (
     boards, clean, cycles, dates, describe, identity, places, render, vocab)
@@ -123,7 +123,7 @@ HTML_PLAIN = f"regexp_replace({HTML_PLAIN}, '<[^>]+>', ' ', 'g')"
 @query("html_text", f"""
     select page_id, trim(regexp_replace({HTML_PLAIN}, '\\s+', ' ', 'g')) as plain from pages""")
 def html_text(spark, folder):
-    return table(spark, folder, "pages").select(
+    return spread(table(spark, folder, "pages"), "page_id").select(
         "page_id", clean.html_to_text(C("html")).alias("plain"))
 
 
@@ -400,7 +400,7 @@ _MENTIONS = " + ".join(f"len(regexp_extract_all(plain, {quote('(?i)' + p)}))"
 def descriptions(spark, folder):
     """Documents as job descriptions: the whole text and a phrase."""
     text = F.concat("text", F.lit(" "), F.expr(pick("doc_id", PHRASES)))
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents"), "doc_id").select(
         "doc_id", describe.plain_description(text).alias("plain"))
 
 

@@ -95,20 +95,27 @@ def _cell_texts(raw: Column) -> Column:
         F.split(cells, CELL), lambda c: F.btrim(collapse(c), F.lit(" |*"))))
 
 
-def _mapped(tables: DataFrame) -> DataFrame:
-    """Adds ``at_<field>`` column indexes, each resolved once from the header."""
-    heads = F.get("text", 0)
-    for field, aliases in vocab.COLUMN_ALIASES.items():
-        taken = [F.col(f"at_{f}") for f in vocab.COLUMN_ALIASES if f"at_{f}" in tables.columns]
+def _fits(heads: Column, aliases: list[str], taken: list[Column]):
+    """Does a header cell name the field, and is its column still free?"""
+    def test(i: Column) -> Column:
+        free = F.lit(True)
+        for index in taken:
+            free = free & ~F.coalesce(i == index, F.lit(False))
+        return F.lower(F.get(heads, i)).rlike("|".join(aliases)) & free
+    return test
+
 
-        def fits(i: Column, aliases=aliases, taken=taken) -> Column:
-            free = F.lit(True)
-            for index in taken:
-                free = free & ~F.coalesce(i == index, F.lit(False))
-            return F.lower(F.get(heads, i)).rlike("|".join(aliases)) & free
+def _mapped(tables: DataFrame) -> DataFrame:
+    """Adds ``at_<field>`` column indexes, each resolved once from the header.
 
-        slots = F.sequence(F.lit(0), F.size(heads) - 1)
-        tables = tables.withColumn(f"at_{field}", F.get(F.filter(slots, fits), 0))
+    Fields are taken in order; a column serves the first field that claims it.
+    """
+    heads, taken = F.get("text", 0), []
+    slots = F.sequence(F.lit(0), F.size(heads) - 1)
+    for field, aliases in vocab.COLUMN_ALIASES.items():
+        tables = tables.withColumn(
+            f"at_{field}", F.get(F.filter(slots, _fits(heads, aliases, taken)), 0))
+        taken = [*taken, F.col(f"at_{field}")]
     # No link column: the link sits on the title itself.
     return tables.where(F.col("at_title").isNotNull()).withColumn(
         "at_url", F.coalesce("at_url", "at_title"))
