@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["expressions", "boards", "pages", "roles"]
+MODULES = ["expressions", "boards", "pages", "roles", "feed"]
 
 
 def _load() -> None:

@@ -11,6 +11,7 @@ from jobsluice.catalog.fixtures import (
     AS_OF, DAY, TEXT, duck, fx, landed, listing_view, postings, quote, spread, table)
 from jobsluice.catalog.registry import query
 from jobsluice.functions import vocab
+from jobsluice.session import materialise
 from jobsluice.sources import details as detail_pages
 from jobsluice.sources import sitemaps, trackers
 from jobsluice.sources.careers import page_jsonld, page_links
@@ -140,13 +141,14 @@ def sitemap_entries(spark, folder):
       cast(case when k % 2 = 0 then modified else ts end as bigint) as posted_at, root as source
     from ({TOP}) t where rank <= 40"""))
 def sitemap_postings(spark, folder):
-    entries = sitemaps.sitemap_entries(_sitemap_files(spark, folder), AS_OF)
+    entries = sitemaps.sitemap_entries(
+        materialise(_sitemap_files(spark, folder), "sitemaps"), AS_OF)
     embedded = _job_page(spark, folder, "title")
     plain = F.concat(L('<meta property="og:title" content="'), "title", L(' &amp; Co">'))
     pages = embedded.select(
         F.concat(L("https://careers.acme.com/jobs/"), C("k").cast("string")).alias("url"),
         "fetched_at", F.when(C("k") % 2 == 0, plain).otherwise(C("html")).alias("html"))
-    return sitemaps.sitemap_postings(entries, pages, AS_OF).select(
+    return sitemaps.sitemap_postings(entries, materialise(pages, "pages"), AS_OF).select(
         "uid", "title", "location", "url", "posted_at", "source")
 
 
@@ -238,7 +240,7 @@ README_SQL = f"""
 
 @query("tracker_tables", duck(README_SQL))
 def tracker_tables(spark, folder):
-    rows = trackers.tracker_tables(_readmes(spark, folder), AS_OF)
+    rows = trackers.tracker_tables(materialise(_readmes(spark, folder), "readmes"), AS_OF)
     return rows.select("uid", "company", "title", "location", "url", "posted_at",
                        F.array_join("cycle_extra", " | ").alias("terms"))
 
@@ -268,7 +270,8 @@ def tracker_choose(spark, folder):
     every = files[0]
     for part in files[1:]:
         every = every.unionByName(part)
-    return trackers.tracker_choose(every, AS_OF).select("repo", "branch", "path")
+    # The landing zone is a stored table; so is its stand-in here.
+    return trackers.tracker_choose(materialise(every, "tracker-files"), AS_OF).select("repo", "branch", "path")
 
 
 # --- the landing zone ----------------------------------------------------------------------------

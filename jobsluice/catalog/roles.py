@@ -403,13 +403,6 @@ def mark_flags(spark, folder):
     return marked.select("uid", "notified", "digested")
 
 
-RUNS = """select source, stamp, uid from (
-      select f.source, f.uid, f.k, r.stamp from fx f join (
-        select 0 as n, 996624000 as stamp union all select 1, 996710400
-        union all select 2, 996796800) r on (f.k + r.n) % 3 <> 0) t
-    where nation_no(source) % 4 <> 0"""
-
-
 @query("presence", duck("""
     select uid, case when listed is not null then greatest(last_seen, listed) else last_seen end
         as last_seen,
@@ -462,9 +455,8 @@ def _described(spark, folder):
 
 @query("desc_upsert", duck("""
     select uid, cast(case when k % 3 = 0 then 3 when k % 3 = 1 then 0 else 7 end as int) as score,
-      case when k % 3 = 0 then 'PyTorch, CUDA, MLOps' when k % 3 = 1 then '' else 'old' end as terms,
-      cast(case when k % 3 <> 2 then 996624000 else 5 end as bigint) as checked_at from fx"""
-                            .replace("then 3 when", "then 3 when")))
+      case when k % 3 = 0 then 'PyTorch, MLOps, CUDA' when k % 3 = 1 then '' else 'old' end as terms,
+      cast(case when k % 3 <> 2 then 996624000 else 5 end as bigint) as checked_at from fx"""))
 def desc_upsert(spark, folder):
     old = fx(spark, folder).select(
         "uid", L(5).cast("bigint").alias("checked_at"), L(7).alias("score"), L("old").alias("terms"),

@@ -176,4 +176,6 @@ def classify(df: DataFrame, as_of: int | Column, cfg: Settings = DEFAULT,
         F.when(F.col("_from_text") & ~unplaced, F.col("_found")).otherwise(none)
         .alias("ai_terms"),
     )
-    return decided.select(*keep, verdict.alias("verdict"))
+    # A generator, so that filters on the verdict stay above it: pushed below,
+    # each would repeat every rule it depends on.
+    return decided.select(*keep, F.explode(F.array(verdict)).alias("verdict"))

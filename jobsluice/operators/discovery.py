@@ -114,9 +114,13 @@ def sniff_signatures(pages: DataFrame) -> DataFrame:
     every signature.
     """
     text = F.concat("url", F.lit("\n"), F.coalesce("html", F.lit("")))
+
+    def named(platform: str, tokens: Column) -> Column:
+        return F.transform(tokens, lambda t: F.struct(
+            F.lit(platform).alias("platform"), t.alias("token")))
+
     hits = F.array_distinct(F.concat(*[
-        F.transform(_signature_tokens(platform, pattern, text, F.col("url")),
-                    lambda t, p=platform: F.struct(F.lit(p).alias("platform"), t.alias("token")))
+        named(platform, _signature_tokens(platform, pattern, text, F.col("url")))
         for platform, pattern in vocab.SIGNATURES]))
     return pages.select("url", F.posexplode(hits).alias("pos", "b")).select(
         "url", "pos", "b.platform", "b.token")

@@ -26,23 +26,23 @@ def with_role_keys(rows: DataFrame) -> DataFrame:
         role_key_columns(F.col("company"), F.col("title"), F.col("url")))
 
 
-def _largest_to_smallest(edges: DataFrame, cfg: Settings) -> DataFrame:
+def _largest_to_smallest(edges: DataFrame, total: int, cfg: Settings) -> DataFrame:
     """Every node hands its larger neighbours to its smallest one."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
     least = least.withColumn("m", F.least("a", "m"))
     met = split_lookup(both.where(F.col("b") > F.col("a")), least.drop("n"), ["a"], ["b"],
-                       counts=least.select("a", "n"), how="inner", cfg=cfg)
+                       counts=least.select("a", "n"), how="inner", cfg=cfg, total=2 * total)
     return met.where(F.col("b") != F.col("m")).select(
         F.col("m").alias("a"), F.col("b")).distinct()
 
 
-def _smaller_to_smallest(edges: DataFrame, cfg: Settings) -> DataFrame:
+def _smaller_to_smallest(edges: DataFrame, total: int, cfg: Settings) -> DataFrame:
     """Every node links itself and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
     met = split_lookup(down, least.drop("n"), ["a"], ["b"],
-                       counts=least.select("a", "n"), how="inner", cfg=cfg)
+                       counts=least.select("a", "n"), how="inner", cfg=cfg, total=2 * total)
     moved = met.where(F.col("b") != F.col("m")).select(F.col("m").alias("a"), "b")
     kept = least.select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.unionByName(kept).distinct()
@@ -60,7 +60,9 @@ def connected_components(edges: DataFrame, cfg: Settings = DEFAULT) -> DataFrame
         .where("a <> b").distinct(), "edges")
     mark = _edge_mark(current)
     for _ in range(MAX_ROUNDS):
-        stars = _smaller_to_smallest(_largest_to_smallest(current, cfg), cfg)
+        # A round at most doubles the edges it is given, by the second step.
+        stars = _smaller_to_smallest(
+            _largest_to_smallest(current, mark[0], cfg), 2 * mark[0], cfg)
         current = materialise(
             stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "edges")
         previous, mark = mark, _edge_mark(current)
@@ -104,6 +106,7 @@ def assign_groups(rows: DataFrame, stored_keys: DataFrame, as_of: int,
         keyed.groupBy(*KEYS, "stored_group").agg(
             F.min(F.struct("seq", "uid")).alias("first"), F.count("*").alias("n"),
             F.min("stored_since").alias("since")), "role-tuples")
+    total = tuples.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     own = tuples.select("first", F.explode(F.array_compact(F.array(*KEYS))).alias("key"))
     batch_keys = own.groupBy("key").agg(F.min("first").alias("first"))
     known = stored_keys.join(batch_keys.select("key"), "key", "left_semi")
@@ -143,14 +146,15 @@ def assign_groups(rows: DataFrame, stored_keys: DataFrame, as_of: int,
         F.min("c").alias("c"), F.count("*").alias("n"))
     labels = materialise(split_lookup(
         placed.select("node", "component"), names.drop("n"), ["component"], ["node"],
-        counts=names.select("component", "n"), how="inner", cfg=cfg).select(
+        counts=names.select("component", "n"), how="inner", cfg=cfg, total=4 * total).select(
             F.col("node").alias("key"), F.col("c.id").alias("group_id"),
             F.when(F.col("c.rank") == 0, F.col("c.at")).otherwise(F.lit(as_of))
             .cast("bigint").alias("since")), "labels")
 
     by_fp = labels.select(F.col("key").alias("key_fp"), "group_id")
     per_fp = tuples.groupBy("key_fp").agg(F.sum("n").alias("n"))
-    grouped = split_lookup(keyed, by_fp, ["key_fp"], ["uid"], counts=per_fp, cfg=cfg)
+    grouped = split_lookup(keyed, by_fp, ["key_fp"], ["uid"], counts=per_fp, cfg=cfg,
+                           total=total)
 
     # Stored roles that now share a component take its one id.
     moves = known.select("key", F.col("group_id").alias("old_group")).join(

@@ -29,13 +29,18 @@ def hot_keys(counts: DataFrame, on: list[str], cfg: Settings = DEFAULT) -> DataF
 
 def split_lookup(left: DataFrame, right: DataFrame, on: list[str], spread: list[str],
                  counts: DataFrame | None = None, how: str = "left",
-                 cfg: Settings = DEFAULT) -> DataFrame:
+                 cfg: Settings = DEFAULT, total: int | None = None) -> DataFrame:
     """``left`` joined to ``right``, which has one row per key.
 
+    ``total`` is the number of left rows where the caller knows it; below the
+    hot limit no key can be hot, and the join is a plain one.
+
     A hot key's left rows go to several tasks and its right row is repeated
     for each of them. Which task is decided by a hash of ``spread``, so a
     rerun task sends its rows the same way.
     """
+    if total is not None and total < cfg.hot_rows:
+        return left.join(right, on, how)
     if counts is None:
         counts = left.groupBy(*on).agg(F.count("*").alias("n"))
     hot = F.broadcast(hot_keys(counts, on, cfg))

@@ -47,8 +47,11 @@ def normalize(landed: DataFrame, as_of: int | Column, platforms: list[str] | Non
     Each branch filters on ``platform``, the landing table's partition column,
     so a branch reads its own files only.
     """
-    parts = [SOURCES[p](landed.where(F.col("platform") == p), as_of)
-             for p in (platforms or sorted(SOURCES))]
+    names = sorted(SOURCES) if platforms is None else platforms
+    parts = [SOURCES[p](landed.where(F.col("platform") == p), as_of) for p in names]
+    if not parts:
+        arrival = "fetched_at bigint, page_seq int, pos int, complete boolean"
+        return landed.sparkSession.createDataFrame([], f"{POSTING_SCHEMA}, {arrival}")
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import math
+import signal
 import sys
 import time
 from pathlib import Path
@@ -64,6 +65,10 @@ def differences(spark_df, con, sql: str) -> list[str]:
     return out
 
 
+def _late(*_):
+    raise TimeoutError("took too long")
+
+
 def main() -> None:
     import __spark_entry__ as entry
     from jobsluice.session import local_session
@@ -75,6 +80,8 @@ def main() -> None:
     bad = 0
     for name in chosen or queries:
         start = time.time()
+        signal.signal(signal.SIGALRM, _late)
+        signal.alarm(60)
         try:
             if name in oracles:
                 out = differences(queries[name](spark, folder), con, oracles[name])
@@ -84,6 +91,7 @@ def main() -> None:
                 name += f" (rows only: {n})"
         except Exception as error:  # noqa: BLE001 - report every query
             out = [f"{type(error).__name__}: {str(error)[:700]}"]
+        signal.alarm(0)
         bad += bool(out)
         print(f"{'ok  ' if not out else 'FAIL'} {name} {time.time() - start:.1f}s", flush=True)
         for line in out:
