@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from jobsluice.catalog import duck as d
 from jobsluice.catalog.fixtures import (
-    AS_OF, AS_OF_2026, DAY, TEXT, duck, fx, jobs, postings, spread, table)
+    AS_OF, AS_OF_2026, DAY, TEXT, duck, fx, jobs, postings, table)
 from jobsluice.catalog.registry import query
 from jobsluice.functions.identity import role_keys
 from jobsluice.operators import enrich, roles, state
 from jobsluice.operators import triage as triage_ops
-from jobsluice.operators.feed import is_aggregator
+from jobsluice.session import materialise
 from jobsluice.settings import DEFAULT
 
 C, L = F.col, F.lit
@@ -153,6 +153,10 @@ GROUP = f"""case when (k // 6) % 4 = 0 or ((k // 6) % 4 = 1 and k % 6 < 3)
 
 
 def _blocks(spark, folder):
+    return materialise(_block_rows(spark, folder), "blocks")
+
+
+def _block_rows(spark, folder):
     k = C("k")
     block, half = F.floor(k / 6), F.floor(k % 6 / 3)
     shared = (block % 2 == 0) & (k % 6).isin(2, 3)
@@ -167,9 +171,9 @@ def _blocks(spark, folder):
     })
 
 
-def _stored_keys(spark, folder):
+def _stored_keys(blocks):
     """Keys of the first half of every block whose number is 0 or 1 modulo 4."""
-    first = _blocks(spark, folder).where((C("k") % 6 == 0) & (F.floor(C("k") / 6) % 4).isin(0, 1))
+    first = blocks.where((C("k") % 6 == 0) & (F.floor(C("k") / 6) % 4).isin(0, 1))
     keys = role_keys(C("company"), C("title"), C("url"))
     return first.select(
         F.explode(F.array_compact(F.slice(keys, 1, 1))).alias("key"),
@@ -180,7 +184,8 @@ def _stored_keys(spark, folder):
 @query("assign_groups", duck(
     f"select concat('u', cast(k as varchar)) as uid, {GROUP} as group_id from fx"))
 def assign_groups(spark, folder):
-    groups = roles.assign_groups(_blocks(spark, folder), _stored_keys(spark, folder), AS_OF)
+    rows = _blocks(spark, folder)
+    groups = roles.assign_groups(rows, _stored_keys(rows), AS_OF)
     return groups.rows.select("uid", "group_id")
 
 
@@ -188,7 +193,7 @@ def _old_jobs(spark, folder):
     """A stored table: two rows per pair of postings, one under a short link."""
     k = C("k")
     pair = F.floor(k / 2)
-    return jobs(spark, folder).join(fx(spark, folder).select("uid", "k"), "uid").withColumns({
+    rows = jobs(spark, folder).join(fx(spark, folder).select("uid", "k"), "uid").withColumns({
         "group_id": F.concat(L("p"), k.cast("string")),
         "company": F.concat(L("Pair "), pair.cast("string")),
         "title": F.when(k % 2 == 0, "Data Intern").otherwise("Web Student"),
@@ -196,6 +201,7 @@ def _old_jobs(spark, folder):
         "url": F.when(k % 2 == 0, F.concat(L("https://jobs.acme.com/jobs/"),
                                            (10_000_000 + pair).cast("string")))
         .otherwise(F.concat(L("https://bit.ly/z"), k.cast("string")))})
+    return materialise(rows, "old-jobs")
 
 
 @query("refresh_url", duck("""
@@ -249,14 +255,16 @@ def fp_delivered(spark, folder):
 
 # --- triage -------------------------------------------------------------------------------------
 
-TIERED = """select *, concat('u', cast(k as varchar)) as new_uid, case k % 4 when 0 then 'strict'
-    when 1 then 'loose' when 2 then 'other' end as new_tier from (select * from fx) f"""
 # Titles by block so that classification and roles are both known.
 TRIAGE_TITLES = ["Machine Learning Intern", "Software Developer Co-op",
                  "Marketing Coordinator Intern", "Senior Director"]
 
 
 def _arrivals(spark, folder):
+    return materialise(_arrival_rows(spark, folder), "arrivals")
+
+
+def _arrival_rows(spark, folder):
     """Blocks of six postings of one requisition each, with tiers dealt by position."""
     k = C("k")
     block = F.floor(k / 6)
@@ -271,9 +279,9 @@ def _arrivals(spark, folder):
         "url": F.concat(L("https://jobs.acme.com/jobs/"), (10_000_000 + block).cast("string"))})
 
 
-def _met_before(spark, folder):
+def _met_before(arrivals):
     """Blocks met before: every third kept as loose, every sixth as a notified strict role."""
-    first = _arrivals(spark, folder).where((C("k") % 6 == 0) & (F.floor(C("k") / 6) % 3 == 0))
+    first = arrivals.where((C("k") % 6 == 0) & (F.floor(C("k") / 6) % 3 == 0))
     strict = F.floor(C("k") / 6) % 6 == 0
     stored = first.select(
         F.concat(L("old"), C("k").cast("string")).alias("uid"), L("f").alias("fingerprint"),
@@ -285,7 +293,7 @@ def _met_before(spark, folder):
         L(AS_OF - DAY).cast("bigint").alias("last_seen"), L(0).alias("misses"), L("").alias("term"),
         L("").alias("ai_terms"))
     # Every fiftieth posting itself is stored as well, and so skipped.
-    seen = stored.limit(0).unionByName(_arrivals(spark, folder).where(C("k") % 50 == 49).select(
+    seen = stored.limit(0).unionByName(arrivals.where(C("k") % 50 == 49).select(
         "uid", L("f").alias("fingerprint"), "company", "title", "location", "url", "source",
         L(None).cast("string").alias("tier"), L("y").alias("reason"),
         L(AS_OF - DAY).cast("bigint").alias("first_seen"), L(0).cast("bigint").alias("posted_at"),
@@ -319,8 +327,9 @@ FIRST = """select *, case when kept_before then concat('g', cast(block as varcha
 @query("triage", duck("select uid, new_tier as tier, group_id, duplicate from firsts",
                       triaged=TRIAGED, dupes=DUPES, firsts=FIRST))
 def triage(spark, folder):
-    stored, known = _met_before(spark, folder)
-    result = triage_ops.triage(_arrivals(spark, folder), stored, known, AS_OF_2026)
+    arrivals = _arrivals(spark, folder)
+    stored, known = _met_before(arrivals)
+    result = triage_ops.triage(arrivals, stored, known, AS_OF_2026)
     return result.triaged.select("uid", "verdict.tier", "group_id", "duplicate")
 
 
@@ -334,8 +343,8 @@ def triage(spark, folder):
         and fx.posted_at < {AS_OF_2026 - WEEK}) as bigint) as stale
     from dupes join fx using (k)""", triaged=TRIAGED, dupes=DUPES))
 def run_summary(spark, folder):
-    stored, known = _met_before(spark, folder)
     arrivals = _arrivals(spark, folder)
+    stored, known = _met_before(arrivals)
     result = triage_ops.triage(arrivals, stored, known, AS_OF_2026)
     return triage_ops.run_summary(result.triaged, arrivals, AS_OF_2026)
 
