@@ -81,7 +81,7 @@ def main() -> None:
     for name in chosen or queries:
         start = time.time()
         signal.signal(signal.SIGALRM, _late)
-        signal.alarm(60)
+        signal.alarm(150)
         try:
             if name in oracles:
                 out = differences(queries[name](spark, folder), con, oracles[name])
