@@ -17,7 +17,6 @@ from jobsluice.sources.json_boards import resolve_multi_location
 
 C, L = F.col, F.lit
 K = f"cast(k as {TEXT})"
-ISO = F.concat("day", L("T05:30:00.000+00:00"))
 ISO_TS = "ts + 19800"
 RECENT = f"case when ts > {EARLIEST} then ts else 0 end"
 
@@ -42,6 +41,10 @@ def read(rows: DataFrame, platform: str) -> DataFrame:
     return listing_view(SOURCES[platform](rows, AS_OF))
 
 
+def iso():
+    return F.concat("day", L("T05:30:00.000+00:00"))
+
+
 def key(prefix: str) -> str:
     return f"concat('{prefix}', {K})"
 
@@ -59,7 +62,7 @@ def src_ashby(spark, folder):
     record = F.struct(
         C("k").cast("string").alias("id"), "title", "location",
         F.array(F.struct(C("loc_extra_s").alias("location"))).alias("secondaryLocations"),
-        (C("k") % 13 != 0).alias("isListed"), ISO.alias("publishedAt"),
+        (C("k") % 13 != 0).alias("isListed"), iso().alias("publishedAt"),
         F.when(C("k") % 2 == 0, C("url")).alias("jobUrl"),
         C("employment_type").alias("employmentType"))
     return read(landed(fx(spark, folder), "ashby", "acme", record, '{"jobs":{}}'), "ashby")
@@ -76,7 +79,7 @@ def src_greenhouse(spark, folder):
         C("k").alias("id"), "title", F.struct(C("location").alias("name")).alias("location"),
         F.array(F.struct(L("HQ").alias("name")), F.struct(C("location").alias("name")))
         .alias("offices"), F.when(C("k") % 2 == 0, C("url")).alias("absolute_url"),
-        F.when(C("k") % 3 != 0, C("day")).alias("first_published"), ISO.alias("updated_at"))
+        F.when(C("k") % 3 != 0, C("day")).alias("first_published"), iso().alias("updated_at"))
     return read(landed(fx(spark, folder), "greenhouse", "acme", record, '{"jobs":{}}'),
                 "greenhouse")
 
@@ -316,7 +319,7 @@ def src_jibe(spark, folder):
         F.when(C("k") % 2 == 0, C("k").cast("string")).alias("req_id"),
         C("k").cast("string").alias("slug"), "title", C("location").alias("full_location"),
         C("nation").alias("city"), L("ON").alias("state"), L("Canada").alias("country"),
-        ISO.alias("posted_date"), F.when(C("k") % 2 == 0, C("url")).alias("canonical_url"))
+        iso().alias("posted_date"), F.when(C("k") % 2 == 0, C("url")).alias("canonical_url"))
     return read(landed(fx(spark, folder), "jibe", "https://careers.acme.com/",
                        F.struct(data.alias("data")), '{"jobs":{},"totalCount":9}'), "jibe")
 

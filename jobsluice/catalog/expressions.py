@@ -241,8 +241,8 @@ _HOST = ("split_part(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), 'www
 
 @query("name_guess", f"""
     select page_id, coalesce({_PARTS}[1],
-      concat(upper(replace({_HOST}, '-', ' ')[1:1]), lower(replace({_HOST}, '-', ' ')[2:])))
-      as name from pages""")
+      array_to_string(list_transform(string_split(replace({_HOST}, '-', ' '), ' '),
+        lambda w: concat(upper(w[1:1]), lower(w[2:]))), ' ')) as name from pages""")
 def name_guess(spark, folder):
     return table(spark, folder, "pages").select(
         "page_id", clean.company_name_guess(C("url"), C("html")).alias("name"))

@@ -518,8 +518,8 @@ def reclassify(spark, folder):
 @query("backfill", duck("""
     select uid, case when promoted then 'strict' else tier end as tier,
       case when promoted then 'AI in description' else reason end as reason,
-      location from (select *, coalesce(tier = 'loose' and reason = 'no AI signal'
-        and coalesce(nullif(posted_at, 0), first_seen) >= 996019200 and k % 3 = 0, false)
+      location from (select *, coalesce(((tier = 'loose' and reason = 'no AI signal')
+        or (tier is null and reason = 'no Canadian location')) and coalesce(nullif(posted_at, 0), first_seen) >= 996019200 and k % 3 = 0, false)
         as promoted from (select *, 'Toronto, ON' as place0 from fx) f) t""".replace(
     "location from", "'Toronto, ON' as location from")))
 def backfill(spark, folder):
