@@ -439,11 +439,12 @@ def sniff(spark, folder):
 
 
 @query("sniff_promote", """
-    select concat('h', cast(page_id as varchar)) as host, case page_id % 9
+    select concat('h', cast(page_id as varchar)) as host,
+      case when row_number() over (order by page_id desc) <= 1000 then case page_id % 9
         when 7 then 'no supported ATS' when 8 then 'no supported ATS'
         when 0 then concat('ashby Acme', cast(page_id as varchar))
         when 1 then case when page_id % 2 = 0 then 'no supported ATS'
-          else concat('greenhouse acme', cast(page_id as varchar)) end else 'board' end as result
+          else concat('greenhouse acme', cast(page_id as varchar)) end else 'board' end end as result
     from pages""")
 def sniff_promote(spark, folder):
     pages = _marked(spark, folder)
@@ -457,9 +458,10 @@ def sniff_promote(spark, folder):
         F.concat(L("ACME"), C("page_id").cast("string")).alias("token"))
     none = spark.createDataFrame([], state.DISCOVERED_SCHEMA)
     rows = postings(spark, folder).limit(0)
-    sniffed, _ = discovery.sniff_due_hosts(hosts, none, rows, pages, known, 1_000_000_000, AS_OF)
+    sniffed, _ = discovery.sniff_due_hosts(hosts, none, rows, pages, known, 1000, AS_OF)
     short = C("result").rlike("^(no supported|ashby|greenhouse)")
-    return sniffed.select("host", F.when(short, C("result")).otherwise("board").alias("result"))
+    return sniffed.select("host", F.when(C("result").isNull() | short, C("result")).otherwise(
+        "board").alias("result"))
 
 
 @query("board_evidence", duck("""
