@@ -11,12 +11,12 @@ from jobsluice.catalog.expressions import SAFE, TODAY, WHEN, md_sql, xml_sql, _s
 from jobsluice.catalog.fixtures import (
     AS_OF, AS_OF_2026, DAY, duck, fx, jobs, landed, postings, table)
 from jobsluice.catalog.registry import query
-from jobsluice.catalog.roles import SHOWN, WEEK, sources
+from jobsluice.catalog.roles import SHOWN, sources
 from jobsluice.functions import render
 from jobsluice.operators import discovery, feed, health, state
 from jobsluice.plans import publish
 from jobsluice.session import scratch_dir
-from jobsluice.settings import DEFAULT, Settings
+from jobsluice.settings import Settings
 from jobsluice.streaming.increment import last_version, presence_counter, run_increment
 
 C, L = F.col, F.lit
