@@ -49,7 +49,7 @@ def differences(spark_df, con, sql: str) -> list[str]:
     if sorted(spark_df.columns) != sorted(names):
         return [f"columns {sorted(spark_df.columns)} vs {sorted(names)}"]
     spark_kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR",
-                   "boolean": "BOOLEAN"}
+                   "boolean": "BOOLEAN", "double": "DOUBLE"}
     for name, kind in spark_df.dtypes:
         if spark_kinds.get(kind, kind) != kinds[name]:
             out.append(f"type of {name}: {kind} vs {kinds[name]}")
