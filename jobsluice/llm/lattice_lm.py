@@ -8,8 +8,9 @@ over a whole text is the product of the sums over its words, each begun by the
 word mark, and of the end token; a word is solved once however often it occurs.
 
 1. Count every word of every text (training and all), combined per task.
-2. One expectation step: forward and backward over each distinct training
-   word, weighted by its count; counts of pieces meet in one small aggregate.
+2. Expectation steps: forward and backward over distinct training words, each
+   weighted by its count; counts of pieces meet in one small aggregate. A few
+   steps over the most frequent words start the weights, one over all ends it.
 3. The forward recursion gives each distinct word its log probability.
 4. Texts look their words up: frequent ones in a table of bounded size that
    travels with the task, the others by a join on the word.
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsluice.llm.common import store, whole_text
+from jobsluice.llm.common import store, tasks, whole_text
 
 MARK = "▁"
 LOG10 = math.log(10.0)
@@ -46,7 +47,10 @@ class LatticeSettings:
     # The most frequent words travel with every task; the others are joined.
     head_words: int = 200_000
     # Weight of the vocabulary's own scores, as a number of training pieces.
-    prior: float = 50_000.0
+    prior: float = 100.0
+    # Steps that start the weights, and how many of the most frequent words they read.
+    warm_steps: int = 4
+    warm_words: int = 20_000
     prior_shift: float = 20.0
     held_words: int = 400_000
 
@@ -287,18 +291,23 @@ def train(docs: DataFrame, held_out, text_col: str = "text",
         _count_words(cfg), "word string, train long, all long")
     words = store(parts.groupBy("word").agg(
         F.sum("train").alias("train"), F.sum("all").alias("all")), "lattice-words")
+    # A hash deals long words evenly over the tasks.
+    words = words.repartition(tasks(docs.sparkSession), "word")
     totals = words.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0)).first()
     train_docs = docs.where(~held_out).count()
     pieces = Pieces.load(cfg)
-    # The words' order in the file is that of a hash, so every task has its share of long ones.
-    uses = words.where("train > 0").select("word", "train").mapInPandas(
-        _expected(pieces, np.log(pieces.prior)), "piece int, uses double") \
-        .groupBy("piece").agg(F.sum("uses")).collect()
-    counts = cfg.prior * pieces.prior
-    for piece, n in uses:
-        counts[piece] += n
-    total = counts.sum() + train_docs + 1
-    weight = np.log(counts / total)
+    known = words.where("train > 0").select("word", "train")
+    first = store(known.orderBy(F.desc("train"), "word").limit(cfg.warm_words), "lattice-warm")
+    weight = np.log(pieces.prior)
+    for step in range(cfg.warm_steps + 1):
+        uses = (first if step < cfg.warm_steps else known).mapInPandas(
+            _expected(pieces, weight), "piece int, uses double") \
+            .groupBy("piece").agg(F.sum("uses")).collect()
+        counts = cfg.prior * pieces.prior
+        for piece, n in uses:
+            counts[piece] += n
+        total = counts.sum() + train_docs + 1
+        weight = np.log(counts / total)
     solved = store(words.mapInArrow(
         _solve_words(pieces, weight), "word string, train long, all long, lattice double"),
         "lattice-solved")

@@ -59,11 +59,11 @@ def with_counts(rows: DataFrame) -> DataFrame:
     twice = F.filter(h, lambda x, i: (
         ((i > 0) & (x["h"] == F.get(h, i - 1)["h"]))
         | ((i < F.size(h) - 1) & (x["h"] == F.get(h, i + 1)["h"]))))
-    gaps = F.zip_with(F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(0))), m,
+    others = F.greatest(F.size(m) - 1, F.lit(0))
+    gaps = F.zip_with(F.slice(m, 2, others), F.slice(m, 1, others),
                       lambda a, b: F.least(a - b, F.lit(3)))
     covered = F.when(F.size(m) == 0, F.lit(0)).otherwise(
-        F.lit(3) + F.aggregate(F.filter(gaps, lambda x: x.isNotNull()), F.lit(0),
-                               lambda a, x: a + x))
+        F.lit(3) + F.aggregate(gaps, F.lit(0), lambda a, x: a + x))
     keep = [c for c in rows.columns]
     return (
         rows.select(*keep, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_w"),
