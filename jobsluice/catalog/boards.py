@@ -244,8 +244,11 @@ def src_workday_detail(spark, folder):
                     .alias("additionalLocations"),
                     F.struct(L("Canada").alias("descriptor")).alias("country"))
     details = rows.select(L("Acme [workday]").alias("source"),
-                          skey("/job/X/").alias("external_path"),
+                          skey("/job/X/").alias("external_path"), L(AS_OF).alias("fetched_at"),
                           F.to_json(F.struct(info.alias("jobPostingInfo"))).alias("body"))
+    # Every detail landed once before, with other places.
+    details = details.unionByName(details.withColumns({
+        "fetched_at": C("fetched_at") - 1, "body": F.replace("body", L("Oakville"), L("Paris"))}))
     found = SOURCES["workday"](_workday(spark, folder), AS_OF)
     return listing_view(resolve_multi_location(found, details, AS_OF_2026))
 
