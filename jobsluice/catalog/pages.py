@@ -15,7 +15,8 @@ from jobsluice.session import materialise
 from jobsluice.sources import details as detail_pages
 from jobsluice.sources import sitemaps, trackers
 from jobsluice.sources.careers import page_jsonld, page_links
-from jobsluice.sources.landing import incremental_scan, resolve_short_links, with_hash
+from jobsluice.operators import state
+from jobsluice.sources.landing import incremental_scan, remember_payloads, resolve_short_links
 
 C, L = F.col, F.lit
 
@@ -41,7 +42,9 @@ def _job_page(spark, folder, *extra):
     item = F.struct(F.struct(node.alias("item")).alias("itemListElement"))
     doc = F.to_json(F.struct(F.array(item, item).alias("@graph")))
     html = F.concat(L('<html><title>x</title><script type="application/ld+json">'), doc,
-                    L("</script><script type='application/ld+json'>{broken</script></html>"))
+                    L("</script><script type='application/ld+json'>{broken</script>"),
+                    L("""<script type="application/ld+json">{"@type":"JobPosting","x":NaN}"""),
+                    L("</script></html>"))
     return fx(spark, folder).select(
         C("source"), "company", "k", skey("https://careers.acme.com/p/").alias("url"),
         L(AS_OF).alias("fetched_at"), html.alias("html"), *extra)
@@ -88,17 +91,17 @@ def page_links_query(spark, folder):
 # --- sitemaps ------------------------------------------------------------------------------
 
 FILE_OF = "cast(k // 50 as int)"
-ROOT = f"concat('https://careers.s', cast(k // 200 as {TEXT}), '.com/sitemap.xml')"
+ROOT = f"concat('https://careers.s', cast(k // 750 as {TEXT}), '.com/sitemap.xml')"
 JOB = f"concat('https://careers.acme.com/', case k % 3 when 0 then 'blog/' else 'jobs/' end, {K})"
 
 
 def _sitemap_files(spark, folder):
-    """Sitemaps of 50 entries; every index names four of them and one that is not for jobs."""
+    """Sitemaps of 50 entries; every index names 15 of them and one that is not for jobs."""
     rows = fx(spark, folder)
     file = F.floor(C("k") / 50)
-    root = F.concat(L("https://careers.s"), F.floor(C("k") / 200).cast("string"),
+    root = F.concat(L("https://careers.s"), F.floor(C("k") / 750).cast("string"),
                     L(".com/sitemap.xml"))
-    child = F.concat(L("https://careers.s"), F.floor(C("k") / 200).cast("string"),
+    child = F.concat(L("https://careers.s"), F.floor(C("k") / 750).cast("string"),
                      L(".com/jobs-"), file.cast("string"), L(".xml"))
     loc = F.concat(L("https://careers.acme.com/"),
                    F.when(C("k") % 3 == 0, "blog/").otherwise("jobs/"), C("k").cast("string"))
@@ -119,17 +122,15 @@ def _sitemap_files(spark, folder):
 
 
 RECENT = f"(select *, {ROOT} as root, {JOB} as loc, {AS_OF} - k % 40 * {DAY} as modified from fx)"
-TOP = f"""select *, row_number() over (partition by root order by modified desc, loc desc) as rank,
-    count(*) over (partition by root) as n from {RECENT} r
+TOP = f"""select * from {RECENT} r
     where k % 3 <> 0 and modified >= {AS_OF - 21 * DAY}"""
 
 
 @query("sitemap_entries", duck(f"""
-    select root as sitemap_url, loc, cast(modified as bigint) as modified, cast(rank as int) as rank,
-      n <= 40 as complete from ({TOP}) t where rank <= 40"""))
+    select root as sitemap_url, loc, cast(modified as bigint) as modified from ({TOP}) t"""))
 def sitemap_entries(spark, folder):
     return sitemaps.sitemap_entries(_sitemap_files(spark, folder), AS_OF).select(
-        "sitemap_url", "loc", "modified", "rank", "complete")
+        "sitemap_url", "loc", "modified")
 
 
 @query("sitemap_postings", duck(f"""
@@ -138,8 +139,9 @@ def sitemap_entries(spark, folder):
       case when k % 2 = 0 then '' else {JOB_PLACE} end as location,
       case when k % 2 = 0 then loc else {JOB_LINK.replace("concat('https://careers.acme.com/p/', "
                                                           + K + ")", "loc")} end as url,
-      cast(case when k % 2 = 0 then modified else ts end as bigint) as posted_at, root as source
-    from ({TOP}) t where rank <= 40"""))
+      cast(case when k % 2 = 0 then modified else ts end as bigint) as posted_at, root as source,
+      true as complete
+    from ({TOP}) t"""))
 def sitemap_postings(spark, folder):
     entries = sitemaps.sitemap_entries(
         materialise(_sitemap_files(spark, folder), "sitemaps"), AS_OF)
@@ -149,7 +151,7 @@ def sitemap_postings(spark, folder):
         F.concat(L("https://careers.acme.com/jobs/"), C("k").cast("string")).alias("url"),
         "fetched_at", F.when(C("k") % 2 == 0, plain).otherwise(C("html")).alias("html"))
     return sitemaps.sitemap_postings(entries, materialise(pages, "pages"), AS_OF).select(
-        "uid", "title", "location", "url", "posted_at", "source")
+        "uid", "title", "location", "url", "posted_at", "source", "complete")
 
 
 @query("sitemap_rank", duck(f"""
@@ -280,13 +282,26 @@ def _pages_landed(spark, folder):
     return landed(fx(spark, folder), "greenhouse", "acme", F.struct("k", "title"), '{"jobs":{}}')
 
 
-@query("incr_scan", duck("""
-    select distinct cast(k // 25 as int) as page_seq, 'Acme [greenhouse]' as source from fx
-    where (k // 25) % 3 <> 0"""))
+@query("incr_scan", duck(f"""
+    select distinct cast(k // 25 as int) as page_seq, concat('g', cast(k // 25 % 4 as {TEXT})) as source,
+      cast(met as bigint) as fetched_at from fx join (values (1, {AS_OF}), (2, {AS_OF}),
+      (3, {AS_OF - 1}), (3, {AS_OF})) as t(g, met) on k // 25 % 4 = g"""))
 def incr_scan(spark, folder):
-    pages = _pages_landed(spark, folder)
-    seen = with_hash(pages.where(C("page_seq") % 3 == 0)).select("source", "body_sha2")
-    return incremental_scan(pages, seen).select("page_seq", "source")
+    """Listings unchanged, changed on each page, new, and changed twice back to what they were."""
+    group = C("page_seq") % 4
+    pages = _pages_landed(spark, folder).withColumn(
+        "source", F.concat(L("g"), group.cast("string")))
+    other = pages.withColumn("body", F.concat(L(" "), "body"))
+
+    def at(rows, seconds):
+        return rows.withColumn("fetched_at", C("fetched_at") + seconds)
+
+    nothing = spark.createDataFrame([], state.PAYLOADS_SCHEMA)
+    seen = remember_payloads(at(pages.where(group.isin(0, 3)).unionByName(
+        other.where(group == 1)), -9), nothing)
+    landing = pages.unionByName(at(pages.where(group == 3), -2)).unionByName(
+        at(other.where(group == 3), -1))
+    return incremental_scan(landing, seen).select("page_seq", "source", "fetched_at")
 
 
 # Short links s0..s49 lead: 0-2 mod 5 to an employer in one, two or three hops, 3 to nowhere,

@@ -170,14 +170,15 @@ def listing(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def merge_pages(rows: DataFrame, *keys: str) -> DataFrame:
-    """One row per provider id of a source: pages and search terms overlap.
+    """One row per provider id of a listing: pages and search terms overlap.
 
     The last page met wins. An aggregate, not a window, so copies combine
     before the shuffle however many a single id has.
     """
-    keys = keys or ("source", "uid")
+    keys = keys or ("source", "uid", "fetched_at")
     rest = [c for c in rows.columns if c not in keys]
-    latest = F.max_by(F.struct(*rest), F.struct("fetched_at", "page_seq", "pos")).alias("row")
+    order = [c for c in ("fetched_at", "page_seq", "pos") if c not in keys]
+    latest = F.max_by(F.struct(*rest), F.struct(*order)).alias("row")
     return rows.groupBy(*keys).agg(latest).select(*keys, "row.*").select(*rows.columns)
 
 
