@@ -14,6 +14,7 @@ from jobsluice.functions.dates import DAY
 from jobsluice.functions.places import in_canada
 from jobsluice.operators.state import (
     BOARD, candidates_checked, discovered_outcome, hosts_sniffed, upsert_discovered, upsert_hosts)
+from jobsluice.session import materialise
 from jobsluice.settings import DEFAULT, Settings
 from jobsluice.sources.base import SOURCES
 
@@ -44,33 +45,46 @@ def _most_linked(rows: DataFrame, key: str, carried: list[str]) -> DataFrame:
         F.min("seq").alias("seq"), *firsts)
 
 
-def discover_boards(rows: DataFrame, configured: DataFrame, canadian_only: bool = True
-                    ) -> DataFrame:
+def linked_rows(rows: DataFrame) -> DataFrame:
+    """``(company, seq, url, canadian, platform, token)``: what every link survey reads.
+
+    Written in two steps: the place rules and the board patterns are each long,
+    and one generated method cannot hold both.
+    """
+    placed = materialise(rows.select(
+        "company", "seq", "url", in_canada(_place()).alias("canadian")), "placed-links")
+    return materialise(with_board(placed, keep_all=True), "links")
+
+
+def discover_boards(rows: DataFrame, configured: DataFrame, canadian_only: bool = True,
+                    linked: DataFrame | None = None) -> DataFrame:
     """Boards that postings link and no source reads, most linked first.
 
     ``rows`` are postings with ``seq``; ``configured(platform, token)``.
+    ``linked`` are their ``linked_rows`` where the caller has them.
     """
-    linked = with_board(rows)
+    found = (linked_rows(rows) if linked is None else linked).where("platform is not null")
     if canadian_only:
-        linked = linked.where(in_canada(_place()))
-    linked = linked.select("company", "seq", "platform", "token").withColumn(
+        found = found.where("canadian")
+    keyed = found.select("company", "seq", "platform", "token").withColumn(
         "key", board_key(F.col("platform"), F.col("token")))
-    boards = _most_linked(linked, "key", ["platform", "token"])
+    boards = _most_linked(keyed, "key", ["platform", "token"])
     known = configured.select(board_key(F.col("platform"), F.col("token")).alias("key")).distinct()
     unknown = boards.join(known, "key", "left_anti")
     return unknown.select("platform", "token", F.coalesce("name", "token").alias("name"), "hits",
                           "seq").orderBy(F.desc("hits"), "seq").drop("seq")
 
 
-def unplaced_hosts(rows: DataFrame, configured: DataFrame) -> DataFrame:
+def unplaced_hosts(rows: DataFrame, configured: DataFrame, linked: DataFrame | None = None
+                   ) -> DataFrame:
     """Hosts of Canadian postings that no board pattern knows, most linked first."""
     taken = configured.select(F.split_part("token", F.lit("|"), F.lit(1)).alias("t")).where(
         F.col("t").startswith("http")).select(bare_host(F.col("t")).alias("host")).distinct()
-    hosted = rows.withColumn("host", bare_host(F.col("url"))).where(
+    found = (linked_rows(rows) if linked is None else linked).where(
+        "canadian and platform is null")
+    hosted = found.select("company", "seq", "url", bare_host(F.col("url")).alias("host")).where(
         (F.col("host") != "") & ~on_domain(F.col("host"), vocab.DENIED_HOSTS))
-    found = with_board(hosted, keep_all=True).where(F.col("platform").isNull())
-    canadian = found.where(in_canada(_place())).select("company", "seq", "url", "host")
-    hosts = _most_linked(canadian, "host", ["url"]).join(taken, "host", "left_anti")
+    hosts = _most_linked(hosted, "host", ["url"]).join(taken, "host", "left_anti")
     return hosts.select("host", "url", F.coalesce("name", "host").alias("name"), "hits", "seq") \
         .orderBy(F.desc("hits"), "seq").drop("seq")
 
@@ -127,14 +141,14 @@ def sniff_signatures(pages: DataFrame) -> DataFrame:
 
 
 def sniff_due_hosts(hosts: DataFrame, discovered: DataFrame, rows: DataFrame, pages: DataFrame,
-                    configured: DataFrame, limit: int, as_of: int, cfg: Settings = DEFAULT
+                    configured: DataFrame, as_of: int, cfg: Settings = DEFAULT
                     ) -> tuple[DataFrame, DataFrame]:
-    """Sniff the landed pages of due hosts: ``(hosts, discovered)`` after it.
+    """Sniff the landed pages of all due hosts: ``(hosts, discovered)`` after it.
 
     Boards no source reads yet join discovery with their host's name and hits.
     """
     met = upsert_hosts(hosts, unplaced_hosts(rows, configured), as_of)
-    due = hosts_due(met, limit, as_of, cfg).select(
+    due = open_hosts(met, as_of, cfg).select(
         "host", F.col("sample_url").alias("url"), "name", "hits")
     landed = due.join(pages.select("url", "html"), "url")
     found = sniff_signatures(landed.select("url", "html")).where(
@@ -168,16 +182,20 @@ def board_evidence(rows: DataFrame, as_of: int, cfg: Settings = DEFAULT,
         F.count_if(counts & (F.col("verdict.tier") == "strict")).alias("strict"))
 
 
-def candidates_due(candidates: DataFrame, discovered: DataFrame, limit: int, as_of: int,
-                   cfg: Settings = DEFAULT) -> DataFrame:
-    """Candidates to scrape: never checked first, then longest ago, then most linked."""
+def open_candidates(candidates: DataFrame, discovered: DataFrame, as_of: int,
+                    cfg: Settings = DEFAULT) -> DataFrame:
+    """All candidates whose check is due: linked of late, and not checked for a while."""
     linked = F.col("last_seen") >= as_of - cfg.discovery_stale_days * DAY
     unchecked = F.col("checked_at").isNull() | (
         F.col("checked_at") < as_of - cfg.explore_recheck_days * DAY)
-    open_ = candidates.where(linked & unchecked).join(
+    return candidates.where(linked & unchecked).join(
         discovered.select(*BOARD), BOARD, "left_anti")
-    return open_.orderBy(F.col("checked_at").isNotNull(), "checked_at", F.desc("links"), "name",
-                         *BOARD).limit(limit)
+
+
+def candidates_due(candidates: DataFrame, discovered: DataFrame, limit: int, as_of: int,
+                   cfg: Settings = DEFAULT) -> DataFrame:
+    """The list for a crawler: never checked first, then longest ago, then most linked."""
+    return open_candidates(candidates, discovered, as_of, cfg).orderBy(F.col("checked_at").isNotNull(), "checked_at", F.desc("links"), "name", *BOARD).limit(limit)
 
 
 def candidates_summary(candidates: DataFrame) -> DataFrame:
@@ -186,14 +204,19 @@ def candidates_summary(candidates: DataFrame) -> DataFrame:
         F.count_if((F.col("student") > 0) & (F.col("canada") > 0)).alias("hits"))
 
 
-def hosts_due(hosts: DataFrame, limit: int, as_of: int, cfg: Settings = DEFAULT) -> DataFrame:
+def open_hosts(hosts: DataFrame, as_of: int, cfg: Settings = DEFAULT) -> DataFrame:
     """Hosts whose back-off is over: 30 days after nothing, 7 after a find, else the error wait."""
     result = F.coalesce("result", F.lit(""))
     wait = (F.when(result == "no supported ATS", 30)
             .when(F.lower(result).startswith("error:"), cfg.sniff_every_days).otherwise(7))
     due = F.col("last_sniffed").isNull() | (F.col("last_sniffed") < as_of - wait * DAY)
     recent = F.col("last_seen") >= as_of - cfg.discovery_stale_days * DAY
-    return hosts.where(recent & due).orderBy(F.desc("hits"), "host").limit(limit)
+    return hosts.where(recent & due)
+
+
+def hosts_due(hosts: DataFrame, limit: int, as_of: int, cfg: Settings = DEFAULT) -> DataFrame:
+    """The list for a crawler: due hosts, most linked first."""
+    return open_hosts(hosts, as_of, cfg).orderBy(F.desc("hits"), "host").limit(limit)
 
 
 def hosts_rows(hosts: DataFrame) -> DataFrame:
@@ -209,7 +232,7 @@ def explore(candidates: DataFrame, discovered: DataFrame, scraped: DataFrame,
     error)`` the boards that did not answer. Boards with a Canadian student
     role join discovery.
     """
-    due = candidates_due(candidates, discovered, cfg.explore_max_boards, as_of, cfg).where(
+    due = open_candidates(candidates, discovered, as_of, cfg).where(
         F.col("platform").isin(readable_platforms())).select(*BOARD, "name")
     failed = due.join(failures, BOARD).select(
         *BOARD, "name", F.lit(0).cast("bigint").alias("jobs"),

@@ -26,11 +26,8 @@ class Settings:
     discovery_stale_days: int = 30
     promote_max: int = 60
     sniff_every_days: int = 14
-    explore_max_boards: int = 1500
     explore_recheck_days: int = 30
     sitemap_max_age_days: int = 21
-    sitemap_max_pages: int = 40
-    sitemap_max_children: int = 10
     feed_limit: int = 200
     alert_limit: int = 5
     timezone: str = "America/Toronto"
