@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,21 +36,50 @@ def local_session(cpus: str = "8", memory: str = "8g", app: str = "jobsluice") -
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where unset."""
+    """The cluster's shared checkpoint folder.
+
+    Executors of a cluster do not share a machine's own folders, so one is made
+    only where driver and executors are a single local process.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="jobsluice-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    if shared:
+        return shared
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="jobsluice-"))
+    return _LOCAL[0]
+
+
+_LOCAL: list[str] = []
+_SCOPES: list[str] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Everything materialised inside goes to one folder, deleted at the end.
+
+    What is to last must have been written elsewhere by then.
+    """
+    path = f"{scratch_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    _SCOPES.append(path)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage like a reliable checkpoint, survives the loss of any
     executor, and gives later joins exact file sizes to plan with.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    base = _SCOPES[-1] if _SCOPES else scratch_dir(spark).rstrip("/")
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
