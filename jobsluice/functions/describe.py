@@ -14,11 +14,19 @@ def plain_description(text: Column) -> Column:
     return strip_tags(F.coalesce(text, F.lit("")))
 
 
+def _any_term() -> str:
+    return "(?iU)" + "|".join(f"(?:{pattern})" for _, pattern in vocab.DESCRIPTION_TERMS)
+
+
 def description_terms(plain: Column) -> Column:
-    """Labels of the distinct terms a tag-free description names."""
-    return F.array_compact(F.array(*[
+    """Labels of the distinct terms a tag-free description names.
+
+    Most texts name none; one pass over all patterns at once ends those.
+    """
+    named = F.array_compact(F.array(*[
         F.when(plain.rlike(f"(?iU){pattern}"), F.lit(label))
         for label, pattern in vocab.DESCRIPTION_TERMS]))
+    return F.when(plain.rlike(_any_term()), named).otherwise(F.array().cast("array<string>"))
 
 
 def description_mentions(plain: Column) -> Column:
