@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from jobsluice.catalog.roles import SHOWN, sources
 from jobsluice.functions import render
 from jobsluice.operators import discovery, feed, health, state
 from jobsluice.plans import publish
+from jobsluice.plans.discover import digest_round, discovery_round
+from jobsluice.plans.run import empty_state, publish_state, read_state
 from jobsluice.session import scratch_dir
 from jobsluice.settings import Settings
 from jobsluice.streaming.increment import last_version, presence_counter, run_increment
@@ -440,11 +443,11 @@ def sniff(spark, folder):
 
 @query("sniff_promote", """
     select concat('h', cast(page_id as varchar)) as host,
-      case when row_number() over (order by page_id desc) <= 1000 then case page_id % 9
+      case page_id % 9
         when 7 then 'no supported ATS' when 8 then 'no supported ATS'
         when 0 then concat('ashby Acme', cast(page_id as varchar))
         when 1 then case when page_id % 2 = 0 then 'no supported ATS'
-          else concat('greenhouse acme', cast(page_id as varchar)) end else 'board' end end as result
+          else concat('greenhouse acme', cast(page_id as varchar)) end else 'board' end as result
     from pages""")
 def sniff_promote(spark, folder):
     pages = _marked(spark, folder)
@@ -458,7 +461,7 @@ def sniff_promote(spark, folder):
         F.concat(L("ACME"), C("page_id").cast("string")).alias("token"))
     none = spark.createDataFrame([], state.DISCOVERED_SCHEMA)
     rows = postings(spark, folder).limit(0)
-    sniffed, _ = discovery.sniff_due_hosts(hosts, none, rows, pages, known, 1000, AS_OF)
+    sniffed, _ = discovery.sniff_due_hosts(hosts, none, rows, pages, known, AS_OF)
     short = C("result").rlike("^(no supported|ashby|greenhouse)")
     return sniffed.select("host", F.when(C("result").isNull() | short, C("result")).otherwise(
         "board").alias("result"))
@@ -518,6 +521,62 @@ def select_promoted(spark, folder):
         _discovered(spark, folder), curated, _promoted(spark, folder)).select("turn", "name")
 
 
+# Boards 0 to 39 list postings, 41 to 60 do not answer; those not active are not judged.
+AFTER = f"""select disc.k, disc.token, name, ev.token is not null as good,
+      case when ev.token is not null then 0 when {{act}} and k between 41 and 60 then fails + 1
+        else fails end as fails,
+      case when ev.token is null then ok_streak when student > 0 then
+        case when ok_streak > 0 then ok_streak + 1 else 1 end
+        else case when ok_streak < 0 then ok_streak - 1 else -1 end end as ok_streak,
+      case when canada > 0 then canada else canada_hits end as canada_hits,
+      coalesce(student, student_jobs) as student_jobs, coalesce(strict, strict_jobs) as strict_jobs
+    from disc left join ev on ev.token = disc.token and {{act}}""".replace(
+    "{act}", f"(fails < 5 and k % 45 <= 30)")
+
+
+@query("disc_round", duck("""
+    select 'board' as kind, token, cast(fails as int) as fails, cast(ok_streak as int) as ok_streak,
+      cast(canada_hits as bigint) as canada_hits, cast(student_jobs as bigint) as student_jobs,
+      cast(strict_jobs as bigint) as strict_jobs, cast(null as int) as turn from after
+    union all select * from (select 'promoted', token, null, null, null, null, null,
+      cast(row_number() over (order by strict_jobs desc, student_jobs desc, canada_hits desc,
+        lower(name), lower(token)) as int) as turn from after
+      where fails = 0 and k % 41 <> 0
+        and (strict_jobs >= 1 or (student_jobs >= 2 and ok_streak >= 1))) p where turn <= 60""",
+                          **d.classified(), disc=DISC, ev="""
+    select concat('T', cast(ck % 40 as varchar)) as token,
+      count(*) filter (scope in ('ontario', 'canada')) as canada,
+      count(*) filter (new_tier is not null) as student,
+      count(*) filter (new_tier = 'strict') as strict from judged group by 1""", after=AFTER))
+def disc_round(spark, folder):
+    rows = postings(spark, folder, "ck").withColumns(
+        {"platform": L("lever"), "token": F.concat(L("T"), (C("ck") % 40).cast("string"))})
+    number = F.regexp_extract("token", r"(\d+)$", 1).cast("bigint")
+    boards = _discovered(spark, folder).withColumn(
+        "last_canada", (L(AS_OF_2026) - number % 45 * DAY).cast("bigint"))
+    silent = boards.where(number.between(41, 60)).select("platform", "token", L("down").alias("error"))
+    nobody = boards.limit(0).select("platform", "token", "name")
+    found = discovery_round(boards, rows, silent, nobody, nobody, AS_OF_2026)
+    counts = ["fails", "ok_streak", "canada_hits", "student_jobs", "strict_jobs"]
+    return found.discovered.select(L("board").alias("kind"), "token", *counts,
+                                   L(None).cast("int").alias("turn")).unionByName(
+        found.promoted.select(L("promoted").alias("kind"), "token", *[
+            L(None).cast(dict(boards.dtypes)[c]).alias(c) for c in counts],
+            C("turn").cast("int").alias("turn")))
+
+
+@query("digest_round", duck("""
+    select uid, tier = 'loose' and not digested as sent,
+      digested or coalesce(tier = 'loose', false) as digested from fx
+    where tier is not null"""))
+def digest_round_query(spark, folder):
+    stored = jobs(spark, folder)
+    found = digest_round(stored)
+    sent = found.pending.select("uid", L(True).alias("sent"))
+    return found.jobs.where("tier is not null").join(sent, "uid", "left").select(
+        "uid", F.coalesce("sent", L(False)).alias("sent"), "digested")
+
+
 # --- published rows ------------------------------------------------------------------------------------
 
 def _items(tier: str, rank: int) -> dict[str, str]:
@@ -625,23 +684,49 @@ def alert_rows(spark, folder):
 
 # --- streams --------------------------------------------------------------------------------------------
 
-@query("stream_run")
+# Five sources, fetched on four days: the even postings, those not divisible by three (source 4
+# only in part), the even ones again, and then nothing new (sources 0 and 1) or every fourth.
+@query("stream_run", duck(f"""
+    select concat('greenhouse:t', cast(k % 5 as varchar), ':', cast(k as varchar)) as uid,
+      cast({AS_OF_2026} + {DAY} * case when k % 2 = 0 then 0 else 1 end as bigint) as first_seen,
+      cast({AS_OF_2026} + {DAY} * case when k % 2 = 1 then 1 when k % 4 = 0 and k % 5 > 1 then 3
+        else 2 end as bigint) as last_seen,
+      cast(case when k % 2 = 1 then 1 else 0 end
+        + case when k % 5 > 1 and k % 4 <> 0 then 1 else 0 end as int) as misses
+    from fx where k % 2 = 0 or k % 3 <> 0"""))
 def stream_run(spark, folder):
-    """Two landed batches through the whole incremental run; the jobs table after it."""
+    """Four landings through the whole incremental run; the newest snapshot after them."""
     base = f"{scratch_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     record = F.struct(C("k").alias("id"), "title", F.struct(C("location").alias("name"))
-                      .alias("location"), C("url").alias("absolute_url"), C("day")
-                      .alias("first_published"))
-    pages = landed(fx(spark, folder), "greenhouse", "acme", record, '{"jobs":{}}')
-    for part in range(2):
-        pages.where(C("page_seq") % 2 == part).coalesce(1).write.mode("append").parquet(
+                      .alias("location"), C("url").alias("absolute_url"))
+    rows, group = fx(spark, folder), C("k") % 5
+    days = [(C("k") % 2 == 0), (C("k") % 3 != 0), (C("k") % 2 == 0),
+            F.when(group > 1, C("k") % 4 == 0).otherwise(C("k") % 2 == 0)]
+    for day, met in enumerate(days):
+        # A page for each source and range of postings.
+        number = (F.floor(C("k") / 100) * 5 + group).cast("int")
+        pages = landed(rows.where(met), "greenhouse", "t", record, '{"jobs":{}}', page=number)
+        of = (C("page_seq") % 5).cast("string")
+        pages.withColumns({
+            "source": F.concat(L("Acme "), of), "token": F.concat(L("t"), of),
+            "fetched_at": L(AS_OF_2026 + day * DAY).cast("bigint"),
+            "complete": ~((C("page_seq") % 5 == 4) & L(day == 1))}).write.mode("append").parquet(
             f"{base}/landing")
-    stream = run_increment(spark, f"{base}/landing", f"{base}/state", f"{base}/checkpoint",
-                           sources(spark, folder), AS_OF_2026, files_per_batch=1)
-    stream.awaitTermination()
-    return spark.read.schema(state.JOBS_SCHEMA).parquet(
-        f"{base}/state/version={last_version(stream)}/jobs").select(
-            "uid", "title", "tier", "reason", "group_id", "misses")
+        run_increment(spark, f"{base}/landing", f"{base}/state", f"{base}/checkpoint",
+                      sources(spark, folder), AS_OF_2026 + day * DAY).awaitTermination()
+    return read_state(spark, f"{base}/state").jobs.select(
+        "uid", "first_seen", "last_seen", "misses")
+
+
+@query("published_state", duck("select uid, title from fx where tier = 'strict'"))
+def published_state(spark, folder):
+    """The newest whole snapshot, past an older one and one that was never finished."""
+    base = f"{scratch_dir(spark).rstrip('/')}/state-{uuid.uuid4().hex}"
+    stored = replace(empty_state(spark), jobs=jobs(spark, folder))
+    publish_state(stored, base, 0)
+    publish_state(replace(stored, jobs=stored.jobs.where("tier = 'strict'")), base, 1)
+    stored.jobs.write.parquet(f"{base}/version=2/jobs")
+    return read_state(spark, base).jobs.select("uid", "title")
 
 
 @query("stream_presence", """
