@@ -47,7 +47,7 @@ _STREET = vocab.NOT_A_STREET.removeprefix("(?!").removesuffix(")")
 def _guarded(text: str, towns: list[str], two: str) -> str:
     names = "|".join(towns)
     elsewhere = rf"\s*,\s*(?:{two}{END}|{_REGION_NAMES}"
-    return blank(text, rf"\b(?:{names})\b(?:{_STREET}|{elsewhere})")
+    return blank(text, rf"(?:{names})(?:{_STREET}|{elsewhere})")
 
 
 def _cleaned(text: str) -> str:
@@ -58,23 +58,19 @@ def _cleaned(text: str) -> str:
     return _guarded(text, vocab.CALIFORNIA_TOWNS, _TWO_OR_CA)
 
 
-def _bare(names: list[str]) -> list[str]:
-    return [rf"\b{n}\b" for n in names]
-
-
 def ontario(text: str) -> str:
     terms = [t.split("(?!\\s*,")[0] for t in vocab.ONTARIO_PLAIN]
-    terms += _bare(vocab.SHARED_TOWNS + vocab.SHARED_GTA_TOWNS + vocab.CALIFORNIA_TOWNS)
+    terms += vocab.SHARED_TOWNS + vocab.SHARED_GTA_TOWNS + vocab.CALIFORNIA_TOWNS
     return any_rx(_cleaned(text), terms)
 
 
 def commute(text: str) -> str:
-    return any_rx(_cleaned(text), vocab.COMMUTE_PLAIN + _bare(
-        vocab.COMMUTE_SHARED_TOWNS + vocab.SHARED_GTA_TOWNS + vocab.CALIFORNIA_TOWNS))
+    return any_rx(_cleaned(text), vocab.COMMUTE_PLAIN + vocab.COMMUTE_SHARED_TOWNS
+                  + vocab.SHARED_GTA_TOWNS + vocab.CALIFORNIA_TOWNS)
 
 
 def far(text: str) -> str:
-    return any_rx(_cleaned(text), vocab.FAR_PLAIN + _bare(vocab.FAR_SHARED_TOWNS))
+    return any_rx(_cleaned(text), vocab.FAR_PLAIN + vocab.FAR_SHARED_TOWNS)
 
 
 def other_canada(text: str) -> str:

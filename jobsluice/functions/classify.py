@@ -11,7 +11,7 @@ from jobsluice.functions.cycles import cycle_verdict, names_live_cycle, parse_cy
 from jobsluice.functions.describe import (
     description_is_ai, description_terms, plain_description)
 from jobsluice.functions.places import location_scope
-from jobsluice.functions.vocab import any_of
+from jobsluice.functions.patterns import any_of
 from jobsluice.settings import DEFAULT, Settings
 
 AI_IN_DESCRIPTION = "AI in description"

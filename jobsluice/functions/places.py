@@ -6,21 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobsluice.functions import vocab
-from jobsluice.functions.vocab import any_of
+from jobsluice.functions.patterns import any_of, commute_terms, far_terms, ontario_terms
 
 IN_SCOPE = ["ontario", "canada"]
 
 
 def names_ontario(text: Column) -> Column:
-    return text.rlike(any_of(vocab.ONTARIO_TERMS))
+    return text.rlike(any_of(ontario_terms()))
 
 
 def names_commute(text: Column) -> Column:
-    return text.rlike(any_of(vocab.COMMUTE_TERMS))
+    return text.rlike(any_of(commute_terms()))
 
 
 def names_far(text: Column) -> Column:
-    return text.rlike(any_of(vocab.FAR_TERMS))
+    return text.rlike(any_of(far_terms()))
 
 
 def names_other_canada(text: Column) -> Column:

@@ -1,28 +1,12 @@
 """Word lists and patterns the rules match on.
 
 Everything in this module is a fixed value: the terms decide results and are
-kept as plain regular expressions, one term per entry. ``any_of`` turns a list
-into the pattern Spark matches with.
+kept as plain regular expressions, one term per entry. ``patterns`` puts them
+together into what Spark matches with.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-
-def any_of(terms: Iterable[str]) -> str:
-    """One case-insensitive, Unicode-aware alternation, for yes/no matching.
-
-    Terms that open a word share one boundary test, so most positions of a
-    text are passed over without trying any of them.
-    """
-    terms = list(terms)
-    words = [t.removeprefix(r"\b") for t in terms if t.startswith(r"\b")]
-    rest = [t for t in terms if not t.startswith(r"\b")]
-    opening = [rf"\b(?:{'|'.join(words)})"] if words else []
-    return "(?iU)" + "|".join(opening + rest)
-
-
 # --- Fixed values: title vocabularies --------------------------------------
 
 AI_TERMS = [
@@ -114,19 +98,22 @@ NOT_ELSEWHERE = r"(?!\s*,\s*(?!(?:ON|CA)(?![\w-]))" + OTHER_REGIONS + ")"
 NOT_ELSEWHERE_NOR_CA = r"(?!\s*,\s*(?!ON(?![\w-]))" + OTHER_REGIONS + ")"
 
 SHARED_TOWNS = [
-    "waterloo", "hamilton", "ottawa", "markham", "oakville", "woodbridge", r"richmond[\s\-]?hill",
-    "scarborough", "whitby", "pickering", "newmarket", "peterborough", "sudbury", "niagara",
+    r"\bwaterloo\b", r"\bhamilton\b", r"\bottawa\b", r"\bmarkham\b", r"\boakville\b",
+    r"\bwoodbridge\b", r"\brichmond[\s\-]?hill\b", r"\bscarborough\b", r"\bwhitby\b",
+    r"\bpickering\b", r"\bnewmarket\b", r"\bpeterborough\b", r"\bsudbury\b", r"\bniagara\b",
 ]
 SHARED_GTA_TOWNS = [
-    "aurora", "thornhill", "stouffville", "caledon", "bolton", "unionville", "georgetown",
-    r"halton[\s\-]?hills", "orangeville", "bowmanville", "clarington", "burlington", "milton",
+    r"\baurora\b", r"\bthornhill\b", r"\bstouffville\b", r"\bcaledon\b", r"\bbolton\b",
+    r"\bunionville\b", r"\bgeorgetown\b", r"\bhalton[\s\-]?hills\b", r"\borangeville\b",
+    r"\bbowmanville\b", r"\bclarington\b", r"\bburlington\b", r"\bmilton\b",
 ]
-CALIFORNIA_TOWNS = ["concord", r"king[\s\-]?city"]
+CALIFORNIA_TOWNS = [r"\bconcord\b", r"\bking[\s\-]?city\b"]
 COMMUTE_SHARED_TOWNS = [
-    "waterloo", "hamilton", "markham", "oakville", "woodbridge", r"richmond[\s\-]?hill",
-    "scarborough", "whitby", "pickering", "newmarket", "cambridge",
+    r"\bwaterloo\b", r"\bhamilton\b", r"\bmarkham\b", r"\boakville\b", r"\bwoodbridge\b",
+    r"\brichmond[\s\-]?hill\b", r"\bscarborough\b", r"\bwhitby\b", r"\bpickering\b",
+    r"\bnewmarket\b", r"\bcambridge\b",
 ]
-FAR_SHARED_TOWNS = ["ottawa", "peterborough", "sudbury", "niagara"]
+FAR_SHARED_TOWNS = [r"\bottawa\b", r"\bpeterborough\b", r"\bsudbury\b", r"\bniagara\b"]
 
 ONTARIO_PLAIN = [
     r"\bontario\b(?!\s*,\s*(?:california|oregon)\b)", r"\btoronto\b", r"\bgta\b",
@@ -151,21 +138,6 @@ FAR_PLAIN = [
 ]
 
 
-def _towns(names: list[str], guard: str) -> list[str]:
-    return [rf"\b{name}\b{NOT_A_STREET}{guard}" for name in names]
-
-
-ONTARIO_TERMS = (
-    ONTARIO_PLAIN + _towns(SHARED_TOWNS + SHARED_GTA_TOWNS, NOT_ELSEWHERE)
-    + _towns(CALIFORNIA_TOWNS, NOT_ELSEWHERE_NOR_CA)
-)
-COMMUTE_TERMS = (
-    COMMUTE_PLAIN + _towns(COMMUTE_SHARED_TOWNS + SHARED_GTA_TOWNS, NOT_ELSEWHERE)
-    + _towns(CALIFORNIA_TOWNS, NOT_ELSEWHERE_NOR_CA)
-)
-FAR_TERMS = FAR_PLAIN + _towns(FAR_SHARED_TOWNS, NOT_ELSEWHERE)
-
-PROVINCE_CODES = ["QC", "BC", "AB", "MB", "SK", "NS", "NB", "NL", "PE", "YT", "NT", "NU"]
 OTHER_CANADA_TERMS = [
     r"\bvancouver\b", r"\bburnaby\b", r"\bkelowna\b", r"\bvictoria,?\s*(?:bc|british)\b",
     r"british[\s\-]?columbia", r"\bmontr[eé]al\b", r"\bqu[eé]bec\b", r"\blaval\b",
@@ -174,7 +146,7 @@ OTHER_CANADA_TERMS = [
     r"\bmanitoba\b", r"\bhalifax\b", r"nova[\s\-]?scotia", r"\bmoncton\b", r"\bfredericton\b",
     r"\bsaskatoon\b", r"\bregina\b", r"saskatchewan", r"new[\s\-]?brunswick", r"newfoundland",
     r"prince[\s\-]?edward[\s\-]?island", r"\byukon\b", r"\bnunavut\b",
-    r"northwest[\s\-]?territories", r",\s*(?-i:" + "|".join(PROVINCE_CODES) + r")(?![\w-])",
+    r"northwest[\s\-]?territories", r",\s*(?-i:QC|BC|AB|MB|SK|NS|NB|NL|PE|YT|NT|NU)(?![\w-])",
 ]
 CANADA_TERMS = [r"\bcanada\b", r"\bcanadian\b"]
 REMOTE_TERMS = [
@@ -182,40 +154,33 @@ REMOTE_TERMS = [
     r"\bvirtual\b", r"fully[\s\-]?remote", r"remote[\s\-]?(?:first|friendly)",
 ]
 
-UK_NAMES = [r"u\.?k\.?", "scotland", "wales", r"northern\s+ireland"]
-US_STATES = [
-    "alabama", "alaska", "arizona", "arkansas", "california", "colorado", "connecticut",
-    "delaware", "florida", "georgia", "hawaii", "idaho", "illinois", "indiana", "iowa",
-    "kansas", "kentucky", "louisiana", "maine", "maryland", "massachusetts", "michigan",
-    "minnesota", "mississippi", "missouri", "montana", "nebraska", "nevada",
-    r"new\s+hampshire", r"new\s+jersey", r"new\s+mexico", r"new\s+york",
-    r"north\s+carolina", r"north\s+dakota", "ohio", "oklahoma", "oregon", "pennsylvania",
-    r"rhode\s+island", r"south\s+carolina", r"south\s+dakota", "tennessee", "texas", "utah",
-    "vermont", "virginia", "washington", r"west\s+virginia", "wisconsin", "wyoming",
-]
-US_CITIES = [
-    r"san\s+francisco", r"san\s+jose", r"san\s+diego", r"palo\s+alto", r"mountain\s+view",
-    "sunnyvale", "cupertino", "bellevue", "redmond", r"los\s+angeles", "seattle", "austin",
-    "boston", "chicago", "denver", "atlanta", "dallas", "houston", "phoenix", "miami",
-    "philadelphia", "pittsburgh", "detroit", "minneapolis", r"cambridge,\s*ma",
-]
-COUNTRIES = [
-    r"united\s+states", "usa", r"u\.s\.a?\.", "india", r"united\s+kingdom", "england",
-    "ireland", "germany", "france", "spain", "poland", "romania", "netherlands", "sweden",
-    "norway", "denmark", "switzerland", "israel", "singapore", "japan", "china", "korea",
-    "australia", r"new\s+zealand", "brazil", "mexico", "argentina", "philippines", "vietnam",
-    "taiwan", r"hong\s+kong", "uae", "dubai", "egypt", "nigeria", "kenya", r"south\s+africa",
-    "portugal", "italy", "austria", "belgium", "czech", "hungary", "greece", "turkey",
-    "finland", "estonia", "lithuania", "ukraine", r"costa\s+rica", "colombia", "chile",
-    "peru", "malaysia", "indonesia", "thailand", "pakistan", "bangladesh", r"sri\s+lanka",
-]
-STATE_CODES = (
-    "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA MA MD ME MI MN MO MS MT NC ND NE "
-    "NH NJ NM NV NY OH OK OR PA RI SC SD TN TX UT VA VT WA WI WV WY DC"
-).split()
 FOREIGN_TERMS = [
-    r"\b(?:" + "|".join(names) + r")\b" for names in (UK_NAMES, US_STATES, US_CITIES, COUNTRIES)
-] + [r",\s*(?-i:" + "|".join(STATE_CODES) + r")\b", r"\bUS-[A-Z]{2}-"]
+    r"\b(?:u\.?k\.?|scotland|wales|northern\s+ireland)\b",
+    r"\b(?:alabama|alaska|arizona|arkansas|california|colorado|connecticut|"
+    r"delaware|florida|georgia|hawaii|idaho|illinois|indiana|iowa|kansas|"
+    r"kentucky|louisiana|maine|maryland|massachusetts|michigan|minnesota|"
+    r"mississippi|missouri|montana|nebraska|nevada|new\s+hampshire|"
+    r"new\s+jersey|new\s+mexico|new\s+york|north\s+carolina|north\s+dakota|"
+    r"ohio|oklahoma|oregon|pennsylvania|rhode\s+island|south\s+carolina|"
+    r"south\s+dakota|tennessee|texas|utah|vermont|virginia|washington|"
+    r"west\s+virginia|wisconsin|wyoming)\b",
+    r"\b(?:san\s+francisco|san\s+jose|san\s+diego|palo\s+alto|mountain\s+view|"
+    r"sunnyvale|cupertino|bellevue|redmond|los\s+angeles|seattle|austin|"
+    r"boston|chicago|denver|atlanta|dallas|houston|phoenix|miami|"
+    r"philadelphia|pittsburgh|detroit|minneapolis|cambridge,\s*ma)\b",
+    r"\b(?:united\s+states|usa|u\.s\.a?\.|india|united\s+kingdom|england|ireland|"
+    r"germany|france|spain|poland|romania|netherlands|sweden|norway|denmark|"
+    r"switzerland|israel|singapore|japan|china|korea|australia|new\s+zealand|"
+    r"brazil|mexico|argentina|philippines|vietnam|taiwan|hong\s+kong|uae|"
+    r"dubai|egypt|nigeria|kenya|south\s+africa|portugal|italy|austria|belgium|"
+    r"czech|hungary|greece|turkey|finland|estonia|lithuania|ukraine|"
+    r"costa\s+rica|colombia|chile|peru|malaysia|indonesia|thailand|pakistan|"
+    r"bangladesh|sri\s+lanka)\b",
+    r",\s*(?-i:AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|MA|MD|ME|"
+    r"MI|MN|MO|MS|MT|NC|ND|NE|NH|NJ|NM|NV|NY|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|"
+    r"VA|VT|WA|WI|WV|WY|DC)\b",
+    r"\bUS-[A-Z]{2}-",
+]
 FOREIGN_UPPER = r"\b(?:SF|LA|NYC|DC)\b"
 
 # --- Fixed values: work terms -------------------------------------------------
