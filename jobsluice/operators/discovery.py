@@ -18,11 +18,10 @@ from jobsluice.session import materialise
 from jobsluice.settings import DEFAULT, Settings
 from jobsluice.sources.base import SOURCES
 
-OTHER_PLATFORMS = ["sitemap"]
 
 
 def readable_platforms() -> list[str]:
-    return sorted([*SOURCES, *OTHER_PLATFORMS])
+    return sorted(set(SOURCES) - {"careers", "tracker"})
 
 
 def _place() -> Column:

@@ -1,3 +1,7 @@
 """Landed payloads to posting rows, one function per board platform."""
 
-from jobsluice.sources import json_boards, markup_boards  # noqa: F401  (register themselves)
+from jobsluice.sources import (  # noqa: F401  (register themselves)
+    documents,
+    json_boards,
+    markup_boards,
+)
