@@ -424,7 +424,7 @@ def _marked(spark, folder):
         mark, L("{}"), C("page_id").cast("string"))))
 
 
-@query("sniff", """
+SNIFFED = """
     select page_id, case page_id % 9 when 0 then 'ashby' when 1 then 'greenhouse'
         when 2 then 'workday' when 3 then 'jibe' when 4 then 'icims' when 5 then 'successfactors'
         when 6 then 'eightfold' else 'sapsf' end as platform,
@@ -434,21 +434,26 @@ def _marked(spark, folder):
         when 5 then concat(site, '/search/?q=&locationsearch=Ontario')
         when 6 then concat('t', n, '.eightfold.ai|t', n, '.com') else concat('x', n) end as token
     from (select page_id, cast(page_id as varchar) as n,
-      regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) as site from pages) p where page_id % 9 <> 7""")
+      regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) as site from pages) p"""
+
+
+@query("sniff", SNIFFED + " where page_id % 9 <> 7")
 def sniff(spark, folder):
     pages = _marked(spark, folder)
     hits = discovery.sniff_signatures(pages.select("url", "html"))
     return pages.select("url", "page_id").join(hits, "url").select("page_id", "platform", "token")
 
 
-@query("sniff_promote", """
-    select concat('h', cast(page_id as varchar)) as host,
+@query("sniff_promote", f"""
+    select 'host' as kind, concat('h', cast(page_id as varchar)) as host,
       case page_id % 9
         when 7 then 'no supported ATS' when 8 then 'no supported ATS'
         when 0 then concat('ashby Acme', cast(page_id as varchar))
         when 1 then case when page_id % 2 = 0 then 'no supported ATS'
           else concat('greenhouse acme', cast(page_id as varchar)) end else 'board' end as result
-    from pages""")
+    from pages
+    union all select distinct 'discovered', platform, token from ({SNIFFED}) s
+    where page_id % 9 < 7 and not (page_id % 9 = 1 and page_id % 2 = 0)""")
 def sniff_promote(spark, folder):
     pages = _marked(spark, folder)
     host = F.concat(L("h"), C("page_id").cast("string"))
@@ -461,10 +466,12 @@ def sniff_promote(spark, folder):
         F.concat(L("ACME"), C("page_id").cast("string")).alias("token"))
     none = spark.createDataFrame([], state.DISCOVERED_SCHEMA)
     rows = postings(spark, folder).limit(0)
-    sniffed, _ = discovery.sniff_due_hosts(hosts, none, rows, pages, known, AS_OF)
+    sniffed, found = discovery.sniff_due_hosts(hosts, none, rows, pages, known, AS_OF)
     short = C("result").rlike("^(no supported|ashby|greenhouse)")
-    return sniffed.select("host", F.when(C("result").isNull() | short, C("result")).otherwise(
-        "board").alias("result"))
+    return sniffed.select(L("host").alias("kind"), "host", F.when(
+        C("result").isNull() | short, C("result")).otherwise("board").alias("result")).unionByName(
+            found.select(L("discovered").alias("kind"), C("platform").alias("host"),
+                         C("token").alias("result")))
 
 
 @query("board_evidence", duck("""
@@ -481,10 +488,16 @@ def board_evidence(spark, folder):
 
 
 @query("explore", duck("""
-    select cast(ck % 200 as bigint) as board, concat(cast(count(*) as varchar), ' jobs, ',
+    select 'candidate' as kind, cast(ck % 200 as bigint) as board, concat(cast(count(*) as varchar), ' jobs, ',
         cast(count(*) filter (scope in ('ontario', 'canada')) as varchar), ' in Canada, ',
-        cast(count(*) filter (new_tier is not null) as varchar), ' student') as result
-    from judged group by 1""", **d.classified()))
+        cast(count(*) filter (new_tier is not null) as varchar), ' student') as result,
+      cast(null as bigint) as canada_hits, cast(null as bigint) as student_jobs
+    from judged group by ck % 200
+    union all select 'discovered', cast(ck % 200 as bigint), null,
+      cast(count(*) filter (scope in ('ontario', 'canada')) as bigint),
+      cast(count(*) filter (new_tier is not null) as bigint) as student
+    from judged group by ck % 200 having count(*) filter (new_tier is not null) > 0""",
+                        **d.classified()))
 def explore(spark, folder):
     rows = postings(spark, folder, "ck").withColumns(
         {"platform": L("lever"), "token": (C("ck") % 200).cast("string")})
@@ -495,8 +508,13 @@ def explore(spark, folder):
         L(0).cast("bigint").alias("student"), L(None).cast("string").alias("result"))
     none = spark.createDataFrame([], state.DISCOVERED_SCHEMA)
     fails = spark.createDataFrame([], "platform string, token string, error string")
-    checked, _ = discovery.explore(due, none, rows, fails, AS_OF_2026)
-    return checked.select(C("token").cast("bigint").alias("board"), "result")
+    checked, found = discovery.explore(due, none, rows, fails, AS_OF_2026)
+    board, nothing = C("token").cast("bigint").alias("board"), L(None).cast("bigint")
+    return checked.select(
+        L("candidate").alias("kind"), board, "result", nothing.alias("canada_hits"),
+        nothing.alias("student_jobs")).unionByName(found.select(
+            L("discovered").alias("kind"), board, L(None).cast("string").alias("result"),
+            "canada_hits", "student_jobs"))
 
 
 PROMOTABLE = """fails = 0 and k % 41 <> 0 and (strict_jobs >= 1
@@ -746,14 +764,14 @@ def stream_presence(spark, folder):
     stamp = F.floor(F.expr(
         "timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 86400).cast("bigint")
     unit = C("event_id") % 50
-    met = (C("event_type") != "view") & (C("user_id") % 5 == unit % 5)
-    listing = events.where(met).select(
+    # Views are met on listings that hit a cap: they reset nothing and miss nobody.
+    listing = events.where(C("user_id") % 5 == unit % 5).select(
         (C("user_id") % 5).cast("string").alias("source"),
         F.concat(L("u"), unit.cast("string")).alias("uid"), stamp.alias("stamp"),
-        L(True).alias("complete"))
+        (C("event_type") != "view").alias("complete"))
     listing.repartitionByRange(4, "stamp").write.parquet(f"{base}/landing")
     stored = jobs(spark, folder).limit(0).unionByName(
-        listing.select("uid", "source").distinct().select(*[
+        listing.where("complete").select("uid", "source").distinct().select(*[
             F.col(c) if c in ("uid", "source") else L(0).cast("bigint").alias(c)
             if c in ("first_seen", "posted_at", "last_seen") else L(0).alias(c)
             if c == "misses" else L(False).alias(c)
