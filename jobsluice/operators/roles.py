@@ -18,7 +18,6 @@ from jobsluice.settings import DEFAULT, Settings
 
 KEYS = ["key_fp", "key_req", "key_host"]
 ORDER = "decimal(38,0)"
-MAX_ROUNDS = 50
 
 
 def with_role_keys(rows: DataFrame) -> DataFrame:
@@ -59,7 +58,8 @@ def connected_components(edges: DataFrame, cfg: Settings = DEFAULT) -> DataFrame
         edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .where("a <> b").distinct(), "edges")
     mark = _edge_mark(current)
-    for _ in range(MAX_ROUNDS):
+    # Every round but the last brings some node nearer its smallest one, so this ends.
+    while True:
         # A round at most doubles the edges it is given, by the second step.
         stars = _smaller_to_smallest(
             _largest_to_smallest(current, mark[0], cfg), 2 * mark[0], cfg)
@@ -68,8 +68,6 @@ def connected_components(edges: DataFrame, cfg: Settings = DEFAULT) -> DataFrame
         previous, mark = mark, _edge_mark(current)
         if mark == previous:
             break
-    else:
-        raise RuntimeError("role graph did not settle")
     centres = current.select(F.col("a").alias("node")).distinct().withColumn(
         "component", F.col("node"))
     return current.select(F.col("b").alias("node"), F.col("a").alias("component")) \

@@ -15,14 +15,15 @@ from jobsluice.settings import DEFAULT, Settings
 # Only the largest keys are ever split; a key below the list's reach holds at
 # most 1/10,000 of the rows, so the list is small whatever the data.
 MAX_HOT_KEYS = 10_000
-MAX_SPLITS = 256
+# Rows without a key have no partner to repeat, so they can be dealt as finely as one likes.
+KEYLESS_SPLITS = 1 << 20
 # A side is broadcast only when counting shows it has no more rows than this.
 BROADCAST_ROWS = 100_000
 
 
 def hot_keys(counts: DataFrame, on: list[str], cfg: Settings = DEFAULT) -> DataFrame:
     """The largest keys of ``counts(on..., n)`` and how many ways to split each."""
-    splits = F.least(F.ceil(F.col("n") / cfg.hot_rows) + 1, F.lit(MAX_SPLITS)).cast("int")
+    splits = (F.ceil(F.col("n") / cfg.hot_rows) + 1).cast("int")
     top = counts.where(F.col("n") >= cfg.hot_rows).orderBy(F.desc("n")).limit(MAX_HOT_KEYS)
     return top.select(*on, splits.alias("_splits"))
 
@@ -49,7 +50,7 @@ def split_lookup(left: DataFrame, right: DataFrame, on: list[str], spread: list[
     keyless = F.lit(False)
     for column in on:
         keyless = keyless | F.col(column).isNull()
-    own_ways = F.when(keyless, F.lit(MAX_SPLITS)).otherwise(ways)
+    own_ways = F.when(keyless, F.lit(KEYLESS_SPLITS)).otherwise(ways)
     rows = left.join(hot, on, "left").withColumn(
         "_split", F.pmod(F.xxhash64(*spread), own_ways).cast("int")).drop("_splits")
     keyed = right.join(hot, on, "left").withColumn(

@@ -156,7 +156,7 @@ def read_descriptions(found: DataFrame, as_of: int) -> DataFrame:
     return scored.select(
         "uid", _now(as_of).alias("checked_at"), F.size("_terms").alias("score"),
         F.array_join("_terms", ", ").alias("terms"),
-        F.nullif(F.substring("error", 1, 300), F.lit("")).alias("error"))
+        F.nullif(F.col("error"), F.lit("")).alias("error"))
 
 
 def record_descriptions(descriptions: DataFrame, read: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def upsert_health(health: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.max(F.when(good, F.col("at"))).alias("_success"),
         F.max_by(F.when(counted, F.col("rows")),
                  F.when(counted, F.struct("at", "rows"))).alias("_count"),
-        F.max_by(F.when(~good, F.substring("error", 1, 500)),
+        F.max_by(F.when(~good, F.col("error")),
                  F.when(~good, F.struct("at", "error"))).alias("_error"),
         F.max(F.when(~good, F.col("at"))).alias("_error_at"),
         F.max(F.struct("at", "ok")).alias("_last"))
@@ -302,7 +302,7 @@ def discovered_outcome(discovered: DataFrame, outcomes: DataFrame, as_of: int) -
     return joined.withColumns({
         "last_ok": pick(_now(as_of), "last_ok"),
         "last_attempt": F.when(met, _now(as_of)).otherwise(F.col("last_attempt")),
-        "last_error": F.when(failed, F.substring("_error", 1, 500)).when(good, None).otherwise(
+        "last_error": F.when(failed, F.col("_error")).when(good, None).otherwise(
             F.col("last_error")),
         "fails": F.when(good, 0).when(failed, F.col("fails") + 1).otherwise(F.col("fails")),
         "job_count": pick(F.col("_jobs"), "job_count"),
@@ -340,7 +340,7 @@ def candidates_checked(candidates: DataFrame, results: DataFrame, as_of: int) ->
         "checked_at": F.when(met, _now(as_of)).otherwise(F.col("checked_at")),
         "canada": F.when(met, F.col("_canada")).otherwise(F.col("canada")),
         "student": F.when(met, F.col("_student")).otherwise(F.col("student")),
-        "result": F.when(met, F.substring("_result", 1, 300)).otherwise(F.col("result")),
+        "result": F.when(met, F.col("_result")).otherwise(F.col("result")),
     }).select(*candidates.columns)
 
 
@@ -365,5 +365,5 @@ def hosts_sniffed(hosts: DataFrame, results: DataFrame, as_of: int) -> DataFrame
     met = F.coalesce("_met", F.lit(False))
     return joined.withColumns({
         "last_sniffed": F.when(met, _now(as_of)).otherwise(F.col("last_sniffed")),
-        "result": F.when(met, F.substring("_result", 1, 300)).otherwise(F.col("result")),
+        "result": F.when(met, F.col("_result")).otherwise(F.col("result")),
     }).select(*hosts.columns)
