@@ -18,9 +18,22 @@ MAX_NESTING = 4
 
 
 @F.pandas_udf(T.StringType())
-def unescape_html(text: pd.Series) -> pd.Series:
-    """HTML entities decoded; the engine has no built-in for the entity table."""
-    return text.map(lambda s: html.unescape(s) if s is not None and "&" in s else s)
+def _decode(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: None if s is None else html.unescape(s))
+
+
+@F.pandas_udf(T.StringType())
+def _decode_twice(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: None if s is None else html.unescape(html.unescape(s)))
+
+
+def unescape_html(text: Column, twice: bool = False) -> Column:
+    """HTML entities decoded; the engine has no built-in for the entity table.
+
+    Only values with an ``&`` leave the JVM.
+    """
+    encoded = F.when(text.contains("&"), text)
+    return F.coalesce((_decode_twice if twice else _decode)(encoded), text)
 
 
 def strip(col: Column) -> Column:
@@ -69,16 +82,32 @@ def flatten_json(text: Column, enclosing: int = 0) -> Column:
     limit = MAX_NESTING + enclosing
     start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
 
+    def change(token: Column) -> Column:
+        return (F.when(token.isin("[", "{"), 1).when(token.isin("]", "}"), -1).otherwise(0))
+
+    def is_value(token: Column) -> Column:
+        return ~token.isin("[", "{", "]", "}") & ~token.endswith(":")
+
+    def literal(token: Column) -> Column:
+        return F.when(token == "true", F.lit('"remote"')).otherwise(token)
+
     def step(acc: Column, token: Column) -> Column:
-        opens, closes = token.isin("[", "{"), token.isin("]", "}")
-        depth = acc["depth"] + opens.cast("int") - closes.cast("int")
-        value = ~opens & ~closes & ~token.endswith(":") & (acc["depth"] <= limit)
-        literal = F.when(token == "true", F.lit('"remote"')).otherwise(token)
-        out = F.when(value, F.concat(acc["out"], F.array(literal))).otherwise(acc["out"])
-        return F.struct(depth.alias("depth"), out.alias("out"))
-
-    tokens = F.regexp_extract_all(text, F.lit(JSON_TOKEN), F.lit(0))
-    literals = F.aggregate(tokens, start, step, lambda acc: acc["out"])
+        kept = is_value(token) & (acc["depth"] <= limit)
+        out = F.when(kept, F.concat(acc["out"], F.array(literal(token)))).otherwise(acc["out"])
+        return F.struct((acc["depth"] + change(token)).alias("depth"), out.alias("out"))
+
+    def deepest(acc: Column, token: Column) -> Column:
+        depth = acc["depth"] + change(token)
+        return F.struct(depth.alias("depth"), F.greatest(acc["most"], depth).alias("most"))
+
+    def strings(tokens: Column) -> Column:
+        most = F.aggregate(tokens, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most")),
+                           deepest)["most"]
+        # Hardly a record is nested deeper than the limit; others are read in one pass.
+        return F.when(most <= limit, F.transform(F.filter(tokens, is_value), literal)).otherwise(
+            F.aggregate(tokens, start, step, lambda acc: acc["out"]))
+
+    literals = let(F.regexp_extract_all(text, F.lit(JSON_TOKEN), F.lit(0)), strings)
     decoded = F.from_json(
         F.concat(F.lit("["), F.array_join(literals, ","), F.lit("]")), "array<string>")
     return F.coalesce(decoded, F.array().cast("array<string>"))
@@ -111,7 +140,7 @@ def strip_tags(text: Column) -> Column:
 
 def html_to_text(text: Column, max_chars: int | None = None) -> Column:
     """Visible text of an HTML fragment whose entities may be encoded twice."""
-    decoded = unescape_html(unescape_html(clean_str(text)))
+    decoded = unescape_html(clean_str(text), twice=True)
     no_code = F.regexp_replace(decoded, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1>", " ")
     plain = collapse(strip_tags(no_code))
     return plain if max_chars is None else F.substring(plain, 1, max_chars)
