@@ -27,6 +27,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -45,7 +46,7 @@ LOG10 = math.log(10.0)
 class LatticeSettings:
     vocabulary: str = "piece_bpe_32k.model"
     # The most frequent words travel with every task; the others are joined.
-    head_words: int = 200_000
+    head_words: int = 120_000
     # Weight of the vocabulary's own scores, as a number of training pieces.
     prior: float = 100.0
     # Steps that start the weights, and how many of the most frequent words they read.
@@ -92,7 +93,7 @@ class Pieces:
         return root
 
 
-def arcs(text: str, trie: dict) -> list[list[tuple[int, list[int]]]]:
+def arcs_of(text: str, trie: dict) -> list[list[tuple[int, list[int]]]]:
     """For each place, the pieces that begin there: ``(end, piece ids)``."""
     out = []
     for start in range(len(text)):
@@ -155,11 +156,65 @@ def forward(text: str, trie: dict, weight: list[float]) -> float:
     return log_sum(into[-1])
 
 
-def expect(text: str, count: float, trie: dict, weight: list[float], into: np.ndarray) -> None:
-    """Add the expected uses of each piece in ``count`` occurrences of ``text``."""
-    steps = arcs(text, trie)
+# Products of piece weights of a word no longer than this stay within a float's range.
+SHORT = 40
+
+
+def expect(text: str, count: float, trie: dict, weight: list[float], share: list[float],
+           into: list[float]) -> None:
+    """Add the expected uses of each piece in ``count`` occurrences of ``text``.
+
+    ``weight`` are logs and ``share`` the same as probabilities, which short
+    words are summed in.
+    """
+    size = len(text)
+    if size > SHORT:
+        return _expect_long(text, count, trie, weight, into)
+    ahead, arcs = [0.0] * (size + 1), []
+    ahead[0] = 1.0
+    for start in range(size):
+        so_far = ahead[start]
+        node, at, single = trie, start, False
+        while at < size:
+            node = node.get(text[at])
+            if node is None:
+                break
+            at += 1
+            piece = node.get("")
+            if piece is not None:
+                p = share[piece]
+                ahead[at] += so_far * p
+                arcs.append((start, at, piece, p))
+                if at == start + 1:
+                    single = True
+        if not single:
+            p = 1.0
+            spelled = text[start].encode("utf-8", "surrogatepass")
+            for byte in spelled:
+                p *= share[byte]
+            ahead[start + 1] += so_far * p
+            arcs.append((start, start + 1, spelled, p))
+    if not ahead[size] > 0.0:
+        return _expect_long(text, count, trie, weight, into)
+    back = [0.0] * (size + 1)
+    back[size] = count / ahead[size]
+    for start, end, piece, p in reversed(arcs):
+        p *= back[end]
+        back[start] += p
+        p *= ahead[start]
+        if piece.__class__ is int:
+            into[piece] += p
+        else:
+            for byte in piece:
+                into[byte] += p
+
+
+def _expect_long(text: str, count: float, trie: dict, weight: list[float],
+                 into: list[float]) -> None:
+    """The same in log space."""
     size = len(text)
-    costs = [[(end, ids, sum(weight[i] for i in ids)) for end, ids in found] for found in steps]
+    costs = [[(end, ids, sum(weight[i] for i in ids)) for end, ids in found]
+             for found in arcs_of(text, trie)]
     incoming: list[list[float]] = [[] for _ in range(size + 1)]
     incoming[0].append(0.0)
     ahead = []
@@ -172,11 +227,10 @@ def expect(text: str, count: float, trie: dict, weight: list[float], into: np.nd
     back = [0.0] * (size + 1)
     for start in range(size - 1, -1, -1):
         back[start] = log_sum([cost + back[end] for end, _, cost in costs[start]])
-    for start in range(size):
         for end, ids, cost in costs[start]:
-            share = count * math.exp(ahead[start] + cost + back[end] - total)
+            uses = count * math.exp(ahead[start] + cost + back[end] - total)
             for piece in ids:
-                into[piece] += share
+                into[piece] += uses
 
 
 def lower_words(text: str) -> list[bytes]:
@@ -210,11 +264,12 @@ def _count_words(cfg: LatticeSettings):
 
 def _expected(pieces: Pieces, weight: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie, log_weight = pieces.trie(), weight.tolist()
-        uses = np.zeros(len(log_weight))
+        trie, log_weight, share = pieces.trie(), weight.tolist(), np.exp(weight).tolist()
+        uses = [0.0] * len(log_weight)
         for batch in batches:
-            for word, count in zip(batch["word"], batch["train"]):
-                expect(MARK + word, float(count), trie, log_weight, uses)
+            for word, count in zip(batch["word"].tolist(), batch["train"].tolist()):
+                expect(MARK + word, float(count), trie, log_weight, share, uses)
+        uses = np.array(uses)
         at = np.flatnonzero(uses)
         yield pd.DataFrame({"piece": at.astype(np.int32), "uses": uses[at]})
     return run
@@ -232,10 +287,11 @@ def _solve_words(pieces: Pieces, weight: np.ndarray):
     return run
 
 
-def _score(head: dict, cfg: LatticeSettings):
+def _score(head):
     """A row of sums for each text, and a row for each of its words that is not in the head."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = head.value if hasattr(head, "value") else head
+        place, none_found = head.value["place"].get, repeat(-1)
+        known, base, lattice = (head.value[c] for c in ("known", "base", "lattice"))
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
             kind = batch.schema.field(0).type
@@ -243,16 +299,11 @@ def _score(head: dict, cfg: LatticeSettings):
             for doc, held, text in zip(batch.column(0), batch.column(1).to_pylist(),
                                        batch.column(2)):
                 words = lower_words(text.as_py())
-                known, base, lattice, rest = 0, 0.0, 0.0, {}
-                for word in words:
-                    found = table.get(word)
-                    if found is None:
-                        rest[word] = rest.get(word, 0) + 1
-                    else:
-                        known += found[0]
-                        base += found[1]
-                        lattice += found[2]
-                sums.append((at, doc.as_py(), held, len(words) + 1, known, base, lattice))
+                rows = np.fromiter(map(place, words, none_found), np.int64, len(words))
+                found = rows[rows >= 0]
+                rest = Counter([words[k] for k in np.flatnonzero(rows < 0).tolist()])
+                sums.append((at, doc.as_py(), held, len(words) + 1, int(known[found].sum()),
+                             float(base[found].sum()), float(lattice[found].sum())))
                 tails.extend((at, w.decode("utf-8", "surrogatepass"), n)
                              for w, n in rest.items())
                 at += 1
@@ -272,6 +323,24 @@ def _score(head: dict, cfg: LatticeSettings):
     return run
 
 
+def most_frequent(words: DataFrame, count: str, most: int) -> DataFrame:
+    """The words above the lowest count that no more than ``most`` of them reach.
+
+    The bound is read off a histogram over the count's logarithm: a few hundred
+    rows whatever the data, and nothing is sorted.
+    """
+    step = F.floor(F.log2(count) * 16).alias("step")
+    steps = words.where(F.col(count) > 0).groupBy(step).agg(
+        F.count("*").alias("n"), F.min(count).alias("least")).orderBy(F.desc("step")).collect()
+    seen, least = 0, None
+    for row in steps:
+        seen += row["n"]
+        if seen > most:
+            break
+        least = row["least"]
+    return words.where(F.lit(False) if least is None else F.col(count) >= least)
+
+
 @dataclass(frozen=True)
 class LatticeModel:
     words: DataFrame        # word, train, all, lattice (log10)
@@ -297,7 +366,7 @@ def train(docs: DataFrame, held_out, text_col: str = "text",
     train_docs = docs.where(~held_out).count()
     pieces = Pieces.load(cfg)
     known = words.where("train > 0").select("word", "train")
-    first = store(known.orderBy(F.desc("train"), "word").limit(cfg.warm_words), "lattice-warm")
+    first = store(most_frequent(known, "train", cfg.warm_words), "lattice-warm")
     weight = np.log(pieces.prior)
     for step in range(cfg.warm_steps + 1):
         uses = (first if step < cfg.warm_steps else known).mapInPandas(
@@ -327,15 +396,17 @@ def score(docs: DataFrame, model: LatticeModel, held_out, id_col: str = "doc_id"
     valued = model.words.select("word", F.when(F.col("train") > 0, 1).otherwise(0)
                                 .cast("long").alias("w_known"), base("train").alias("w_base"),
                                 F.col("lattice").alias("w_lattice"), "all")
-    top = valued.orderBy(F.desc("all"), "word").limit(cfg.head_words).drop("all").toPandas()
+    # At most ``head_words`` rows come to the driver.
+    top = most_frequent(valued, "all", cfg.head_words).drop("all").toPandas()
     head = spark.sparkContext.broadcast({
-        w.encode("utf-8", "surrogatepass"): (k, b, s) for w, k, b, s in zip(
-            top["word"], top["w_known"].tolist(), top["w_base"].tolist(),
-            top["w_lattice"].tolist())})
+        "place": {w.encode("utf-8", "surrogatepass"): k for k, w in enumerate(top["word"])},
+        "known": top["w_known"].to_numpy(), "base": top["w_base"].to_numpy(),
+        "lattice": top["w_lattice"].to_numpy()})
+    del top
     kind = dict(docs.dtypes)[id_col]
     parts = store(docs.select(F.col(id_col).alias("id"), held_out.alias("held"),
                               whole_text(text_col).alias("text")).mapInArrow(
-        _score(head, cfg), f"rid long, id {kind}, held_out boolean, n_tokens long, known long, "
+        _score(head), f"rid long, id {kind}, held_out boolean, n_tokens long, known long, "
                            "base double, lattice double, word string, tf long"), "lattice-parts")
     rest = parts.where("word is not null").select("rid", "word", "tf") \
         .join(valued.drop("all"), "word").groupBy("rid").agg(

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 from brute import base_spans, quality_counts, sha, words_of
-from conftest import odd_rows, prose
+from rows import odd_rows, prose
 from pyspark.sql import functions as F
 
 from jobsluice.llm import mixing, quality, secrets, sharding

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 from brute import components, fingerprint, sha
-from conftest import odd_rows
+from rows import odd_rows
 from pyspark.sql import functions as F
 
 from jobsluice.llm import exact_dedup, simhash_dedup

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from brute import base_scores, segmentations, sha
-from conftest import odd_rows, prose
+from rows import odd_rows, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -107,8 +107,10 @@ def test_lattice_is_the_sum_over_segmentations():
     for word in ("▁abab", "▁", "▁aébab", "▁bbbaaab漢a"):
         want = segmentations(word, pieces, spelled)
         assert abs(lattice_lm.forward(word, trie, weights) - math.log(want)) < 1e-9
-        uses = np.zeros(len(weights))
-        lattice_lm.expect(word, 3.0, trie, weights, uses)
+        uses, long = [0.0] * len(weights), [0.0] * len(weights)
+        lattice_lm.expect(word, 3.0, trie, weights, np.exp(weights).tolist(), uses)
+        lattice_lm._expect_long(word, 3.0, trie, weights, long)
+        assert np.allclose(uses, long)
         covered = sum(uses[256 + k] * len(p) for k, p in enumerate(names))
         spelled_chars = sum(1 for c in word if c not in pieces)
         assert abs(covered - 3.0 * (len(word) - spelled_chars)) < 1e-6
