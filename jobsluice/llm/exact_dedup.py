@@ -144,9 +144,7 @@ def _merge(key: np.ndarray, texts: pa.Array, ids: pa.Array, n: np.ndarray, same:
 
 
 def _merged(table: pa.Table, text_at: int, id_at: int) -> pa.Table:
-    row = table.column("row").combine_chunks()
-    if isinstance(row, pa.ChunkedArray):
-        row = pa.concat_arrays(row.chunks) if row.num_chunks else row.type
+    row = pa.concat_arrays(table.column("row").chunks)
     stays, total, repeats, slot = _merge(
         table.column("key").to_numpy(), row.field(text_at), row.field(id_at),
         table.column("n").to_numpy(), table.column("same").to_numpy())
