@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,7 +53,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 _LOCAL: list[str] = []
-_SCOPES: list[str] = []
+# The folder that this thread's run writes to, while it has one of its own.
+_SCOPE: ContextVar[str | None] = ContextVar("scope", default=None)
 
 
 @contextmanager
@@ -62,11 +64,11 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
     What is to last must have been written elsewhere by then.
     """
     path = f"{scratch_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
-    _SCOPES.append(path)
+    outer = _SCOPE.set(path)
     try:
         yield
     finally:
-        _SCOPES.remove(path)
+        _SCOPE.reset(outer)
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -78,7 +80,7 @@ def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     executor, and gives later joins exact file sizes to plan with.
     """
     spark = df.sparkSession
-    base = _SCOPES[-1] if _SCOPES else scratch_dir(spark).rstrip("/")
+    base = _SCOPE.get() or scratch_dir(spark).rstrip("/")
     path = f"{base}/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
