@@ -203,9 +203,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
     prints = store(rows.groupBy("print").agg(F.min(first).alias("first")), "simhash-prints")
     components = connected_components(find_links(prints.select("print"), cfg))
-    named = prints.join(components.withColumnRenamed("node", "print"), "print", "left") \
-        .withColumn("component", F.coalesce("component", "print"))
-    least = named.groupBy("component").agg(F.min("first").alias("stays"))
+    named = store(prints.join(components.withColumnRenamed("node", "print"), "print", "left")
+                  .withColumn("component", F.coalesce("component", "print")), "simhash-named")
+    # Both sides of the join are stored tables, so that a very large group can be split.
+    least = store(named.groupBy("component").agg(F.min("first").alias("stays")), "simhash-least")
     groups = named.select("print", "component").join(least, "component").select(
         "print", F.col("stays.id").alias("component_id"), F.col("stays.mark").alias("stays_mark"))
     return NearGroups(rows, store(groups, "simhash-groups"))
