@@ -17,7 +17,8 @@ can be short of the window. An empty table gives no pieces.
 
 from __future__ import annotations
 
-import re
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,7 +48,7 @@ class PackingSettings:
     vocabulary: str = "byte_bpe_50k.json"
     ranks: str = "byte_bpe_50k.tiktoken"
     special: str = "<|endoftext|>"
-    cached_words: int = 500_000
+    cached_words: int = 1_000_000
     rounds: int = 40
     steps: int = 60
 
@@ -61,9 +62,6 @@ class Tokens:
     texts with a special token's string go through the vocabulary itself.
     """
 
-    # A space or line feed beside other white space, or at an end of the text.
-    ODD = re.compile(r"[ \n]\s|\s[ \n]|^\s|\s$")
-
     def __init__(self, cfg: PackingSettings) -> None:
         import base64
 
@@ -80,9 +78,22 @@ class Tokens:
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.line_feed = self._bytes("\n")
+        self.stops = {sign: self._bytes(sign) for sign in ".,"}
 
     def _bytes(self, text: str) -> bytes:
-        return np.array(self.words.encode_ordinary(text), dtype="<u4").tobytes()
+        ids = array("I", self.words.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """A word after a space. A stop or comma after a letter is a token of its own."""
+        if word[-1] in self.stops and word[-2:-1].isalpha():
+            stem = self.later.get(word[:-1])
+            if stem is None:
+                stem = self.later[word[:-1]] = self._bytes(" " + word[:-1])
+            return stem + self.stops[word[-1]]
+        return self._bytes(" " + word)
 
     def encode(self, text: str) -> bytes:
         if self.cfg.special in text:
@@ -90,26 +101,29 @@ class Tokens:
             return np.array(ids, dtype="<u4").tobytes()
         if not text:
             return b""
-        if self.ODD.search(text):
+        lines = [line.split(" ") for line in text.split("\n")]
+        if any("" in words for words in lines) \
+                or sum(map(len, lines)) != len(text.split()):
+            # White space beside white space, or of another kind: no cut is known to be safe.
             return self._bytes(text)
-        first, later, lines = self.first, self.later, []
+        first, later = self.first, self.later
         if len(first) + len(later) > self.cfg.cached_words:
             first.clear()
             later.clear()
-        for line in text.split("\n"):
-            words = line.split(" ")
+        out = []
+        for words in lines:
+            ids = list(map(later.get, words))
             head = words[0]
             if head not in first:
                 first[head] = self._bytes(head)
-            words[0] = first[head]
-            for at in range(1, len(words)):
-                word = words[at]
-                ids = later.get(word)
-                if ids is None:
-                    ids = later[word] = self._bytes(" " + word)
-                words[at] = ids
-            lines.append(b"".join(words))
-        return self.line_feed.join(lines)
+            ids[0] = first[head]
+            if None in ids:
+                for at, known in enumerate(ids):
+                    if known is None:
+                        word = words[at]
+                        ids[at] = later[word] = self._word(word)
+            out.append(b"".join(ids))
+        return self.line_feed.join(out)
 
 
 _TOKENS: dict[PackingSettings, Tokens] = {}
