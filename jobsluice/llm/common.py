@@ -44,3 +44,16 @@ def packed(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_sample(rows: DataFrame, most: int, *by: str) -> DataFrame:
+    """All rows, or about ``most`` of them and never more, by a hash of the columns ``by``.
+
+    For fitting only. A share is kept by a filter, so nothing is sorted and each
+    task sends on its share alone.
+    """
+    total = rows.count()
+    if total <= most:
+        return rows
+    kept = F.pmod(F.xxhash64(*by), F.lit(total)) < most
+    return rows.where(kept).limit(most)

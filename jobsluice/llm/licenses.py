@@ -31,7 +31,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsluice.llm.common import store
+from jobsluice.llm.common import bounded_sample, store
 
 # The usual notices of public licences.
 NOTICES = {
@@ -157,13 +157,12 @@ def shingles(words: list[str], size: int) -> frozenset:
         if words else frozenset()
 
 
-def train(docs: DataFrame, text_col: str = "text",
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           cfg: LicenceSettings = LicenceSettings()) -> LicenceModel:
     spark = docs.sparkSession
-    # A bounded sample by hash; notices that stand in it are left out as background.
-    sample = docs.select(F.col(text_col).alias("t")).where("t is not null").orderBy(
-        F.xxhash64("t"), "t").limit(cfg.max_background).select(F.substring_index(
-            F.trim(F.regexp_replace("t", r"^\s+", "")), "\n", 2).alias("t")) \
+    # Lines of a bounded sample; notices that stand in it are left out as background.
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    sample = bounded_sample(texts.where("t is not null"), cfg.max_background, "i", "t") \
         .select(F.explode(F.split("t", "\n")).alias("line")) \
         .where(~F.col("line").rlike(r"(?i)licen[cs]e|copyright|public domain|permission|spdx"))
     lines = store(sample.where("trim(line) <> ''").limit(cfg.max_background), "licence-lines")
@@ -264,7 +263,7 @@ def _scan(model: LicenceModel, cfg: LicenceSettings):
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          cfg: LicenceSettings = LicenceSettings()) -> DataFrame:
     """``(id, n_paragraphs, found)``; ``found`` has family, start, end and probability."""
-    model = train(docs, text_col, cfg)
+    model = train(docs, id_col, text_col, cfg)
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(
         _scan(model, cfg), f"id {kind}, n_paragraphs long, found array<struct<family:string,"

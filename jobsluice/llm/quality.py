@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobsluice.llm.common import WORD, packed, store
+from jobsluice.llm.common import WORD, bounded_sample, packed, store
 
 SPACES = r"[\x20\x09-\x0D]+"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
@@ -141,7 +141,7 @@ def labelled_sample(labels: DataFrame, cfg: QualitySettings) -> DataFrame:
     """``(id, bad)`` of at most ``max_labels`` documents, chosen by a hash of the id."""
     clean = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high")
-    return clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.max_labels).select(
+    return bounded_sample(clean, cfg.max_labels, "doc_id").select(
         F.col("doc_id").alias("_id"), (F.col("low") == 0).alias("bad"))
 
 
