@@ -1,7 +1,8 @@
 """Secret scans: three patterns, and a battery of randomness tests for other tokens.
 
-Candidates are long runs of letters, digits and a few signs. From its characters
-a run's encoding is inferred (hexadecimal, base 32, base 62, base 64), and three
+Candidates are all long runs of letters, digits and a few signs, and all count in
+the control. From its characters a run's encoding is inferred, the smallest
+alphabet that holds them (hexadecimal, letters, base 32, 62, 64), and three
 tests ask whether it could be random in that alphabet: chi-squared uniformity of
 the characters, the runs test about the alphabet's middle, and serial
 correlation of neighbours. Runs that pass are then weighed against ordinary
@@ -37,14 +38,20 @@ ACCESS_LONG, HEX_LONG = r"AKIA[A-Z0-9]{12}", r"[0-9a-f]{32}"
 KINDS = ["assign", "access", "hex", "random"]
 SPAN = "struct<at:int,kind:int,upto:int,own:int>"
 
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+# A token is tested against the first that holds all its signs; no later one is smaller.
 ALPHABETS = {
-    "hex": ("0123456789abcdef", r"^[0-9a-f]+$"),
-    "HEX": ("0123456789ABCDEF", r"^[0-9A-F]+$"),
-    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"^[A-Z2-7]+$"),
-    "base62": ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", r"^[0-9A-Za-z]+$"),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"^[0-9A-Za-z+/]+$"),
-    "base64url": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
-                  r"^[0-9A-Za-z_-]+$"),
+    "hex": (DIGITS + "abcdef", r"^[0-9a-f]+$"),
+    "HEX": (DIGITS + "ABCDEF", r"^[0-9A-F]+$"),
+    "lower": (LOWER, r"^[a-z]+$"),
+    "upper": (UPPER, r"^[A-Z]+$"),
+    "base32": (UPPER + "234567", r"^[A-Z2-7]+$"),
+    "letters": (UPPER + LOWER, r"^[A-Za-z]+$"),
+    "base62": (DIGITS + UPPER + LOWER, r"^[0-9A-Za-z]+$"),
+    "base64": (UPPER + LOWER + DIGITS + "+/", r"^[0-9A-Za-z+/]+$"),
+    "base64url": (UPPER + LOWER + DIGITS + "-_", r"^[0-9A-Za-z_-]+$"),
+    # Signs of both, as where a name in front of a base 64 key ends in a dash.
+    "mixed": (UPPER + LOWER + DIGITS + "+/-_", r"^[0-9A-Za-z+/_-]+$"),
 }
 
 
@@ -146,7 +153,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``(id, base, added)``: arrays of spans ``(at, kind, upto, own)``, by place."""
     t = F.col("_t")
     run = rf"[A-Za-z0-9+/_-]{{{cfg.min_random},}}"
-    likely = rf"[A-Za-z+/_-]*[0-9][A-Za-z0-9+/_-]*"
     found = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("_t")).select(
         "id", "_t",
         F.filter(spans(t, ASSIGN, 0, own=2), lambda s: s["own"] >= cfg.min_assigned).alias("a"),
@@ -154,7 +160,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  lambda s: s["upto"] - s["at"] >= cfg.min_access).alias("b"),
         F.filter(spans(t, HEX, 2, HEX_LONG),
                  lambda s: s["upto"] - s["at"] >= cfg.min_hex).alias("c"),
-        spans(t, run, 3, rf"(?=[A-Za-z0-9+/_-]{{{cfg.min_random}}}){likely}").alias("d"))
+        spans(t, run, 3).alias("d"))
     base = found.select("id", "_t", F.sort_array(F.concat("a", "b", "c")).alias("base"), "d")
     tokens = F.transform(
         F.filter("d", lambda s: ~F.exists("base", lambda o: (o["at"] < s["upto"])
@@ -165,12 +171,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         x["span"].alias("span"), x["token"].alias("token"), _encoding(x["token"]).alias("code")))
         .alias("d"))
     letters = F.create_map(*[F.lit(v) for k, (a, _) in ALPHABETS.items() for v in (k, a)])
-    valued = named.select("id", "base", F.transform(
-        F.filter("d", lambda x: x["code"].isNotNull() & x["token"].rlike("[0-9]")), lambda x: F.struct(
-            x["span"].alias("span"), x["token"].alias("token"),
-            F.length(letters[x["code"]]).alias("k"),
-            F.transform(F.split(x["token"], ""), lambda c: F.instr(letters[x["code"]], c))
-            .alias("values"))).alias("d"))
+    valued = named.select("id", "base", F.transform("d", lambda x: F.struct(
+        x["span"].alias("span"), x["token"].alias("token"),
+        F.length(letters[x["code"]]).alias("k"),
+        F.transform(F.split(x["token"], ""), lambda c: F.instr(letters[x["code"]], c))
+        .alias("values"))).alias("d"))
     tested = store(valued.select("id", "base", F.transform("d", lambda x: F.struct(
         x["span"].alias("span"), _battery(cfg, x).alias("chance"))).alias("d")), "secret-spans")
     limits = discovery_limits(tested, cfg)

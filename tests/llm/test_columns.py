@@ -93,6 +93,34 @@ def test_random_tokens_are_added(spark):
     assert all(added[k] == 0 for k in range(300) if k % 3)
 
 
+LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+BASE64 = LOWER.upper() + LOWER + DIGITS + "+/"
+
+
+def planted(spark, signs, sizes, before="", seed=5):
+    """Random tokens of ``signs`` among ordinary runs, scanned: whether each was added whole."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(300):
+        token = before + "".join(rng.choice(list(signs), sizes[k % len(sizes)]))
+        rows.append((k, f"{prose(k + 1, 30)} {token} {prose(k + 2, 30)}", len(token)))
+        rows.append((1000 + k, f"{prose(k + 1, 30)} averylongordinarywordinlowercase "
+                               "usr/share/some-place/with_names " + "-" * 40, 0))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, size int")
+    found = {r["id"]: r["added"] for r in secrets.scan(frame).collect()}
+    assert not any(found[r[0]] for r in rows if r[0] >= 1000)
+    return np.array([[s["upto"] - s["at"] for s in found[r[0]]] == [r[2]]
+                     for r in rows if r[0] < 1000])
+
+
+def test_random_tokens_without_a_digit_are_added(spark):
+    assert planted(spark, LOWER + LOWER.upper(), [20, 32, 48, 64]).mean() > 0.9
+
+
+def test_random_tokens_of_mixed_signs_are_added(spark):
+    assert planted(spark, BASE64, [40, 64], before="live-key_").mean() > 0.9
+
+
 def test_false_discoveries_are_held(spark):
     """Chances of ordinary tokens only, evenly spread: almost none may be accepted."""
     rows = [([((0, 3, 40, 40), float(np.log10((k + 0.5) / 2000)))],) for k in range(2000)]
