@@ -2,7 +2,7 @@
 
 Candidates are all long runs of letters, digits and a few signs, and all count in
 the control. From its characters a run's encoding is inferred, the smallest
-alphabet that holds them (hexadecimal, letters, base 32, 62, 64), and three
+alphabet that holds them (hexadecimal, letters, base 32, 36, 62, 64), and three
 tests ask whether it could be random in that alphabet: chi-squared uniformity of
 the characters, the runs test about the alphabet's middle, and serial
 correlation of neighbours. Runs that pass are then weighed against ordinary
@@ -46,6 +46,9 @@ ALPHABETS = {
     "lower": (LOWER, r"^[a-z]+$"),
     "upper": (UPPER, r"^[A-Z]+$"),
     "base32": (UPPER + "234567", r"^[A-Z2-7]+$"),
+    "base32lower": (LOWER + "234567", r"^[a-z2-7]+$"),
+    "base36": (DIGITS + LOWER, r"^[0-9a-z]+$"),
+    "BASE36": (DIGITS + UPPER, r"^[0-9A-Z]+$"),
     "letters": (UPPER + LOWER, r"^[A-Za-z]+$"),
     "base62": (DIGITS + UPPER + LOWER, r"^[0-9A-Za-z]+$"),
     "base64": (UPPER + LOWER + DIGITS + "+/", r"^[0-9A-Za-z+/]+$"),

@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from brute import base_spans, quality_counts, sha, words_of
 from rows import odd_rows, prose
 from pyspark.sql import functions as F
@@ -97,15 +98,16 @@ LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 BASE64 = LOWER.upper() + LOWER + DIGITS + "+/"
 
 
-def planted(spark, signs, sizes, before="", seed=5):
+def planted(spark, signs, sizes, before="", ordinary=True, seed=5):
     """Random tokens of ``signs`` among ordinary runs, scanned: whether each was added whole."""
     rng = np.random.default_rng(seed)
     rows = []
     for k in range(300):
         token = before + "".join(rng.choice(list(signs), sizes[k % len(sizes)]))
         rows.append((k, f"{prose(k + 1, 30)} {token} {prose(k + 2, 30)}", len(token)))
-        rows.append((1000 + k, f"{prose(k + 1, 30)} averylongordinarywordinlowercase "
-                               "usr/share/some-place/with_names " + "-" * 40, 0))
+        if ordinary:
+            rows.append((1000 + k, f"{prose(k + 1, 30)} averylongordinarywordinlowercase "
+                                   "usr/share/some-place/with_names " + "-" * 40, 0))
     frame = spark.createDataFrame(rows, "doc_id long, text string, size int")
     found = {r["id"]: r["added"] for r in secrets.scan(frame).collect()}
     assert not any(found[r[0]] for r in rows if r[0] >= 1000)
@@ -117,6 +119,19 @@ def test_random_tokens_without_a_digit_are_added(spark):
     assert planted(spark, LOWER + LOWER.upper(), [20, 32, 48, 64]).mean() > 0.9
 
 
+@pytest.mark.parametrize("signs", [LOWER + DIGITS, LOWER.upper() + DIGITS, LOWER + "234567"])
+def test_random_tokens_of_one_case_pass_the_battery(spark, monkeypatch, signs):
+    # Any token that the three tests let through has a chance below one, and is added here.
+    monkeypatch.setattr(secrets, "discovery_limits", lambda tested, cfg: [1] * len(cfg.bands))
+    sizes = [20, 32, 48, 64]
+    passed = planted(spark, signs, sizes, ordinary=False).reshape(-1, len(sizes)).mean(axis=0)
+    assert (passed > 0.95).all(), passed
+
+
+def test_long_random_tokens_of_one_case_are_added(spark):
+    assert planted(spark, LOWER + DIGITS, [64]).mean() > 0.9
+
+
 def test_random_tokens_of_mixed_signs_are_added(spark):
     assert planted(spark, BASE64, [40, 64], before="live-key_").mean() > 0.9
 
