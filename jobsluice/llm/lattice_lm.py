@@ -9,8 +9,8 @@ word mark, and of the end token; a word is solved once however often it occurs.
 
 1. Count every word of every text (training and all), combined per task.
 2. Expectation steps: forward and backward over distinct training words, each
-   weighted by its count; counts of pieces meet in one small aggregate. A few
-   steps over the most frequent words start the weights, one over all ends it.
+   weighted by its count; counts of pieces meet in one small aggregate. Every
+   step reads all of them, whatever their number.
 3. The forward recursion gives each distinct word its log probability.
 4. Texts look their words up: frequent ones in a table of bounded size that
    travels with the task, the others by a join on the word.
@@ -49,9 +49,8 @@ class LatticeSettings:
     head_words: int = 120_000
     # Weight of the vocabulary's own scores, as a number of training pieces.
     prior: float = 100.0
-    # Steps that start the weights, and how many of the most frequent words they read.
-    warm_steps: int = 4
-    warm_words: int = 20_000
+    # Expectation steps, each over all distinct training words.
+    steps: int = 5
     prior_shift: float = 20.0
     held_words: int = 400_000
 
@@ -365,12 +364,10 @@ def train(docs: DataFrame, held_out, text_col: str = "text",
     totals = words.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0)).first()
     train_docs = docs.where(~held_out).count()
     pieces = Pieces.load(cfg)
-    known = words.where("train > 0").select("word", "train")
-    first = store(most_frequent(known, "train", cfg.warm_words), "lattice-warm")
+    known = store(words.where("train > 0").select("word", "train"), "lattice-known")
     weight = np.log(pieces.prior)
-    for step in range(cfg.warm_steps + 1):
-        uses = (first if step < cfg.warm_steps else known).mapInPandas(
-            _expected(pieces, weight), "piece int, uses double") \
+    for _ in range(cfg.steps):
+        uses = known.mapInPandas(_expected(pieces, weight), "piece int, uses double") \
             .groupBy("piece").agg(F.sum("uses")).collect()
         counts = cfg.prior * pieces.prior
         for piece, n in uses:

@@ -10,6 +10,7 @@ from brute import base_scores, segmentations, sha
 from rows import odd_rows, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from jobsluice.llm import chat, lattice_lm, licenses, packing
 from jobsluice.llm.queries import held_out
@@ -143,6 +144,23 @@ def test_scores(docs, head):
             assert abs(whole - by_id[row[0]]) < 1e-6 * abs(whole)
 
 
+def test_every_step_reads_all_training_words(spark):
+    rng = np.random.default_rng(2)
+    words = sorted({"".join(rng.choice(list("abcdefgh"), 4 + k % 5)) for k in range(27_000)})
+    assert len(words) > 20_000
+    rows = [(k, " ".join(words[k::50])) for k in range(50)]
+    model = lattice_lm.train(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False))
+    trie, prior = model.pieces.trie(), model.pieces.prior
+    weight = np.log(prior)
+    for _ in range(5):
+        logs, shares, uses = weight.tolist(), np.exp(weight).tolist(), [0.0] * len(prior)
+        for word in words:
+            lattice_lm.expect("▁" + word, 1.0, trie, logs, shares, uses)
+        counts = 100 * prior + np.array(uses)
+        weight = np.log(counts / (counts.sum() + 50 + 1))
+    assert np.allclose(model.weight, weight)
+
+
 def test_score_of_nothing(none):
     model = lattice_lm.train(none, held_out())
     assert lattice_lm.score(none, model, held_out()).count() == 0
