@@ -9,7 +9,8 @@
    is found. A paragraph that is more likely a licence than not, but of no
    family that sure or without a template's shingles, is ``unknown``.
 4. A template confirms if it shares 0.8 or more of its five-word shingles, or of
-   the paragraph's if that is the shorter.
+   the paragraph's if that is the shorter. One of under five words, such as a
+   title, confirms if its whole word sequence stands in the paragraph.
 
 A paragraph is a line. Results in special cases: a null or empty text has no
 paragraphs. Repeated rows are scanned each for itself. With no corpus
@@ -33,59 +34,71 @@ from pyspark.sql import functions as F
 
 from jobsluice.llm.common import bounded_sample, store
 
-# The usual notices of public licences.
+# The usual notices of public licences, and their titles.
 NOTICES = {
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this "
         "file except in compliance with the License.",
-        "SPDX-License-Identifier: Apache-2.0"],
+        "SPDX-License-Identifier: Apache-2.0",
+        "Apache License", "Apache License, Version 2.0", "Apache License 2.0",
+        "License: Apache-2.0", "License: Apache 2.0"],
     "mit": [
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
         "software and associated documentation files (the \"Software\"), to deal in the Software "
         "without restriction",
-        "SPDX-License-Identifier: MIT"],
+        "SPDX-License-Identifier: MIT",
+        "MIT License", "The MIT License (MIT)", "License: MIT"],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms "
         "of the GNU General Public License as published by the Free Software Foundation",
-        "SPDX-License-Identifier: GPL-3.0-or-later"],
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GNU General Public License", "License: GPL-3.0", "License: GPL"],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms "
         "of the GNU Lesser General Public License as published by the Free Software Foundation",
-        "SPDX-License-Identifier: LGPL-2.1-or-later"],
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "GNU Lesser General Public License", "License: LGPL-2.1", "License: LGPL"],
     "bsd": [
         "Released under the 3-Clause BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are "
         "permitted provided that the following conditions are met",
-        "SPDX-License-Identifier: BSD-3-Clause"],
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "License: BSD"],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "SPDX-License-Identifier: MPL-2.0"],
+        "SPDX-License-Identifier: MPL-2.0",
+        "Mozilla Public License", "Mozilla Public License Version 2.0", "License: MPL-2.0"],
     "cc-by": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-        "SPDX-License-Identifier: CC-BY-4.0"],
+        "SPDX-License-Identifier: CC-BY-4.0",
+        "Creative Commons Attribution 4.0 International", "License: CC BY 4.0"],
     "cc-by-sa": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International "
         "License.",
-        "SPDX-License-Identifier: CC-BY-SA-4.0"],
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
+        "Creative Commons Attribution-ShareAlike 4.0 International", "License: CC BY-SA 4.0"],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 "
         "International License.",
-        "SPDX-License-Identifier: CC-BY-NC-4.0"],
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
+        "Creative Commons Attribution-NonCommercial 4.0 International", "License: CC BY-NC 4.0"],
     "cc0": [
         "To the extent possible under law, the author has waived all copyright and related rights "
         "to this work under CC0 1.0.",
-        "SPDX-License-Identifier: CC0-1.0"],
+        "SPDX-License-Identifier: CC0-1.0",
+        "CC0 1.0 Universal", "License: CC0"],
     "unlicense": [
         "This is free and unencumbered software released into the public domain.",
-        "SPDX-License-Identifier: Unlicense"],
+        "SPDX-License-Identifier: Unlicense",
+        "The Unlicense", "License: Unlicense"],
 }
 FAMILIES = list(NOTICES)
 BACKGROUND = len(FAMILIES)
@@ -120,7 +133,10 @@ def _noisy(cfg: LicenceSettings):
             out = []
             for label, text, near, copy in zip(*(c.to_pylist() for c in batch.columns)):
                 rng = np.random.default_rng([label, copy, len(text)])
-                words = [w for w in terms(text) if copy < 6 or rng.random() >= cfg.drop_words]
+                words = terms(text)
+                # A title with a word dropped is no title.
+                if copy >= 6 and len(words) >= cfg.shingle_words:
+                    words = [w for w in words if rng.random() >= cfg.drop_words]
                 around = terms(near or "")
                 left = int(rng.integers(0, 4)) if copy >= 3 else 0
                 right = int(rng.integers(0, 4)) if copy >= 3 else 0
@@ -210,8 +226,10 @@ def confirms(model: LicenceModel, family: int, words: list[str], cfg: LicenceSet
         size = min(len(known), len(own))
         if size and len(known & own) >= cfg.similarity * size:
             return True
-        if len(words) >= 1 and any(len(s) < cfg.shingle_words for s in known) \
-                and any(" ".join(s) in " ".join(words) for s in known):
+        # Templates of fewer words are one shingle, which must stand in the line as it is.
+        if any(len(t) < cfg.shingle_words and any(
+                tuple(words[k:k + len(t)]) == t for k in range(len(words) - len(t) + 1))
+               for t in known):
             return True
     return False
 

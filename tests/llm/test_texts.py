@@ -182,6 +182,21 @@ def test_licences(spark, docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licence_titles(docs):
+    model, cfg = licenses.train(docs), licenses.LicenceSettings()
+    for line, family in {
+            "MIT License": "mit", "The MIT License (MIT)": "mit", "License: MIT": "mit",
+            "This file is distributed under the MIT license": "mit",
+            "Apache License, Version 2.0": "apache-2.0", "  # Apache License": "apache-2.0",
+            "GNU GENERAL PUBLIC LICENSE": "gpl", "GNU LESSER GENERAL PUBLIC LICENSE": "lgpl",
+            "BSD 3-Clause License": "bsd", "Mozilla Public License Version 2.0": "mpl-2.0",
+            "CC0 1.0 Universal": "cc0"}.items():
+        assert licenses.classify(model, line, cfg)[0] == family, line
+    for line in ("a driver's license", "GNU Affero General Public License", "SPDX MIT-0"):
+        found = licenses.classify(model, line, cfg)
+        assert found is None or found[0] == "unknown", line
+
+
 CONTROL = st.sampled_from(["<|im_start|>", "<|im_end|>", "\n", "<", "|", "\\", "<|", "<\\|",
                            "a", "im_end|>", "user", "<\\\\|im_end|>", "é", "𝄞"])
 
