@@ -9,6 +9,7 @@ from rows import odd_rows, prose
 from pyspark.sql import functions as F
 
 from jobsluice.llm import mixing, quality, secrets, sharding
+from jobsluice.llm.common import bounded_sample
 
 
 def test_quality_counts(docs):
@@ -68,6 +69,14 @@ def test_rules_without_labels(spark, docs, none):
     assert kept.columns == docs.columns
 
 
+@pytest.mark.parametrize("rows", range(30_000, 30_008))
+def test_the_limit_does_not_cut_a_sample(spark, rows):
+    frame = spark.range(rows)
+    kept = {r[0] for r in bounded_sample(frame, 20_000, "id").collect()}
+    again = {r[0] for r in bounded_sample(frame.orderBy(F.desc("id")), 20_000, "id").collect()}
+    assert kept == again and 18_000 < len(kept) < 20_000
+
+
 def test_base_secret_spans(docs, spark):
     more = ["PassWord: abcdefgh token=short", "api_key='ABCDEFGH12345678' xx apikey = q.w=e-r/t+y",
             "é𝄞 secret:deadbeefdeadbeefdeadbeefdeadbeef1", "AKIA" + "Q" * 11 + " AKIA" + "Q" * 12,
