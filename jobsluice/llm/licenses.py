@@ -155,7 +155,7 @@ def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [pa.array([float(BACKGROUND)] * len(lines)),
              pa.array([ngrams(terms(x)) for x in lines], pa.list_(pa.string())),
-             pa.array([k % 4 == 3 for k in range(len(lines))])],
+             pa.array([h % 4 == 3 for h in batch.column(1).to_pylist()])],
             names=["label", "grams", "held"])
 
 
@@ -173,16 +173,22 @@ def shingles(words: list[str], size: int) -> frozenset:
         if words else frozenset()
 
 
+def background(texts: DataFrame, cfg: LicenceSettings) -> DataFrame:
+    """``(line, h)``: lines of a sample of the documents, chosen over all of it by a hash."""
+    found = bounded_sample(texts.where("t is not null"), cfg.max_background, "i", "t") \
+        .select("i", F.posexplode(F.split("t", "\n")).alias("at", "line")) \
+        .where(~F.col("line").rlike(r"(?i)licen[cs]e|copyright|public domain|permission|spdx"))
+    sample = store(found.where("trim(line) <> ''"), "licence-sample")
+    return store(bounded_sample(sample, cfg.max_background, "i", "at", "line").select(
+        "line", F.xxhash64("i", "at", "line", F.lit("held")).alias("h")), "licence-lines")
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           cfg: LicenceSettings = LicenceSettings()) -> LicenceModel:
     spark = docs.sparkSession
     # Lines of a bounded sample; notices that stand in it are left out as background.
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    sample = bounded_sample(texts.where("t is not null"), cfg.max_background, "i", "t") \
-        .select(F.explode(F.split("t", "\n")).alias("line")) \
-        .where(~F.col("line").rlike(r"(?i)licen[cs]e|copyright|public domain|permission|spdx"))
-    lines = store(sample.where("trim(line) <> ''").limit(cfg.max_background), "licence-lines")
-    near = [r[0] for r in lines.limit(200).collect()] or [""]
+    lines = background(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), cfg)
+    near = [r[0] for r in lines.orderBy("h", "line").limit(200).select("line").collect()] or [""]
     rows = [(k, text, near[(k * 31 + at * 7 + copy) % len(near)], copy)
             for k, family in enumerate(FAMILIES) for at, text in enumerate(NOTICES[family])
             for copy in range(cfg.copies)]

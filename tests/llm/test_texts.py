@@ -182,6 +182,18 @@ def test_licences(spark, docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_background_lines_are_of_all_documents(spark):
+    # One very long document in front must not be all that is learned.
+    rows = [(0, "\n".join(f"long {k}" for k in range(9_000)))]
+    rows += [(k, "\n".join(f"doc{k} {j}" for j in range(10))) for k in range(1, 1_000)]
+    frame = spark.createDataFrame(rows, "i long, t string")
+    cfg = licenses.LicenceSettings()
+    lines = [r["line"] for r in licenses.background(frame.repartition(1), cfg).collect()]
+    again = [r["line"] for r in licenses.background(frame.repartition(7), cfg).collect()]
+    assert sorted(lines) == sorted(again) and 3_000 < len(lines) <= cfg.max_background
+    assert len({x.split()[0] for x in lines}) > 800
+
+
 def test_licence_titles(docs):
     model, cfg = licenses.train(docs), licenses.LicenceSettings()
     for line, family in {
