@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from jobsluice.session import scratch_dir
 
 # A word: a longest run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,3 +61,22 @@ def bounded_sample(rows: DataFrame, most: int, *by: str) -> DataFrame:
         return rows
     kept = F.pmod(F.xxhash64(*by), F.lit(total)) < int(most - 6 * most ** 0.5)
     return rows.where(kept).limit(most)
+
+
+def word_chunks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of ``data``, between ASCII white space, about ``size`` bytes at a time.
+
+    However long a text is, the words of one part of it are held at once.
+    """
+    at = 0
+    while len(data) - at > size:
+        cut = _SPACE.search(data, at + size)
+        end = cut.start() if cut else len(data)
+        yield data[at:end].split()
+        at = end
+    yield data[at:].split()
+
+
+def id_remainder(column: str = "doc_id") -> Column:
+    """``crc32`` of the id as text, modulo 5: null for a null id."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % 5

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from jobsluice.llm import (
     chat,
+    divergence,
     exact_dedup,
+    factor_machine,
+    filter_audit,
     lattice_lm,
     licenses,
     mixing,
@@ -17,7 +20,7 @@ from jobsluice.llm import (
     sharding,
     simhash_dedup,
 )
-from jobsluice.llm.common import table
+from jobsluice.llm.common import id_remainder, table
 
 
 def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,7 +200,139 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.component_of(found).withColumnRenamed("id", "doc_id")
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+OP11_SQL = r"""
+with docs as (
+    select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+           regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                         'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms
+    from documents
+),
+counts as (
+    select lang, source, term, count(*) as n, count(distinct row) as docs
+    from (select row, lang, source, unnest(terms) as term from docs) group by all
+),
+kept as (
+    select lang, term, sum(n)::hugeint as n from counts
+    group by lang, term having sum(docs) >= 30
+),
+langs as (
+    select lang, count(term) as v, coalesce(sum(n), 0)::hugeint as total
+    from (select distinct lang from docs) left join kept using (lang) group by lang
+),
+pairs as (select distinct lang, source from docs),
+totals as (
+    select p.lang, p.source, coalesce(sum(c.n) filter (where k.term is not null), 0)::hugeint
+           as total
+    from pairs p left join counts c using (lang, source)
+    left join kept k on k.lang = c.lang and k.term = c.term
+    group by p.lang, p.source
+),
+shares as (
+    select t.lang, t.source, k.term, coalesce(c.n, 0) as n,
+           1 + 1000000000 * (coalesce(c.n, 0)::hugeint + 5) // (t.total + 5 * l.v) as p,
+           1 + 1000000000 * (k.n + 5) // (l.total + 5 * l.v) as q
+    from totals t join langs l using (lang) join kept k using (lang)
+    left join counts c on c.lang = t.lang and c.source = t.source and c.term = k.term
+),
+met as (
+    select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+    from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source
+    group by all
+),
+rows as (
+    select a.lang, a.source, 'pair' as part, b.source as item, coalesce(m.value, 0) as value
+    from pairs a join pairs b on a.lang = b.lang and a.source <> b.source
+    left join met m on m.lang = a.lang and m.source = a.source and m.item = b.source
+    union all
+    select lang, source, 'term', term, p - q from shares where n > 0 and p > q
+)
+select lang, source, part, item, value::bigint as value, rank::int as rank
+from (select *, row_number() over (partition by lang, source, part
+                                   order by value desc, item) as rank from rows)
+where part = 'pair' or rank <= 50
+"""
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+OP12_SQL = r"""
+with docs as (
+    select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+    from documents
+),
+marked as (
+    select part, doc_id,
+           case when len(words) < 200 then 1 else 0 end
+           + case when 100 * len(list_distinct(words)) < 50 * len(words) then 2 else 0 end
+           + case when 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text)
+                  then 4 else 0 end
+           + case when regexp_matches(text, '[#$%&*|]') then 8 else 0 end
+           + case when doc_id > min(doc_id) over (partition by text) then 16 else 0 end as mask
+    from docs
+),
+said as (
+    select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic
+    from labels where doc_id is not null group by doc_id
+),
+counts as (
+    select part, mask, count(*) as n, count(*) filter (where good) as good,
+           count(*) filter (where toxic) as toxic
+    from marked left join said using (doc_id) group by part, mask
+),
+filters as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) t(name, bit)),
+orders as (
+    select a.name || b.name || c.name || d.name || e.name as filter_order,
+           [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+    from filters a, filters b, filters c, filters d, filters e
+    where a.bit | b.bit | c.bit | d.bit | e.bit = 31
+),
+steps as (
+    select filter_order, step::int as step, bits[step] as bit,
+           coalesce(list_sum(bits[1:step - 1]), 0)::int as before
+    from orders, range(1, 6) t(step)
+),
+met as (
+    select part, filter_order, step, bit,
+           sum(case when mask & (bit | before) = 0 then n else 0 end)::bigint as kept,
+           sum(case when mask & bit > 0 and mask & before = 0 then n else 0 end)::bigint
+               as removed,
+           sum(case when mask & bit > 0 and mask & before > 0 then n else 0 end)::bigint
+               as redundant,
+           sum(case when mask = bit then n else 0 end)::bigint as unique_fails,
+           sum(case when mask & bit > 0 and mask & before = 0 then good else 0 end)::bigint
+               as good_lost,
+           sum(case when mask & bit > 0 and mask & before = 0 then toxic else 0 end)::bigint
+               as toxic_lost
+    from counts, steps group by part, filter_order, step, bit
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) over (partition by part, bit))::bigint as shapley
+from met
+"""
+
+
+def op13_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    learned = table(spark, folder, "labels").where(id_remainder() != 0)
+    model = factor_machine.train(docs, learned)
+    return factor_machine.score(docs, model).select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(id_remainder("id") == 0, F.lit(False)).alias("held_out"), "score",
+        factor_machine.predicted().alias("predicted"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_quality_rules, op3_packing, op4_lattice_score, op5_license_scan,
-    op6_chat_format, op7_secret_scan, op8_sharding, op9_mixing, op10_simhash_dedup)}
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op6_chat_format": OP6_SQL, "op9_mixing": OP9_SQL}
+    op6_chat_format, op7_secret_scan, op8_sharding, op9_mixing, op10_simhash_dedup,
+    op11_source_divergence, op12_filter_audit, op13_quality_classifier)}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op6_chat_format": OP6_SQL, "op9_mixing": OP9_SQL,
+           "op11_source_divergence": OP11_SQL, "op12_filter_audit": OP12_SQL}

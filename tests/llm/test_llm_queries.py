@@ -50,7 +50,7 @@ def test_matches_sql(spark, name):
 def test_all_are_registered():
     names = entry.queries()
     assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} \
-        == set(range(1, 11))
+        == set(range(1, 14))
     assert "pipeline" in names
 
 
@@ -160,3 +160,19 @@ def test_pipeline_stages(spark, texts):
 
 def test_whole_pipeline(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+def test_classifier(results, texts):
+    rows = results("op13_quality_classifier")
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+
+
+def test_classifier_on_held_out_labels(spark):
+    folder = "/root/testdata/sf0.01"        # the smallest tables hold 19 held-out labels
+    labels = dict(duckdb.connect().execute(
+        f"select doc_id, quality from '{folder}/labels.parquet'").fetchall())
+    rows = queries.QUERIES["op13_quality_classifier"](spark, folder).collect()
+    held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    assert len(held) > 50 and sum(a == b for a, b in held) >= 0.95 * len(held)
