@@ -17,8 +17,8 @@ from jobsluice.functions import render
 from jobsluice.operators import discovery, feed, health, state
 from jobsluice.plans import publish
 from jobsluice.plans.discover import digest_round, discovery_round
-from jobsluice.plans.run import empty_state, publish_state, read_state
-from jobsluice.session import scratch_dir
+from jobsluice.plans.run import empty_state, publish_state, read_state, run
+from jobsluice.session import materialise, scratch_dir
 from jobsluice.settings import Settings
 from jobsluice.streaming.increment import last_version, presence_counter, run_increment
 
@@ -737,6 +737,82 @@ def stream_run(spark, folder):
         "uid", "first_seen", "last_seen", "misses")
 
 
+# Sites of postings by ranges of keys: even sites have a sitemap, odd ones a careers page. Three
+# fetches a day apart leave some postings out; every third sitemap lists pages that never land.
+SITE_ROWS = f"""select k, cast(k // 750 as int) as site, day,
+      (k // 750) % 2 = 0 as mapped,
+      case when (k // 750) % 2 = 1 then true
+        else not ((k // 750) % 6 = 2 and k % 11 = 0) end as known
+    from fx, (values (0), (1), (2)) as d(day)
+    where case when (k // 750) % 2 = 1 then day = 0 or (k + day) % 2 = 0
+      when day = 0 then k % 7 <> 0 when day = 1 then k % 7 <> 0 and k % 5 <> 0
+      else k % 3 <> 0 end"""
+
+
+@query("presence_documents", duck(f"""
+    select case when mapped then concat('sitemap:sun', cast(site as varchar), '.com:/jobs/', cast(k as varchar))
+        else concat('html:Acme:https://moon', cast(site as varchar), '.com/jobs/', cast(k as varchar)) end as uid,
+      cast({AS_OF_2026} + {DAY} * last as bigint) as last_seen,
+      cast((select count(*) from whole w where w.site = m.site and w.complete and w.day > m.last) as int)
+        as misses
+    from (select l.k, l.site, l.mapped, case when min(l.day) = 0 then coalesce(max(l.day)
+          filter (w.complete), 0) else max(l.day) end as last
+        from listed l join whole w on w.site = l.site and w.day = l.day
+        where l.known group by all) m""", listed=SITE_ROWS, whole="""
+    select site, day, bool_and(mapped and known) as complete from listed group by site, day"""))
+def presence_documents(spark, folder):
+    """Presence from sitemaps and careers pages: one run for the first fetches, one for two more.
+
+    Posting pages land one by one after their sitemap, and only once: later sitemaps
+    land alone and name their postings from the page table.
+    """
+    rows = fx(spark, folder).select("k", F.floor(C("k") / 750).cast("int").alias("site"))
+    number = C("site").cast("string")
+    mapped = rows.where(C("site") % 2 == 0)
+    root = F.concat(L("https://sun"), number, L(".com/sitemap.xml"))
+    job = F.concat(L("https://sun"), number, L(".com/jobs/"), C("k").cast("string"))
+    when = [C("k") % 7 != 0, (C("k") % 7 != 0) & (C("k") % 5 != 0), C("k") % 3 != 0]
+
+    def page(made, platform, name, token, seconds, body):
+        return made.select(
+            F.concat(L(name), number).alias("source"), L(platform).alias("platform"),
+            token.alias("token"), L("Acme").alias("company"), L("").alias("country"),
+            (L(AS_OF_2026) + seconds).cast("bigint").alias("fetched_at"), L(0).alias("page_seq"),
+            L(True).alias("complete"), body.alias("body"))
+
+    def fetch(day):
+        # From the third fetch on some entries say that they changed; their pages do not land.
+        changed = F.when((C("k") % 4 == 0) & L(day == 2), "2026-11-02").otherwise("2026-10-31")
+        entry = F.concat(L("<url><loc>"), job, L("</loc><lastmod>"), changed, L("</lastmod></url>"))
+        files = mapped.where(when[day]).groupBy("site").agg(
+            F.array_join(F.array_sort(F.collect_list(entry)), "").alias("entries"))
+        link = F.concat(L("<a href='/jobs/"), C("k").cast("string"), L("'>Engineer "),
+                        C("k").cast("string"), L("</a>"))
+        sites = rows.where((C("site") % 2 == 1) & (L(day == 0) | ((C("k") + day) % 2 == 0))).groupBy(
+            "site").agg(F.array_join(F.array_sort(F.collect_list(link)), "").alias("links"))
+        note = L(f"<!-- {day} -->")
+        return page(files, "sitemap", "Sun ", F.concat(root, L(" "), root), L(day * DAY), F.concat(
+            L("<urlset>"), note, "entries", L("</urlset>"))).unionByName(page(
+                sites, "careers", "Moon ", F.concat(L("https://moon"), number, L(".com/careers")),
+                L(day * DAY), F.concat(note, "links")))
+
+    def jobs_of(day, met):
+        return page(mapped.where(met & ~((C("site") % 6 == 2) & (C("k") % 11 == 0))), "sitemap",
+                    "Sun ", F.concat(root, L(" "), job), L(day * DAY) + 1 + C("k") % 50,
+                    F.concat(L('<meta property="og:title" content="Engineer '),
+                             C("k").cast("string"), L('">')))
+
+    batches = [fetch(0).unionByName(jobs_of(0, when[0])),
+               fetch(1).unionByName(fetch(2)).unionByName(jobs_of(2, when[2] & ~when[0]))]
+    now, known = empty_state(spark), sources(spark, folder)
+    for number_of, batch in enumerate(batches):
+        after = run(materialise(batch, "documents", ["platform"]), known, now,
+                    AS_OF_2026 + 2 * number_of * DAY).state
+        now = replace(empty_state(spark), **{
+            n: materialise(getattr(after, n), n) for n in ("jobs", "role_keys", "payload_seen", "pages")})
+    return now.jobs.select("uid", "last_seen", "misses")
+
+
 @query("published_state", duck("select uid, title from fx where tier = 'strict'"))
 def published_state(spark, folder):
     """The newest whole snapshot, past an older one and one that was never finished."""

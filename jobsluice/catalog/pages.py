@@ -118,7 +118,7 @@ def _sitemap_files(spark, folder):
         .alias("body")).withColumn("url", C("sitemap_url"))
     return children.unionByName(index).select(
         C("sitemap_url").alias("source"), L("Acme").alias("company"), "sitemap_url",
-        L(None).cast("string").alias("pattern"), "url", "body")
+        L(AS_OF).cast("bigint").alias("fetched_at"), L(None).cast("string").alias("pattern"), "url", "body")
 
 
 RECENT = f"(select *, {ROOT} as root, {JOB} as loc, {AS_OF} - k % 40 * {DAY} as modified from fx)"

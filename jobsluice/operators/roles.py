@@ -198,6 +198,9 @@ def refresh_url(jobs: DataFrame, seen: DataFrame, stored_keys: DataFrame, as_of:
         F.coalesce("group_id", "uid").alias("stored_group"),
         F.col("first_seen").alias("stored_since"))
     changed = materialise(changed, "relinked")
+    if changed.isEmpty():
+        return Groups(jobs, stored_keys, changed.select(
+            F.col("stored_group").alias("old_group"), F.col("uid").alias("group_id")))
     groups = assign_groups(changed, stored_keys, as_of, cfg)
     relinked = jobs.join(changed.select("uid", F.col("url").alias("_url")), "uid", "left")
     relinked = relinked.withColumn("url", F.coalesce("_url", "url")).select(*jobs.columns)

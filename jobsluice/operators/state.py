@@ -42,10 +42,16 @@ CANDIDATES_SCHEMA = (
     "last_seen bigint, checked_at bigint, canada bigint, student bigint, result string"
 )
 PAYLOADS_SCHEMA = "source string, body_sha2 string, at bigint"
+# Posting pages of sitemaps by link and lastmod, with the postings found on each.
+PAGES_SCHEMA = (
+    "url string, lastmod string, fetched_at bigint, found array<struct<pos:int,title:string,"
+    "location:string,link:string,posted_at:bigint>>"
+)
 STATE_SCHEMAS = {
     "jobs": JOBS_SCHEMA, "role_keys": ROLE_KEYS_SCHEMA, "descriptions": DESCRIPTIONS_SCHEMA,
     "health": HEALTH_SCHEMA, "discovered": DISCOVERED_SCHEMA, "hosts": HOSTS_SCHEMA,
     "candidates": CANDIDATES_SCHEMA, "payload_seen": PAYLOADS_SCHEMA,
+    "pages": PAGES_SCHEMA,
 }
 BOARD = ["platform", "token"]
 

@@ -178,7 +178,7 @@ def tracker_tables(files: DataFrame, as_of: int | Column) -> DataFrame:
 
 
 def tracker_choose(files: DataFrame, as_of: int | Column) -> DataFrame:
-    """The file each tracker is read from.
+    """The file each tracker is read from, for each of its fetches.
 
     A listings file with items beats a README with rows; among files of a kind
     the branch decides, then the path.
@@ -192,13 +192,13 @@ def tracker_choose(files: DataFrame, as_of: int | Column) -> DataFrame:
         "kind", F.lit(1))
     usable = listings.unionByName(readmes).withColumns(
         {"branch_rank": branch, "path_rank": F.length("path")})
-    return first_by(usable, ["repo"], F.struct(
+    return first_by(usable, ["repo", "fetched_at"], F.struct(
         "kind", "branch_rank", -F.col("path_rank"), "path")).select(*FILE, "kind")
 
 
 def tracker_listings(files: DataFrame, as_of: int | Column) -> DataFrame:
-    """Listing rows of the chosen file of each tracker."""
-    chosen = tracker_choose(files, as_of).select("repo", "branch", "path", "kind")
-    picked = files.join(chosen, ["repo", "branch", "path"])
+    """Listing rows of the file chosen for each fetch of a tracker."""
+    of = ["repo", "branch", "path", "fetched_at"]
+    picked = files.join(tracker_choose(files, as_of).select(*of, "kind"), of)
     return tracker_json(picked.where("kind = 0").drop("kind"), as_of).unionByName(
         tracker_tables(picked.where("kind = 1").drop("kind"), as_of))
