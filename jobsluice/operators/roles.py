@@ -105,74 +105,107 @@ def assign_groups(rows: DataFrame, stored_keys: DataFrame, as_of: int,
             F.min(F.struct("seq", "uid")).alias("first"), F.count("*").alias("n"),
             F.min("stored_since").alias("since")), "role-tuples")
     total = tuples.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    own = tuples.select("first", F.explode(F.array_compact(F.array(*KEYS))).alias("key"))
-    batch_keys = own.groupBy("key").agg(F.min("first").alias("first"))
-    known = stored_keys.join(batch_keys.select("key"), "key", "left_semi")
-
-    def group_node(col):
-        return F.concat(F.lit("group:"), col)
-
-    edges = None
-    for other in ("key_req", "key_host"):
-        part = tuples.where(F.col(other).isNotNull()).select(
-            F.col("key_fp").alias("a"), F.col(other).alias("b"))
-        edges = part if edges is None else edges.unionByName(part)
-    edges = edges.unionByName(
-        known.select(F.col("key").alias("a"), group_node(F.col("group_id")).alias("b")))
-    edges = edges.unionByName(
-        tuples.where(F.col("stored_group").isNotNull()).select(
-            F.col("key_fp").alias("a"), group_node(F.col("stored_group")).alias("b")))
-    components = materialise(connected_components(edges, cfg), "components")
-
-    # Candidates for a component's id: stored roles by age first, then arrivals.
-    from_store = known.select(F.col("key").alias("node"), F.struct(
-        F.lit(0).alias("rank"), F.col("since").cast(ORDER).alias("at"),
-        F.col("group_id").alias("id")
-    ).alias("c"))
-    held = tuples.where(F.col("stored_group").isNotNull()).select(
-        F.col("key_fp").alias("node"), F.struct(
-            F.lit(0).alias("rank"), F.coalesce("since", F.lit(0)).cast(ORDER).alias("at"),
-            F.col("stored_group").alias("id")).alias("c"))
-    arrived = batch_keys.select(F.col("key").alias("node"), F.struct(
-        F.lit(1).alias("rank"), F.col("first.seq").cast(ORDER).alias("at"),
-        F.col("first.uid").alias("id")).alias("c"))
-    candidates = from_store.unionByName(held).unionByName(arrived).groupBy("node").agg(
-        F.min("c").alias("c"))
-    placed = candidates.join(components, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    names = placed.groupBy("component").agg(
-        F.min("c").alias("c"), F.count("*").alias("n"))
+    nodes, edges = _contracted(tuples, stored_keys, total, cfg)
+    named = materialise(_named(nodes, edges, tuples, cfg, total), "role-names")
     labels = materialise(split_lookup(
-        placed.select("node", "component"), names.drop("n"), ["component"], ["node"],
-        counts=names.select("component", "n"), how="inner", cfg=cfg, total=4 * total).select(
-            F.col("node").alias("key"), F.col("c.id").alias("group_id"),
+        nodes, named, ["node"], ["key"], how="inner", cfg=cfg, total=4 * total).select(
+            "key", "known", "is_fp", F.col("c.id").alias("group_id"),
             F.when(F.col("c.rank") == 0, F.col("c.at")).otherwise(F.lit(as_of))
             .cast("bigint").alias("since")), "labels")
 
-    by_fp = labels.select(F.col("key").alias("key_fp"), "group_id")
+    by_fp = labels.where("is_fp").select(F.col("key").alias("key_fp"), "group_id")
     per_fp = tuples.groupBy("key_fp").agg(F.sum("n").alias("n"))
     grouped = split_lookup(keyed, by_fp, ["key_fp"], ["uid"], counts=per_fp, cfg=cfg,
                            total=total)
 
     # Stored roles that now share a component take its one id.
-    moves = known.select("key", F.col("group_id").alias("old_group")).join(
-        labels.select("key", "group_id"), "key").select("old_group", "group_id")
-    moves = moves.unionByName(
-        tuples.where(F.col("stored_group").isNotNull()).select(
-            F.col("key_fp"), F.col("stored_group").alias("old_group")).join(
-                by_fp, "key_fp").select("old_group", "group_id"))
     merged = materialise(
-        moves.where(F.col("old_group") != F.col("group_id")).distinct(), "merged-roles")
-    relabelled = stored_keys.join(
-        merged.withColumnRenamed("group_id", "_new").withColumnRenamed("old_group", "group_id"),
-        "group_id", "left").select(
-            "key", F.coalesce("_new", "group_id").alias("group_id"), "since")
-    fresh = labels.join(stored_keys.select("key"), "key", "left_anti").select(
-        "key", "group_id", "since")
+        named.where(F.col("node").startswith(GROUP)).select(
+            F.substring("node", len(GROUP) + 1, 1 << 30).alias("old_group"),
+            F.col("c.id").alias("group_id")).where("old_group <> group_id"), "merged-roles")
+    relabelled = stored_keys
+    if not merged.isEmpty():
+        relabelled = stored_keys.join(
+            merged.select(F.col("group_id").alias("_new"), F.col("old_group").alias("group_id")),
+            "group_id", "left").select(
+                "key", F.coalesce("_new", "group_id").alias("group_id"), "since")
+    fresh = labels.where("not known").select("key", "group_id", "since")
     return Groups(grouped.drop(*KEYS, "stored_group", "stored_since"),
                   relabelled.unionByName(fresh), merged)
 
 
+GROUP = "group:"
+
+
+def _contracted(tuples: DataFrame, stored_keys: DataFrame, total: int, cfg: Settings
+                ) -> tuple[DataFrame, DataFrame]:
+    """``(key, known, is_fp, node, at)`` of the batch's keys, and the links between nodes.
+
+    The stored keys are a forest: a key met before stands for its role, one node.
+    A new company-and-title key is a node itself. A requisition key links the nodes
+    it is met with, but only where there are two, or where it is known: one that is
+    met with a single node is that node. So most of a batch is named without any
+    graph, and rounds are made over the few links between different nodes.
+    """
+    own = tuples.select(
+        "first", F.inline(F.array(*[
+            F.struct(F.col(k).alias("key"), F.lit(k == "key_fp").alias("is_fp")) for k in KEYS])))
+    met = own.where("key is not null").groupBy("key").agg(
+        F.min("first").alias("first"), F.bool_or("is_fp").alias("is_fp"))
+    keys = materialise(met.join(stored_keys.select(
+        "key", "group_id", F.col("since").alias("kept_since")), "key", "left"), "role-keys")
+    role = F.concat(F.lit(GROUP), "group_id")
+    firsts = keys.where("is_fp").select(
+        F.col("key").alias("key_fp"), F.coalesce(role, F.col("key")).alias("root"))
+    rooted = split_lookup(tuples.select(*KEYS, "stored_group"), firsts, ["key_fp"],
+                          ["key_req", "key_host", "stored_group"], cfg=cfg, total=total)
+    rooted = materialise(rooted, "role-roots")
+    pairs = rooted.select("root", F.explode(F.array("key_req", "key_host")).alias("key")).where(
+        "key is not null").distinct()
+    spans = pairs.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    others = spans.join(keys.where("not is_fp"), "key").select(
+        "key", F.coalesce(role, "low").alias("node"), "low", "high", "group_id", "kept_since",
+        "first")
+    others = materialise(others, "role-others")
+    joins = others.where((F.col("low") != F.col("node")) | (F.col("high") != F.col("node")))
+    links = pairs.join(joins.select("key", "node"), "key").select(
+        F.col("root").alias("a"), F.col("node").alias("b"))
+    held = rooted.where("stored_group is not null").select(
+        F.col("root").alias("a"), F.concat(F.lit(GROUP), "stored_group").alias("b"))
+    edges = materialise(links.unionByName(held).where("a <> b").distinct(), "role-links")
+    columns = ["key", F.col("group_id").isNotNull().alias("known"), "is_fp", "node", "group_id",
+               "kept_since", "first"]
+    every = keys.where("is_fp").withColumn("node", F.coalesce(role, F.col("key"))).select(
+        *columns).unionByName(others.withColumn("is_fp", F.lit(False)).select(*columns))
+    return every, edges
+
+
+def _named(nodes: DataFrame, edges: DataFrame, tuples: DataFrame, cfg: Settings, total: int
+           ) -> DataFrame:
+    """``(node, c)``: what each node's role is called; stored roles by age, then arrivals."""
+    def rank(level: int, at: str, name: str):
+        return F.struct(F.lit(level).alias("rank"), F.coalesce(F.col(at), F.lit(0)).cast(ORDER)
+                        .alias("at"), F.col(name).alias("id"))
+
+    said = nodes.where("known or is_fp").select("node", F.when(
+        F.col("known"), rank(0, "kept_since", "group_id")).otherwise(
+            rank(1, "first.seq", "first.uid")).alias("c"))
+    held = tuples.where("stored_group is not null").select(
+        F.concat(F.lit(GROUP), "stored_group").alias("node"),
+        rank(0, "since", "stored_group").alias("c"))
+    candidates = said.unionByName(held).groupBy("node").agg(F.min("c").alias("c"))
+    if edges.isEmpty():
+        return candidates
+    components = materialise(connected_components(edges, cfg), "components")
+    candidates = materialise(candidates, "role-candidates")
+    linked = candidates.join(components, "node")
+    names = linked.groupBy("component").agg(F.min("c").alias("c"), F.count("*").alias("n"))
+    shared = split_lookup(linked.select("node", "component"), names.drop("n"), ["component"],
+                          ["node"], counts=names.select("component", "n"), how="inner", cfg=cfg,
+                          total=4 * total).select("node", "c")
+    return candidates.join(components, "node", "left_anti").unionByName(shared)
+
+
 def regroup(jobs: DataFrame, merged: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Stored rows of merged roles under their new id."""
     moves = merged.select(F.col("old_group").alias("group_id"), F.col("group_id").alias("_to"))
