@@ -9,6 +9,7 @@ from jobsluice.operators.roles import assign_groups, connected_components, first
 from jobsluice.operators.skew import split_lookup
 from jobsluice.operators.state import JOBS_SCHEMA, ROLE_KEYS_SCHEMA
 from jobsluice.operators.triage import mark_duplicates
+from jobsluice.session import materialise
 from jobsluice.settings import Settings
 
 # A limit this low makes every test split its hot keys.
@@ -111,3 +112,30 @@ def test_split_lookup_keeps_every_row(spark):
     assert got.count() == 300
     assert got.where("v = 1").count() == 100
     assert got.where("v = 2").count() == 1
+
+
+def test_batches_one_by_one_give_the_roles_of_one_batch(spark):
+    """Shared requisition ids chain companies and titles; the order of batches does not matter."""
+    pick = random.Random(11)
+    schema = "uid string, company string, title string, url string, seq bigint"
+    rows = []
+    for k in range(240):
+        host = pick.choice(["https://boards.greenhouse.io/a/jobs/{}", "https://x.com/p/{}"])
+        rows.append((f"u{k:03}", f"Firm {pick.randrange(30)}", f"Role {pick.randrange(5)}",
+                     host.format(1000 + pick.randrange(70)) if k % 3 else "", k))
+
+    def groups(*cuts):
+        stored, merged, of = spark.createDataFrame([], ROLE_KEYS_SCHEMA), [], {}
+        for number, (low, high) in enumerate(zip(cuts, cuts[1:])):
+            made = assign_groups(spark.createDataFrame(rows[low:high], schema), stored, number)
+            moves = {r["old_group"]: r["group_id"] for r in made.merged.collect()}
+            of = {u: moves.get(g, g) for u, g in of.items()}
+            of.update({r["uid"]: r["group_id"] for r in made.rows.collect()})
+            merged += list(moves)
+            stored = materialise(made.keys, "keys")
+        return of, {(r["key"], r["group_id"]) for r in stored.collect()}, merged
+
+    whole, keys, none = groups(0, 240)
+    parts, part_keys, merged = groups(0, 60, 150, 240)
+    assert parts == whole and part_keys == keys and merged and not none
+    assert 5 < len(set(whole.values())) < 150
