@@ -739,13 +739,13 @@ def stream_run(spark, folder):
 
 # Sites of postings by ranges of keys: even sites have a sitemap, odd ones a careers page. Three
 # fetches a day apart leave some postings out; every third sitemap lists pages that never land.
-SITE_ROWS = f"""select k, cast(k // 750 as int) as site, day,
+SITE_ROWS = f"""select k, cast(k // 750 as int) as site, no as day,
       (k // 750) % 2 = 0 as mapped,
       case when (k // 750) % 2 = 1 then true
         else not ((k // 750) % 6 = 2 and k % 11 = 0) end as known
-    from fx, (values (0), (1), (2)) as d(day)
-    where case when (k // 750) % 2 = 1 then day = 0 or (k + day) % 2 = 0
-      when day = 0 then k % 7 <> 0 when day = 1 then k % 7 <> 0 and k % 5 <> 0
+    from fx, (values (0), (1), (2)) as d(no)
+    where case when (k // 750) % 2 = 1 then no = 0 or (k + no) % 2 = 0
+      when no = 0 then k % 7 <> 0 when no = 1 then k % 7 <> 0 and k % 5 <> 0
       else k % 3 <> 0 end"""
 
 

@@ -90,7 +90,7 @@ def assign_groups(rows: DataFrame, stored_keys: DataFrame, as_of: int,
     """Give each row its role.
 
     ``rows`` need uid, company, title, url and seq (arrival order), and may
-    carry ``stored_group``, a role they already belong to. ``stored_keys(key,
+    carry their keys and ``stored_group``, a role they already belong to. ``stored_keys(key,
     group_id, since)`` are the keys known so far. A role keeps the id of its
     earliest stored part, else takes the uid of its first arrival.
     """
@@ -98,7 +98,7 @@ def assign_groups(rows: DataFrame, stored_keys: DataFrame, as_of: int,
         rows = rows.withColumn("stored_group", F.lit(None).cast("string"))
     if "stored_since" not in rows.columns:
         rows = rows.withColumn("stored_since", F.lit(None).cast("bigint"))
-    keyed = with_role_keys(rows)
+    keyed = rows if set(KEYS) <= set(rows.columns) else with_role_keys(rows)
     # Copies with equal keys act as one, so a huge group of them is one tuple.
     tuples = materialise(
         keyed.groupBy(*KEYS, "stored_group").agg(
