@@ -12,7 +12,7 @@ from jobsluice.functions.identity import role_keys
 from jobsluice.operators import enrich, roles, state
 from jobsluice.operators import triage as triage_ops
 from jobsluice.session import materialise
-from jobsluice.settings import DEFAULT
+from jobsluice.settings import DEFAULT, Settings
 
 C, L = F.col, F.lit
 WEEK = DEFAULT.max_age_hours * 3600
@@ -485,6 +485,21 @@ def desc_requeue(spark, folder):
     return state.requeue_descriptions(read, jobs(spark, folder), AS_OF)
 
 
+@query("desc_rules", duck(f"""
+    select uid, 'as before' as rules from fx union all
+    select uid, 'changed' from fx where not coalesce(tier = 'loose' and reason = 'no AI signal'
+      and {SHOWN} >= {AS_OF - WEEK}, false)"""))
+def desc_rules(spark, folder):
+    """Reads that a run keeps under the rules of the run before, and under rules that changed."""
+    read, rows = fx(spark, folder).select("uid"), jobs(spark, folder)
+    none = spark.createDataFrame([], state.RULES_SCHEMA)
+    kept, rules = state.requeue_for_rules(read, rows, none, AS_OF, Settings(desc_min_terms=9))
+    kept, rules = state.requeue_for_rules(read, rows, rules, AS_OF)
+    same, _ = state.requeue_for_rules(read, rows, rules, AS_OF)
+    return same.withColumn("rules", L("as before")).unionByName(
+        kept.withColumn("rules", L("changed")))
+
+
 OPEN_DESC = f"""((tier = 'loose' and reason = 'no AI signal')
     or (tier is null and reason = 'no Canadian location')) and {SHOWN} >= {AS_OF - WEEK}"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,3 +45,10 @@ def description_is_ai(plain: Column, terms: Column, cfg: Settings = DEFAULT) ->
     """Enough distinct terms, or a few that run through the whole text."""
     few = (F.size(terms) >= 2) & (description_mentions(plain) >= cfg.desc_min_mentions)
     return F.when(F.size(terms) >= cfg.desc_min_terms, True).otherwise(few)
+
+
+def rules_version(cfg: Settings = DEFAULT) -> str:
+    """Tells apart two sets of description rules: their terms and thresholds."""
+    said = repr((sorted(vocab.DESCRIPTION_TERMS), cfg.desc_min_terms, cfg.desc_min_mentions,
+                 cfg.desc_max_chars))
+    return hashlib.sha256(said.encode()).hexdigest()

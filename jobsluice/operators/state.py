@@ -13,7 +13,7 @@ from jobsluice.functions.classify import (
     CYCLE_REASONS, NO_AI, NO_PLACE, classify, tier_rank)
 from jobsluice.functions.clean import cycle_blob
 from jobsluice.functions.cycles import term_label, title_cycles
-from jobsluice.functions.describe import description_terms, plain_description
+from jobsluice.functions.describe import description_terms, plain_description, rules_version
 from jobsluice.functions.identity import fingerprint
 from jobsluice.functions.places import names_a_place
 from jobsluice.operators.skew import dimension_lookup, last_by
@@ -47,11 +47,13 @@ PAGES_SCHEMA = (
     "url string, lastmod string, fetched_at bigint, found array<struct<pos:int,title:string,"
     "location:string,link:string,posted_at:bigint>>"
 )
+# The rules that stored verdicts were made under: one row a kind.
+RULES_SCHEMA = "name string, version string"
 STATE_SCHEMAS = {
     "jobs": JOBS_SCHEMA, "role_keys": ROLE_KEYS_SCHEMA, "descriptions": DESCRIPTIONS_SCHEMA,
     "health": HEALTH_SCHEMA, "discovered": DISCOVERED_SCHEMA, "hosts": HOSTS_SCHEMA,
     "candidates": CANDIDATES_SCHEMA, "payload_seen": PAYLOADS_SCHEMA,
-    "pages": PAGES_SCHEMA,
+    "pages": PAGES_SCHEMA, "rules": RULES_SCHEMA,
 }
 BOARD = ["platform", "token"]
 
@@ -179,6 +181,25 @@ def requeue_descriptions(descriptions: DataFrame, jobs: DataFrame, as_of: int,
     return descriptions.join(again, "uid", "left_anti")
 
 
+DESCRIPTION_RULES = "descriptions"
+
+
+def requeue_for_rules(descriptions: DataFrame, jobs: DataFrame, rules: DataFrame, as_of: int,
+                      cfg: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """The descriptions and rules tables for a run: requeued once for each set of rules.
+
+    Under the rules that the state names nothing moves. Under others the reads they
+    may judge otherwise are forgotten, so that the backlog takes these rows up again.
+    """
+    version = rules_version(cfg)
+    own = F.col("name") == DESCRIPTION_RULES
+    if not rules.where(own & (F.col("version") == version)).isEmpty():
+        return descriptions, rules
+    now = rules.sparkSession.createDataFrame([(DESCRIPTION_RULES, version)], RULES_SCHEMA)
+    return (requeue_descriptions(descriptions, jobs, as_of, cfg),
+            rules.where(~own).unionByName(now))
+
+
 def description_backlog(jobs: DataFrame, descriptions: DataFrame, limit: int | None, as_of: int,
                         cfg: Settings = DEFAULT) -> DataFrame:
     """Stored rows a description may promote, newest first; no limit reads all."""

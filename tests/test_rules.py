@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobsluice.functions import boards, clean, cycles, dates, describe, identity, places
-from jobsluice.functions.classify import classify
+from jobsluice.functions.classify import NO_AI, classify
+from jobsluice.operators import state
+from jobsluice.session import materialise
+from jobsluice.settings import Settings
 
 NOV_2026 = 1_793_534_400
 NO_AI = "no AI signal"
@@ -119,3 +122,29 @@ def test_cases(spark, number):
     df = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(pairs)], "i int, s string")
     got = {r["i"]: r["v"] for r in df.select("i", fn(F.col("s")).alias("v")).collect()}
     assert {pairs[i][0]: got[i] for i in got if got[i] != pairs[i][1]} == {}
+
+
+def test_new_description_rules_judge_stored_rows_once_more(spark):
+    """Strict rules leave the row loose; other rules requeue and promote it; the same ones rest."""
+    row = {c: None for c in state.JOBS_COLUMNS} | {
+        "uid": "u1", "company": "Acme", "title": "Software Developer Intern (Summer 2027)",
+        "location": "Toronto, ON", "source": "s", "tier": "loose", "reason": NO_AI,
+        "first_seen": NOV_2026, "posted_at": NOV_2026, "group_id": "u1", "last_seen": NOV_2026,
+        "misses": 0}
+    jobs = spark.createDataFrame([tuple(row[c] for c in state.JOBS_COLUMNS)], state.JOBS_SCHEMA)
+    described = spark.createDataFrame(
+        [("u1", "LLMs and transformers, deep learning, computer vision, PyTorch", "", 0)],
+        "uid string, text string, place string, posted bigint")
+    reads = spark.createDataFrame([], state.DESCRIPTIONS_SCHEMA)
+    rules = spark.createDataFrame([], state.RULES_SCHEMA)
+    strict, tiers = Settings(desc_min_terms=90, desc_min_mentions=90), []
+    for cfg in (strict, strict, Settings(), Settings()):
+        before = reads
+        reads, rules = state.requeue_for_rules(reads, jobs, rules, NOV_2026, cfg)
+        queued = state.description_backlog(jobs, reads, None, NOV_2026, cfg).count()
+        jobs = materialise(state.backfill(jobs, reads, described, NOV_2026, cfg), "jobs")
+        reads = materialise(state.record_descriptions(reads, state.read_descriptions(
+            described.withColumn("error", F.lit(None).cast("string")), NOV_2026)), "reads")
+        tiers.append((queued, before.count(), jobs.first()["tier"]))
+    assert tiers == [(1, 0, "loose"), (0, 1, "loose"), (1, 1, "strict"), (0, 1, "strict")]
+    assert rules.count() == 1
