@@ -646,15 +646,17 @@ _NOTE = ("case when reason = 'AI in description' and ai_terms <> '' "
 _LINK = _swaps(SAFE, render.LINK_CODES)
 
 
-@query("md_rows", duck(f"""
-    select uid, concat(case when {_LINK} <> '' then concat('| [', {md_sql('title')}, '](', {_LINK}, ') ')
+MD_LINE = f"""concat(case when {_LINK} <> '' then concat('| [', {md_sql('title')}, '](', {_LINK}, ') ')
         else concat('| ', {md_sql('title')}, ' ') end,
       case when {_NOTE} <> '' then concat('<br><sub>', {md_sql(_NOTE)}, '</sub> ') else '' end,
       '| ', {md_sql('company')}, ' | ',
       {md_sql("case when location = '' then 'not listed' else location end")}, ' | ',
       case when term = '' then '-' else {md_sql('term')} end, ' | ',
-      case when {TODAY} then concat('**', {WHEN}, '**') else {WHEN} end, ' |') as line
-    from (select *, {SHOWN} as shown_at from fx) t"""))
+      case when {TODAY} then concat('**', {WHEN}, '**') else {WHEN} end, ' |')"""
+
+
+@query("md_rows", duck(
+    f"select uid, {MD_LINE} as line from (select *, {SHOWN} as shown_at from fx) t"))
 def md_rows(spark, folder):
     rows = jobs(spark, folder).withColumn("shown_at", state.shown_at())
     return publish.markdown_rows(rows, AS_OF)
@@ -663,8 +665,7 @@ def md_rows(spark, folder):
 _XLINK = xml_sql(SAFE)
 
 
-@query("html_cards", duck(f"""
-    select uid, concat('<div class="card"><span class="tag ', tier[1:1], '">', tier, '</span>',
+CARD_LINE = f"""concat('<div class="card"><span class="tag ', tier[1:1], '">', tier, '</span>',
       case when {SAFE} <> '' then concat('<a class="title" href="', {_XLINK},
         '" target="_blank" rel="noopener noreferrer">', {xml_sql('title')}, '</a>')
         else concat('<span class="title">', {xml_sql('title')}, '</span>') end,
@@ -672,13 +673,31 @@ _XLINK = xml_sql(SAFE)
         else '' end, '<span class="meta">', {xml_sql('company')}, ' &middot; ',
       {xml_sql("case when location = '' then 'location not listed' else location end")},
       case when term <> '' then concat(' &middot; ', term) else '' end, '</span><span class="when',
-      case when {TODAY} then ' hot' else '' end, '">', {WHEN}, '</span></div>') as card
+      case when {TODAY} then ' hot' else '' end, '">', {WHEN}, '</span></div>')"""
+
+
+@query("html_cards", duck(f"""select uid, {CARD_LINE} as card
     from (select *, {SHOWN} as shown_at from fx) t where tier is not null"""))
 def html_cards(spark, folder):
     rows = jobs(spark, folder).withColumn("shown_at", state.shown_at())
     return publish.html_cards(rows.where(C("tier").isNotNull()), AS_OF)
 
 
+@query("published_pages", duck(
+    f"select 'markdown' as kind, {MD_LINE} as line from top union all select 'cards', {CARD_LINE} from top",
+    **roles_sql("strict"), top=f"select * from roles {RECENT.format(200)}"))
+def published_pages(spark, folder):
+    """The strict pages as written; publishing the same jobs again writes nothing."""
+    base = f"{scratch_dir(spark).rstrip('/')}/site-{uuid.uuid4().hex}"
+    rows = materialise(jobs(spark, folder), "jobs")
+    publish.publish(rows, base, AS_OF, CFG)
+    if publish.publish(rows, base, AS_OF, CFG):
+        raise RuntimeError("the same jobs were published twice")
+    kinds = [spark.read.text(f"{base}/{kind}/strict").select(
+        L(kind).alias("kind"), C("value").alias("line")) for kind in ("markdown", "cards")]
+    return kinds[0].unionByName(kinds[1])
+
+
 @query("feed_changed", duck("""
     select true as changed, cast(2 * count(*) filter (k % 9 = 0) + count(*) filter (k % 9 = 1) as bigint)
       as rows_changed from fx"""))

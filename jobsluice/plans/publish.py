@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobsluice.functions.classify import AI_IN_DESCRIPTION
 from jobsluice.functions.clean import safe_url
@@ -148,19 +150,52 @@ def alert_rows(fresh: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
         F.greatest(F.col("_total") - cfg.alert_limit, F.lit(0)).alias("more"))
 
 
+def role_pages(jobs: DataFrame, as_of: int, cfg: Settings = DEFAULT) -> dict[str, DataFrame]:
+    """Lines of every published page, newest role first; each has at most ``feed_limit``."""
+    pages = {}
+    for tier in CARD_TAG:
+        hours = cfg.strict_window if tier == "strict" else cfg.max_age_hours
+        roles = recent_jobs(jobs, tier, as_of, cfg.feed_limit, hours, cfg)
+        pages[f"markdown/{tier}"] = markdown_rows(roles, as_of, cfg).select("line")
+        pages[f"cards/{tier}"] = html_cards(roles, as_of, cfg).select("card")
+    return pages
+
+
+def _published(spark: SparkSession, path: str, schema: str | T.StructType | None = None
+               ) -> DataFrame | None:
+    """What stands at a path, as JSON rows of a schema or as lines; None before the first run."""
+    try:
+        return spark.read.text(path) if schema is None else spark.read.schema(schema).json(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def publish_pages(jobs: DataFrame, folder: str, as_of: int, cfg: Settings = DEFAULT) -> list[str]:
+    """Write the pages whose lines differ from what is published; returns their names."""
+    spark, written = jobs.sparkSession, []
+    for name, rows in role_pages(jobs, as_of, cfg).items():
+        path = f"{folder.rstrip('/')}/{name}"
+        # The feed's limit bounds both sides.
+        lines = [r[0] for r in rows.collect()]
+        before = _published(spark, path)
+        if before is None or [r[0] for r in before.collect()] != lines:
+            spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1).write.mode(
+                "overwrite").option("lineSep", "\n").text(path)
+            written.append(name)
+    return written
+
+
 def publish(jobs: DataFrame, folder: str, as_of: int, cfg: Settings = DEFAULT) -> bool:
-    """Write the feed as JSON and RSS rows unless it equals what is published."""
-    spark = jobs.sparkSession
+    """Write feed, markdown tables and cards, each unless it equals what is published."""
+    pages = publish_pages(jobs, folder, as_of, cfg)
     items = feed_items(jobs, as_of, cfg)
     path = f"{folder.rstrip('/')}/feed"
-    try:
-        published = spark.read.schema(items.schema).json(f"{path}/json")
-        if not feed_changed(items, published).first()["changed"]:
-            return False
-        # The files read above are replaced below, so the feed is taken first.
-    except Exception as error:  # noqa: BLE001 - the first run finds no feed
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    published = _published(jobs.sparkSession, f"{path}/json", items.schema)
+    if published is not None and not feed_changed(items, published).first()["changed"]:
+        return bool(pages)
+    # The files compared above are replaced here; the feed itself does not read them.
     items.coalesce(1).write.mode("overwrite").json(f"{path}/json")
     rss_items(items).select("item").coalesce(1).write.mode("overwrite").text(f"{path}/rss")
     return True
