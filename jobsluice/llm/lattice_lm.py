@@ -8,15 +8,19 @@ over a whole text is the product of the sums over its words, each begun by the
 word mark, and of the end token; a word is solved once however often it occurs.
 
 1. Count every word of every text (training and all), combined per task.
-2. Expectation steps: forward and backward over distinct training words, each
+2. Each distinct word's arcs, the pieces that fit at each of its places, are
+   found once and stored.
+3. Expectation steps: forward and backward over distinct training words, each
    weighted by its count; counts of pieces meet in one small aggregate. Every
-   step reads all of them, whatever their number.
-3. The forward recursion gives each distinct word its log probability.
-4. Texts look their words up: frequent ones in a table of bounded size that
+   step reads all of them, whatever their number. Arcs of a batch of words that
+   begin and end at equal places are taken together.
+4. The forward recursion gives each distinct word its log probability.
+5. Texts look their words up: frequent ones in a table of bounded size that
    travels with the task, the others by a join on the word.
 
 Results in special cases: a null or empty text is the end token alone. A
-character outside the vocabulary is spelled in byte pieces. Repeated rows are
+character outside the vocabulary is spelled in byte pieces. A word of over 40
+characters is summed by itself in log space, however long. Repeated rows are
 scored, and counted, each for itself. Rows with a null id count as training.
 An empty table gives no rows.
 """
@@ -30,7 +34,6 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -155,62 +158,99 @@ def forward(text: str, trie: dict, weight: list[float]) -> float:
     return log_sum(into[-1])
 
 
-# Products of piece weights of a word no longer than this stay within a float's range.
+# Products of piece weights of a word no longer than this seldom leave a float's range.
 SHORT = 40
+# Words whose probability is below this are summed in log space.
+LEAST = 1e-290
 
 
-def expect(text: str, count: float, trie: dict, weight: list[float], share: list[float],
-           into: list[float]) -> None:
-    """Add the expected uses of each piece in ``count`` occurrences of ``text``.
+def compile_arcs(text: str, trie: dict, where: list[int], piece: list[int]) -> None:
+    """Append the arcs of a short word: ``start * 64 + length`` and the piece of each.
 
-    ``weight`` are logs and ``share`` the same as probabilities, which short
-    words are summed in.
+    A character that no piece spells is ``-1 - code point``.
     """
     size = len(text)
-    if size > SHORT:
-        return _expect_long(text, count, trie, weight, into)
-    ahead, arcs = [0.0] * (size + 1), []
-    ahead[0] = 1.0
     for start in range(size):
-        so_far = ahead[start]
         node, at, single = trie, start, False
         while at < size:
             node = node.get(text[at])
             if node is None:
                 break
             at += 1
-            piece = node.get("")
-            if piece is not None:
-                p = share[piece]
-                ahead[at] += so_far * p
-                arcs.append((start, at, piece, p))
+            found = node.get("")
+            if found is not None:
+                where.append(start << 6 | at - start)
+                piece.append(found)
                 if at == start + 1:
                     single = True
         if not single:
-            p = 1.0
-            spelled = text[start].encode("utf-8", "surrogatepass")
+            where.append(start << 6 | 1)
+            piece.append(-1 - ord(text[start]))
+
+
+class Lattice:
+    """The arcs of many short words, in groups of equal start and length.
+
+    A word has at most one arc in a group, so a group is one array operation;
+    groups in order of their start reach every place before it is left.
+    ``sizes`` are the words' numbers of arcs, each at least one.
+    """
+
+    def __init__(self, where: np.ndarray, piece: np.ndarray, sizes: np.ndarray, pieces: int):
+        begins = np.cumsum(sizes) - sizes
+        start, span = where >> 6, where & 63
+        length = np.maximum.reduceat(start + span, begins)
+        self.last = np.cumsum(length + 1) - 1
+        self.first = self.last - length
+        order = np.argsort(where.astype(np.int16), kind="stable")
+        self.begin = (np.repeat(self.first, sizes) + start)[order]
+        self.end = self.begin + span[order]
+        grouped = where[order]
+        edges = np.flatnonzero(np.diff(grouped)) + 1
+        self.groups = [slice(a, b) for a, b in zip([0, *edges], [*edges, len(grouped)])]
+        self.piece, self.pieces = piece[order].astype(np.int64), pieces
+        odd = self.piece < 0
+        codes, at = np.unique(self.piece[odd], return_inverse=True)
+        self.spelled = [list(chr(-1 - c).encode("utf-8", "surrogatepass"))
+                        for c in codes.tolist()]
+        self.piece[odd] = pieces + at
+
+    def _shares(self, share: np.ndarray) -> np.ndarray:
+        odd = [math.prod(share[b] for b in spelled) for spelled in self.spelled]
+        return np.concatenate([share, np.array(odd, dtype=float)])[self.piece]
+
+    def _ahead(self, p: np.ndarray) -> np.ndarray:
+        ahead = np.zeros(self.last[-1] + 1)
+        ahead[self.first] = 1.0
+        for g in self.groups:
+            ahead[self.end[g]] += ahead[self.begin[g]] * p[g]
+        return ahead
+
+    def totals(self, share: np.ndarray) -> np.ndarray:
+        """Each word's probability."""
+        return self._ahead(self._shares(share))[self.last]
+
+    def expect(self, counts: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected uses of each piece in all words, and the places of words left out as too rare."""
+        p = self._shares(share)
+        ahead = self._ahead(p)
+        total = ahead[self.last]
+        lost = ~(total > LEAST)
+        back = np.zeros(len(ahead))
+        back[self.last] = np.where(lost, 0.0, counts / np.where(lost, 1.0, total))
+        for g in reversed(self.groups):
+            back[self.begin[g]] += back[self.end[g]] * p[g]
+        uses = np.bincount(self.piece, ahead[self.begin] * p * back[self.end],
+                           self.pieces + len(self.spelled))
+        for spelled, n in zip(self.spelled, uses[self.pieces:]):
             for byte in spelled:
-                p *= share[byte]
-            ahead[start + 1] += so_far * p
-            arcs.append((start, start + 1, spelled, p))
-    if not ahead[size] > 0.0:
-        return _expect_long(text, count, trie, weight, into)
-    back = [0.0] * (size + 1)
-    back[size] = count / ahead[size]
-    for start, end, piece, p in reversed(arcs):
-        p *= back[end]
-        back[start] += p
-        p *= ahead[start]
-        if piece.__class__ is int:
-            into[piece] += p
-        else:
-            for byte in piece:
-                into[byte] += p
+                uses[byte] += n
+        return uses[:self.pieces], np.flatnonzero(lost)
 
 
-def _expect_long(text: str, count: float, trie: dict, weight: list[float],
-                 into: list[float]) -> None:
-    """The same in log space."""
+def expect_long(text: str, count: float, trie: dict, weight: list[float],
+                into: list[float]) -> None:
+    """Add the expected uses of each piece in ``count`` occurrences of a word, in log space."""
     size = len(text)
     costs = [[(end, ids, sum(weight[i] for i in ids)) for end, ids in found]
              for found in arcs_of(text, trie)]
@@ -261,27 +301,69 @@ def _count_words(cfg: LatticeSettings):
     return run
 
 
+def _compile_words(pieces: Pieces):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = pieces.trie()
+        for batch in batches:
+            where, piece, offsets = [], [], [0]
+            for word in batch.column(0).to_pylist():
+                if len(word) < SHORT:
+                    compile_arcs(MARK + word, trie, where, piece)
+                offsets.append(len(where))
+            offsets = pa.array(offsets, pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                *batch.columns, pa.ListArray.from_arrays(offsets, pa.array(where, pa.int32())),
+                pa.ListArray.from_arrays(offsets, pa.array(piece, pa.int32()))],
+                names=["word", "train", "all", "arc", "piece"])
+    return run
+
+
+def _lattice(batch: pa.RecordBatch, pieces: int) -> tuple[np.ndarray, Lattice | None]:
+    """Which rows of ``(word, train, all, arc, piece)`` are short words, and their arcs."""
+    sizes = np.diff(batch.column(3).offsets.to_numpy())
+    short = np.flatnonzero(sizes)
+    if not len(short):
+        return short, None
+    where, piece = (batch.column(k).flatten().to_numpy() for k in (3, 4))
+    return short, Lattice(where, piece, sizes[short], pieces)
+
+
 def _expected(pieces: Pieces, weight: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie, log_weight, share = pieces.trie(), weight.tolist(), np.exp(weight).tolist()
-        uses = [0.0] * len(log_weight)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, log_weight, share = pieces.trie(), weight.tolist(), np.exp(weight)
+        uses, alone = np.zeros(len(weight)), [0.0] * len(weight)
         for batch in batches:
-            for word, count in zip(batch["word"].tolist(), batch["train"].tolist()):
-                expect(MARK + word, float(count), trie, log_weight, share, uses)
-        uses = np.array(uses)
+            words, counts = batch.column(0), batch.column(1).to_numpy()
+            short, lattice = _lattice(batch, len(weight))
+            left = np.setdiff1d(np.arange(len(words)), short)
+            if lattice:
+                found, lost = lattice.expect(counts[short].astype(float), share)
+                uses += found
+                left = np.concatenate([left, short[lost]])
+            for k in left.tolist():
+                expect_long(MARK + words[k].as_py(), float(counts[k]), trie, log_weight, alone)
+        uses += np.array(alone)
         at = np.flatnonzero(uses)
-        yield pd.DataFrame({"piece": at.astype(np.int32), "uses": uses[at]})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at, pa.int32()), pa.array(uses[at])], names=["piece", "uses"])
     return run
 
 
 def _solve_words(pieces: Pieces, weight: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, log_weight = pieces.trie(), weight.tolist()
+        trie, log_weight, share = pieces.trie(), weight.tolist(), np.exp(weight)
         for batch in batches:
-            lattice = [forward(MARK + w, trie, log_weight) / LOG10
-                       for w in batch.column(0).to_pylist()]
+            short, lattice = _lattice(batch, len(weight))
+            total = np.zeros(batch.num_rows)
+            if lattice:
+                total[short] = lattice.totals(share)
+            kept = total > LEAST
+            solved = np.log10(np.where(kept, total, 1.0))
+            for k in np.flatnonzero(~kept).tolist():
+                solved[k] = forward(
+                    MARK + batch.column(0)[k].as_py(), trie, log_weight) / LOG10
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(lattice)],
+                [*batch.columns[:3], pa.array(solved)],
                 names=["word", "train", "all", "lattice"])
     return run
 
@@ -364,17 +446,20 @@ def train(docs: DataFrame, held_out, text_col: str = "text",
     totals = words.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0)).first()
     train_docs = docs.where(~held_out).count()
     pieces = Pieces.load(cfg)
-    known = store(words.where("train > 0").select("word", "train"), "lattice-known")
+    compiled = store(words.mapInArrow(
+        _compile_words(pieces),
+        "word string, train long, all long, arc array<int>, piece array<int>"), "lattice-arcs")
+    known = compiled.where("train > 0")
     weight = np.log(pieces.prior)
     for _ in range(cfg.steps):
-        uses = known.mapInPandas(_expected(pieces, weight), "piece int, uses double") \
+        uses = known.mapInArrow(_expected(pieces, weight), "piece int, uses double") \
             .groupBy("piece").agg(F.sum("uses")).collect()
         counts = cfg.prior * pieces.prior
         for piece, n in uses:
             counts[piece] += n
         total = counts.sum() + train_docs + 1
         weight = np.log(counts / total)
-    solved = store(words.mapInArrow(
+    solved = store(compiled.mapInArrow(
         _solve_words(pieces, weight), "word string, train long, all long, lattice double"),
         "lattice-solved")
     return LatticeModel(solved, totals[0] + train_docs, totals[1] + (train_docs > 0), train_docs,

@@ -105,16 +105,32 @@ def test_lattice_is_the_sum_over_segmentations():
     def spelled(char):
         return 0.001 ** len(char.encode())
 
-    for word in ("▁abab", "▁", "▁aébab", "▁bbbaaab漢a"):
-        want = segmentations(word, pieces, spelled)
-        assert abs(lattice_lm.forward(word, trie, weights) - math.log(want)) < 1e-9
-        uses, long = [0.0] * len(weights), [0.0] * len(weights)
-        lattice_lm.expect(word, 3.0, trie, weights, np.exp(weights).tolist(), uses)
-        lattice_lm._expect_long(word, 3.0, trie, weights, long)
-        assert np.allclose(uses, long)
+    texts = ["▁abab", "▁", "▁aébab", "▁bbbaaab漢a", "▁" + "ab" * 19]
+    where, piece, sizes = [], [], []
+    for word in texts:
+        before = len(where)
+        lattice_lm.compile_arcs(word, trie, where, piece)
+        sizes.append(len(where) - before)
+    lattice = lattice_lm.Lattice(
+        np.array(where, np.int32), np.array(piece, np.int32), np.array(sizes), len(weights))
+    totals, everything = lattice.totals(np.exp(weights)), np.zeros(len(weights))
+    for word, total in zip(texts, totals):
+        if len(word) < 20:
+            want = segmentations(word, pieces, spelled)
+            assert abs(total / want - 1) < 1e-9
+        assert abs(lattice_lm.forward(word, trie, weights) - math.log(total)) < 1e-9
+        uses = [0.0] * len(weights)
+        lattice_lm.expect_long(word, 3.0, trie, weights, uses)
+        everything += uses
         covered = sum(uses[256 + k] * len(p) for k, p in enumerate(names))
         spelled_chars = sum(1 for c in word if c not in pieces)
         assert abs(covered - 3.0 * (len(word) - spelled_chars)) < 1e-6
+    uses, lost = lattice.expect(np.full(len(texts), 3.0), np.exp(weights))
+    assert np.allclose(uses, everything, rtol=1e-9) and not len(lost)
+    # Weights so small that the product leaves a float's range: the word is named, not lost.
+    uses, lost = lattice.expect(np.full(len(texts), 3.0), np.full(len(weights), 1e-30))
+    assert lost.tolist() == [3, 4]
+    assert np.isfinite(uses).all()
 
 
 @pytest.mark.parametrize("head", [200_000, 3])
@@ -153,12 +169,12 @@ def test_every_step_reads_all_training_words(spark):
     trie, prior = model.pieces.trie(), model.pieces.prior
     weight = np.log(prior)
     for _ in range(5):
-        logs, shares, uses = weight.tolist(), np.exp(weight).tolist(), [0.0] * len(prior)
+        logs, uses = weight.tolist(), [0.0] * len(prior)
         for word in words:
-            lattice_lm.expect("▁" + word, 1.0, trie, logs, shares, uses)
+            lattice_lm.expect_long("▁" + word, 1.0, trie, logs, uses)
         counts = 100 * prior + np.array(uses)
         weight = np.log(counts / (counts.sum() + 50 + 1))
-    assert np.allclose(model.weight, weight)
+    assert np.allclose(model.weight, weight, rtol=1e-9)
 
 
 def test_score_of_nothing(none):
