@@ -17,6 +17,7 @@ from jobsluice.functions import render
 from jobsluice.operators import discovery, feed, health, state
 from jobsluice.plans import publish
 from jobsluice.plans.discover import digest_round, discovery_round
+from jobsluice.plans.feedback import feedback_round
 from jobsluice.plans.run import empty_state, publish_state, read_state, run
 from jobsluice.session import materialise, scratch_dir
 from jobsluice.settings import Settings
@@ -583,6 +584,107 @@ def disc_round(spark, folder):
             C("turn").cast("int").alias("turn")))
 
 
+# Boards lever B0 to B39: every 40th customer's postings. One curated board links them all.
+FED = {
+    "linked": """select distinct concat('B', cast(ck % 40 as varchar)) as token, ck % 40 as n
+      from judged where k % 13 = 3 and ck % 40 not in (7, 38, 39)
+        and scope in ('ontario', 'canada')""",
+    "checked": """select distinct ck % 40 as n from judged where k % 13 = 3
+        and ck % 40 not in (7, 38, 39) and ck % 40 not in (select n from linked)""",
+    "listed": """select ck % 40 as n, count(*) as jobs, count(new_tier) as student,
+        count(*) filter (new_tier = 'strict') as strict,
+        count(new_tier) filter (scope in ('ontario', 'canada')) as near,
+        count(*) filter (new_tier = 'strict' and scope in ('ontario', 'canada')) as near_strict
+      from judged where ck % 40 < 37 and ck % 10 <> 5 group by 1""",
+    "boards": """
+      select token, case when n % 10 = 5 then 1 else 0 end as fails,
+          case when jobs is null then 0 when student > 0 then 1 else -1 end as ok_streak,
+          coalesce(student, 0) as student_jobs, coalesce(strict, 0) as strict_jobs
+        from linked left join listed using (n)
+      union all select concat('B', cast(n as varchar)), 0, 1, near, near_strict
+        from checked join listed using (n) where near > 0
+      union all select * from (values ('B38', 3, 1, 2, 1), ('B39', 0, -2, 0, 0)) as held""",
+    "promoted": """select token from boards where fails = 0
+        and (strict_jobs >= 1 or (student_jobs >= 2 and ok_streak >= 1))""",
+}
+LEVER_ROWS = "select * replace ('' as cycle_extra_s, '' as employment_type, '' as country, " \
+    "'' as loc_extra_s, '' as company, false as ai_native) from fx"
+
+
+@query("feedback", duck("""
+    select 'board' as kind, token, cast(fails as int) as fails, cast(ok_streak as int) as ok_streak,
+      cast(student_jobs as bigint) as student_jobs, cast(strict_jobs as bigint) as strict_jobs from boards
+    union all select 'promoted', token, null, null, null, null from promoted
+    union all select 'source', token, null, null, null, null from (select token from promoted
+      union select token from boards where fails < 5 union select 'b7') s
+    union all select 'read', concat('b', cast(n as varchar)), null, null, cast(jobs as bigint), null
+      from listed where n = 7 or n in (select n from linked)""",
+    lever=LEVER_ROWS, **d.classified("lever"), **FED))
+def feedback(spark, folder):
+    """Two rounds over one state: boards are mined, then read, judged and promoted or dropped.
+
+    Of two boards promoted before, one fails for the third time and one lists
+    nothing for the second time.
+    """
+    rows, board = fx(spark, folder), C("ck") % 40
+    record = F.struct(C("k").alias("id"), "title", F.struct(C("location").alias("name"))
+                      .alias("location"), C("url").alias("absolute_url"))
+    first = landed(rows, "greenhouse", "main", record, '{"jobs":{}}')
+    role = F.struct(C("k").cast("string").alias("id"), C("title").alias("text"),
+                    F.struct("location").alias("categories"),
+                    F.concat(L("https://www.linkedin.com/jobs/"), C("k").cast("string")).alias("hostedUrl"))
+    number = C("page_seq") % 40
+    pages = landed(rows.where((board < 37) & (board % 10 != 5)), "lever", "b", role,
+                   page=F.floor(C("k") / 1000) * 40 + board)
+    nothing = pages.limit(1).withColumns({"page_seq": L(39), "body": L("[]")})
+    second = pages.unionByName(nothing).withColumns({
+        "token": F.concat(L("b"), number.cast("string")),
+        "fetched_at": L(AS_OF_2026 + DAY).cast("bigint"), "complete": L(True)})
+    curated = spark.createDataFrame(
+        [(0, "Main", "greenhouse", "main"), (1, "Seven", "lever", "b7")],
+        "pos bigint, name string, platform string, token string").select(
+            F.concat("name", L(" ["), "platform", L("]")).alias("label"), "name", "platform", "token",
+            L("board").alias("kind"), L(False).alias("ai_native"), L("").alias("location"),
+            L("").alias("country"), "pos")
+    held = spark.createDataFrame(
+        [("B38", 2, 2, 1, 1), ("B39", 0, 0, 0, -1)],
+        "token string, fails int, student_jobs bigint, strict_jobs bigint, ok_streak int").select(
+            L("lever").alias("platform"), "token", C("token").alias("name"), *[
+                L(AS_OF_2026 - DAY).cast("bigint").alias(c) for c in (
+                    "first_seen", "last_canada", "last_ok", "last_attempt")],
+            L("").alias("last_error"), "fails", L(1).cast("bigint").alias("canada_hits"),
+            L(1).cast("bigint").alias("job_count"), "student_jobs", "strict_jobs", "ok_streak")
+    stored = replace(
+        empty_state(spark), discovered=held.select(*[
+            c.split()[0] for c in state.DISCOVERED_SCHEMA.split(", ")]),
+        promoted=held.select(F.regexp_extract("token", r"(\d+)$", 1).cast("int").alias("turn"),
+                             "name", "platform", "token"))
+    silent = held.where("token = 'B38'").select("platform", "token", L("down").alias("error"))
+    down = silent.unionByName(spark.range(0, 40).where("id % 10 = 5").select(
+        L("lever").alias("platform"), F.concat(L("B"), C("id").cast("string")).alias("token"),
+        L("down").alias("error")))
+    one = feedback_round(materialise(first, "first", ["platform"]), curated, silent.limit(0),
+                         stored, AS_OF_2026)
+    kept = replace(one.state, **{n: materialise(getattr(one.state, n), n)
+                                 for n in state.STATE_SCHEMAS})
+    two = feedback_round(materialise(second, "second", ["platform"]), curated, down, kept,
+                         AS_OF_2026 + DAY)
+    counts = {"fails": "int", "ok_streak": "int", "student_jobs": "bigint", "strict_jobs": "bigint"}
+
+    def told(df, kind, **given):
+        return df.where("platform = 'lever'").select(L(kind).alias("kind"), "token", *[
+            given.get(c, L(None)).cast(t).alias(c) for c, t in counts.items()])
+
+    read = two.result.postings.select(
+        L("lever").alias("platform"), F.split_part("uid", L(":"), L(2)).alias("token")).where(
+            two.result.postings["uid"].startswith("lever:")).groupBy("platform", "token").agg(
+                F.count("*").alias("jobs"))
+    return told(two.state.discovered, "board", **{c: C(c) for c in counts}).unionByName(
+        told(two.state.promoted, "promoted")).unionByName(
+        told(two.sources, "source")).unionByName(
+        told(read, "read", student_jobs=C("jobs")))
+
+
 @query("digest_round", duck("""
     select uid, tier = 'loose' and not digested as sent,
       digested or coalesce(tier = 'loose', false) as digested from fx

@@ -142,11 +142,17 @@ def sniff_signatures(pages: DataFrame) -> DataFrame:
 def sniff_due_hosts(hosts: DataFrame, discovered: DataFrame, rows: DataFrame, pages: DataFrame,
                     configured: DataFrame, as_of: int, cfg: Settings = DEFAULT
                     ) -> tuple[DataFrame, DataFrame]:
+    """Remember the hosts that ``rows`` link, then sniff all that are due."""
+    met = upsert_hosts(hosts, unplaced_hosts(rows, configured), as_of)
+    return sniff_hosts(met, discovered, pages, configured, as_of, cfg)
+
+
+def sniff_hosts(met: DataFrame, discovered: DataFrame, pages: DataFrame, configured: DataFrame,
+                as_of: int, cfg: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Sniff the landed pages of all due hosts: ``(hosts, discovered)`` after it.
 
     Boards no source reads yet join discovery with their host's name and hits.
     """
-    met = upsert_hosts(hosts, unplaced_hosts(rows, configured), as_of)
     due = open_hosts(met, as_of, cfg).select(
         "host", F.col("sample_url").alias("url"), "name", "hits")
     landed = due.join(pages.select("url", "html"), "url")
@@ -169,16 +175,26 @@ def sniff_due_hosts(hosts: DataFrame, discovered: DataFrame, rows: DataFrame, pa
 # --- evidence ------------------------------------------------------------------------
 
 
+NOTHING = [F.lit(0).cast("bigint").alias(c) for c in ("jobs", "canada", "student", "strict")]
+
+
 def board_evidence(rows: DataFrame, as_of: int, cfg: Settings = DEFAULT,
-                   canadian_only: bool = False) -> DataFrame:
-    """Per scraped board ``(platform, token)``: jobs, Canadian, student and strict roles."""
+                   canadian_only: bool = False, answered: DataFrame | None = None) -> DataFrame:
+    """Per scraped board ``(platform, token)``: jobs, Canadian, student and strict roles.
+
+    Boards of ``answered`` without a row have none of them.
+    """
     canadian = rows.withColumn("_canadian", in_canada(_place()))
     judged = classify(canadian, as_of, cfg)
     counts = F.col("_canadian") if canadian_only else F.lit(True)
-    return judged.groupBy(*BOARD).agg(
+    found = judged.groupBy(*BOARD).agg(
         F.count("*").alias("jobs"), F.count_if("_canadian").alias("canada"),
         F.count_if(counts & F.col("verdict.tier").isNotNull()).alias("student"),
         F.count_if(counts & (F.col("verdict.tier") == "strict")).alias("strict"))
+    if answered is None:
+        return found
+    return found.unionByName(answered.select(*BOARD).distinct().join(
+        found.select(*BOARD), BOARD, "left_anti").select(*BOARD, *NOTHING))
 
 
 def open_candidates(candidates: DataFrame, discovered: DataFrame, as_of: int,
@@ -194,7 +210,8 @@ def open_candidates(candidates: DataFrame, discovered: DataFrame, as_of: int,
 def candidates_due(candidates: DataFrame, discovered: DataFrame, limit: int, as_of: int,
                    cfg: Settings = DEFAULT) -> DataFrame:
     """The list for a crawler: never checked first, then longest ago, then most linked."""
-    return open_candidates(candidates, discovered, as_of, cfg).orderBy(F.col("checked_at").isNotNull(), "checked_at", F.desc("links"), "name", *BOARD).limit(limit)
+    return open_candidates(candidates, discovered, as_of, cfg).orderBy(
+        F.col("checked_at").isNotNull(), "checked_at", F.desc("links"), "name", *BOARD).limit(limit)
 
 
 def candidates_summary(candidates: DataFrame) -> DataFrame:
@@ -223,12 +240,13 @@ def hosts_rows(hosts: DataFrame) -> DataFrame:
 
 
 def explore(candidates: DataFrame, discovered: DataFrame, scraped: DataFrame,
-            failures: DataFrame, as_of: int, cfg: Settings = DEFAULT
-            ) -> tuple[DataFrame, DataFrame]:
+            failures: DataFrame, as_of: int, cfg: Settings = DEFAULT,
+            answered: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Store what scraping the due candidates showed: ``(candidates, discovered)``.
 
     ``scraped`` are postings with their board, ``failures(platform, token,
-    error)`` the boards that did not answer. Boards with a Canadian student
+    error)`` the boards that did not answer, ``answered`` those that did, if
+    only with an empty list. Boards with a Canadian student
     role join discovery.
     """
     due = open_candidates(candidates, discovered, as_of, cfg).where(
@@ -239,7 +257,8 @@ def explore(candidates: DataFrame, discovered: DataFrame, scraped: DataFrame,
         F.lit(0).cast("bigint").alias("strict"),
         F.concat(F.lit("error: "), "error").alias("result"))
     evidence = board_evidence(scraped.join(due.select(*BOARD), BOARD, "left_semi"), as_of, cfg,
-                              canadian_only=True)
+                              canadian_only=True, answered=None if answered is None else
+                              answered.join(due.select(*BOARD), BOARD, "left_semi"))
     good = due.join(evidence, BOARD).select(
         *BOARD, "name", "jobs", "canada", "student", "strict", F.concat(
             F.col("jobs").cast("string"), F.lit(" jobs, "), F.col("canada").cast("string"),

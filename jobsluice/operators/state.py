@@ -49,11 +49,13 @@ PAGES_SCHEMA = (
 )
 # The rules that stored verdicts were made under: one row a kind.
 RULES_SCHEMA = "name string, version string"
+# The boards to read beside the configured ones, best first.
+PROMOTED_SCHEMA = "turn int, name string, platform string, token string"
 STATE_SCHEMAS = {
     "jobs": JOBS_SCHEMA, "role_keys": ROLE_KEYS_SCHEMA, "descriptions": DESCRIPTIONS_SCHEMA,
     "health": HEALTH_SCHEMA, "discovered": DISCOVERED_SCHEMA, "hosts": HOSTS_SCHEMA,
     "candidates": CANDIDATES_SCHEMA, "payload_seen": PAYLOADS_SCHEMA,
-    "pages": PAGES_SCHEMA, "rules": RULES_SCHEMA,
+    "pages": PAGES_SCHEMA, "rules": RULES_SCHEMA, "promoted": PROMOTED_SCHEMA,
 }
 BOARD = ["platform", "token"]
 
