@@ -175,7 +175,9 @@ def sniff_hosts(met: DataFrame, discovered: DataFrame, pages: DataFrame, configu
 # --- evidence ------------------------------------------------------------------------
 
 
-NOTHING = [F.lit(0).cast("bigint").alias(c) for c in ("jobs", "canada", "student", "strict")]
+def nothing() -> list[Column]:
+    """The counts of a board that listed nothing."""
+    return [F.lit(0).cast("bigint").alias(c) for c in ("jobs", "canada", "student", "strict")]
 
 
 def board_evidence(rows: DataFrame, as_of: int, cfg: Settings = DEFAULT,
@@ -194,7 +196,7 @@ def board_evidence(rows: DataFrame, as_of: int, cfg: Settings = DEFAULT,
     if answered is None:
         return found
     return found.unionByName(answered.select(*BOARD).distinct().join(
-        found.select(*BOARD), BOARD, "left_anti").select(*BOARD, *NOTHING))
+        found.select(*BOARD), BOARD, "left_anti").select(*BOARD, *nothing()))
 
 
 def open_candidates(candidates: DataFrame, discovered: DataFrame, as_of: int,
