@@ -16,7 +16,9 @@ from jobsluice.sources import details as detail_pages
 from jobsluice.sources import sitemaps, trackers
 from jobsluice.sources.careers import page_jsonld, page_links
 from jobsluice.operators import state
-from jobsluice.sources.landing import incremental_scan, remember_payloads, resolve_short_links
+from jobsluice.settings import Settings
+from jobsluice.sources.landing import (
+    follow_links, incremental_scan, remember_payloads, resolve_short_links)
 
 C, L = F.col, F.lit
 
@@ -345,6 +347,35 @@ def short_links(spark, folder):
         "uid", "url", "short_url")
 
 
+# Link n takes n % 10 + 1 hops, of which eight are allowed; n % 25 = 13 goes round in a circle.
+@query("links_kept", duck(f"""
+    select uid, case when asked and {SHORT_NO} % 10 < 8 and {SHORT_NO} % 25 <> 13
+        then concat('https://jobs.lever.co/e', cast({SHORT_NO} as varchar), '/x') else url end as url
+    from (select *, url like 'https://bit.ly/%' and {d.scope(d.PLACE)} in ('ontario', 'canada')
+        as asked from fx) t"""))
+def links_kept(spark, folder):
+    """Chains of short links over two landings: short ones are known before the second,
+    whose pages lack them; the others' later pages land only then."""
+    n, step = C("n"), C("i")
+    short = F.concat(L("https://bit.ly/s"), n.cast("string"))
+
+    def hop(number):
+        return F.when(number == 0, short).otherwise(F.concat(short, L("/"), number.cast("string")))
+
+    last = F.when(n % 25 == 13, short).otherwise(
+        F.concat(L("https://jobs.lever.co/e"), n.cast("string"), L("/x")))
+    pages = materialise(fx(spark, folder).select((C("ck") % 50).alias("n")).distinct().select(
+        n, F.explode(F.sequence(L(0), (n % 10).cast("int"))).alias("i")).select(
+            n, step, hop(step).alias("url"), L(AS_OF).cast("bigint").alias("fetched_at"),
+            L(302).alias("status"),
+            F.when(step == n % 10, last).otherwise(hop(step + 1)).alias("location_header"),
+            L("").alias("html")), "hop-pages")
+    rows, cfg = postings(spark, folder), Settings(short_link_hops=8)
+    none = spark.createDataFrame([], state.LINKS_SCHEMA)
+    first = follow_links(rows, none, pages.where(step < 3), cfg)
+    return follow_links(rows, first.links, pages.where(n % 10 >= 3), cfg).rows.select("uid", "url")
+
+
 # --- detail records -----------------------------------------------------------------------------
 
 @query("extract_desc", duck(f"""

@@ -51,11 +51,14 @@ PAGES_SCHEMA = (
 RULES_SCHEMA = "name string, version string"
 # The boards to read beside the configured ones, best first.
 PROMOTED_SCHEMA = "turn int, name string, platform string, token string"
+# Short links resolved for good; an empty target leads nowhere.
+LINKS_SCHEMA = "url string, target string"
 STATE_SCHEMAS = {
     "jobs": JOBS_SCHEMA, "role_keys": ROLE_KEYS_SCHEMA, "descriptions": DESCRIPTIONS_SCHEMA,
     "health": HEALTH_SCHEMA, "discovered": DISCOVERED_SCHEMA, "hosts": HOSTS_SCHEMA,
     "candidates": CANDIDATES_SCHEMA, "payload_seen": PAYLOADS_SCHEMA,
     "pages": PAGES_SCHEMA, "rules": RULES_SCHEMA, "promoted": PROMOTED_SCHEMA,
+    "links": LINKS_SCHEMA,
 }
 BOARD = ["platform", "token"]
 

@@ -25,6 +25,8 @@ class Settings:
     discovery_max_fails: int = 5
     discovery_stale_days: int = 30
     promote_max: int = 60
+    # Redirects a short link may take before it counts as leading nowhere.
+    short_link_hops: int = 4
     sniff_every_days: int = 14
     explore_recheck_days: int = 30
     sitemap_max_age_days: int = 21
