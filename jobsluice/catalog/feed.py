@@ -488,16 +488,21 @@ def board_evidence(spark, folder):
         C("token").cast("bigint").alias("board"), "jobs", "canada", "student", "strict")
 
 
+# Boards 3, 13, ... are discovered already and not checked; 7, 17, ... do not answer.
 @query("explore", duck("""
-    select 'candidate' as kind, cast(ck % 200 as bigint) as board, concat(cast(count(*) as varchar), ' jobs, ',
-        cast(count(*) filter (scope in ('ontario', 'canada')) as varchar), ' in Canada, ',
-        cast(count(*) filter (new_tier is not null) as varchar), ' student') as result,
+    select 'candidate' as kind, cast(ck % 200 as bigint) as board, case ck % 200 % 10 when 3 then null
+        when 7 then 'error: down' else concat(cast(count(*) as varchar), ' jobs, ',
+          cast(count(*) filter (scope in ('ontario', 'canada')) as varchar), ' in Canada, ',
+          cast(count(*) filter (new_tier is not null) as varchar), ' student') end as result,
       cast(null as bigint) as canada_hits, cast(null as bigint) as student_jobs
     from judged group by ck % 200
     union all select 'discovered', cast(ck % 200 as bigint), null,
-      cast(count(*) filter (scope in ('ontario', 'canada')) as bigint),
-      cast(count(*) filter (new_tier is not null) as bigint) as student
-    from judged group by ck % 200 having count(*) filter (new_tier is not null) > 0""",
+      case when ck % 200 % 10 = 3 then ck % 200
+        else cast(count(*) filter (scope in ('ontario', 'canada')) as bigint) end,
+      case when ck % 200 % 10 = 3 then 9
+        else cast(count(*) filter (new_tier is not null) as bigint) end
+    from judged group by ck % 200 having ck % 200 % 10 = 3
+      or (ck % 200 % 10 <> 7 and count(*) filter (new_tier is not null) > 0)""",
                         **d.classified()))
 def explore(spark, folder):
     rows = postings(spark, folder, "ck").withColumns(
@@ -507,10 +512,14 @@ def explore(spark, folder):
         L(1).cast("bigint").alias("first_seen"), L(AS_OF_2026).cast("bigint").alias("last_seen"),
         L(None).cast("bigint").alias("checked_at"), L(0).cast("bigint").alias("canada"),
         L(0).cast("bigint").alias("student"), L(None).cast("string").alias("result"))
-    none = spark.createDataFrame([], state.DISCOVERED_SCHEMA)
-    fails = spark.createDataFrame([], "platform string, token string, error string")
-    checked, found = discovery.explore(due, none, rows, fails, AS_OF_2026)
     board, nothing = C("token").cast("bigint").alias("board"), L(None).cast("bigint")
+    stored = due.where(board % 10 == 3).select(*[
+        C(c) if c in ("platform", "token", "name") else board.alias(c) if c == "canada_hits"
+        else L(9).cast("bigint").alias(c) if c == "student_jobs" else L(0).cast(kind).alias(c)
+        for c, kind in (part.split() for part in state.DISCOVERED_SCHEMA.split(", "))])
+    fails = due.where(board % 10 == 7).select("platform", "token", L("down").alias("error"))
+    checked, found = discovery.explore(
+        due, stored, rows.where(board % 10 != 7), fails, AS_OF_2026)
     return checked.select(
         L("candidate").alias("kind"), board, "result", nothing.alias("canada_hits"),
         nothing.alias("student_jobs")).unionByName(found.select(
