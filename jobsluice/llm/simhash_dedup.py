@@ -226,7 +226,7 @@ def deduplicate_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                                 F.col("stays_mark").alias("_stays")).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_own"),
                        F.xxhash64(whole_text(text_col)).alias("_mark"))
-    kept = rows.join(stays.hint("shuffle_hash"), F.col("_own").eqNullSafe(F.col("_id"))
+    kept = rows.join(stays, F.col("_own").eqNullSafe(F.col("_id"))
                      & (F.col("_mark") == F.col("_stays")), "left_semi")
     if not found.rows.groupBy("id", "mark").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["_own", "_mark"])
