@@ -48,14 +48,14 @@ class Directory:
         self.slots = [0]
         self.local = [0]
 
-    def split(self, bucket: int) -> int:
-        """Part a bucket by one more bit; the directory doubles where it must."""
+    def split(self, bucket: int, prefix: int) -> int:
+        """Part the bucket of ``prefix`` by one more bit; the directory doubles where it must."""
         if self.local[bucket] == self.depth:
             self.slots = [b for b in self.slots for _ in (0, 1)]
             self.depth += 1
+        first = prefix << (self.depth - self.local[bucket])
         self.local[bucket] += 1
         self.local.append(self.local[bucket])
-        first = self.slots.index(bucket)
         span = 1 << (self.depth - self.local[bucket])
         for slot in range(first + span, first + 2 * span):
             self.slots[slot] = len(self.local) - 1
@@ -75,7 +75,7 @@ def grow_directory(loads: np.ndarray, capacity: int) -> Directory:
         bucket, depth, prefix = todo.pop()
         low, high = prefix << (deepest - depth), (prefix + 1) << (deepest - depth)
         if depth < deepest and sums[high] - sums[low] > capacity:
-            upper = directory.split(bucket)
+            upper = directory.split(bucket, prefix)
             todo += [(bucket, depth + 1, 2 * prefix), (upper, depth + 1, 2 * prefix + 1)]
     return directory
 
