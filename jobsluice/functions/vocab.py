@@ -236,6 +236,43 @@ DESCRIPTION_TERMS = [
      r"|workflows?|integrations?|models?|pipelines?|systems?)\b|\bai/ml\b"),
 ]
 
+# Of each term, the words one of which stands in every match of its pattern (a few
+# letters where a pattern holds no whole word). Kept in step with the patterns above.
+DESCRIPTION_ANCHORS = {
+    "machine learning": ["machine"],
+    "deep learning": ["deep"],
+    "LLMs": ["llm", "language"],
+    "PyTorch": ["pytorch"],
+    "TensorFlow": ["tensorflow"],
+    "JAX": ["jax"],
+    "scikit-learn": ["scikit", "sklearn"],
+    "model training": ["train"],
+    "fine-tuning": ["fine"],
+    "NLP": ["nlp", "natural"],
+    "computer vision": ["computer"],
+    "MLOps": ["mlops"],
+    "RAG": ["rag", "retrieval"],
+    "embeddings": ["embedding", "vector"],
+    "reinforcement learning": ["reinforcement"],
+    "data science": ["scien"],
+    "feature engineering": ["feature"],
+    "neural networks": ["neural"],
+    "transformers": ["transformer"],
+    "CUDA": ["cuda"],
+    "generative AI": ["gen"],
+    "ML engineering": ["ml"],
+    "AI agents": ["agent"],
+    "prompt engineering": ["prompt"],
+    "LLM APIs": ["openai", "anthropic", "claude", "gemini", "gpt", "llama", "mistral", "azure",
+                 "bedrock", "vertex"],
+    "AI frameworks": ["langchain", "langgraph", "llama", "hugging", "autogen", "crewai",
+                      "protocol"],
+    "conversational AI": ["bot", "conversational", "copilot"],
+    "model serving": ["inference", "model", "eval"],
+    "AI features": ["feature", "application", "capabilit", "assistant", "workflow",
+                    "integration", "model", "pipeline", "system", "ai/ml"],
+}
+
 # --- Fixed values: identity ---------------------------------------------------
 
 COMPANY_WORDS = [

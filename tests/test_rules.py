@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from jobsluice.functions import boards, clean, cycles, dates, describe, identity, places
+from jobsluice.functions import boards, clean, cycles, dates, describe, identity, places, vocab
 from jobsluice.functions.classify import NO_AI, classify
 from jobsluice.operators import state
 from jobsluice.session import materialise
@@ -124,6 +124,45 @@ def test_cases(spark, number):
     assert {pairs[i][0]: got[i] for i in got if got[i] != pairs[i][1]} == {}
 
 
+# One phrase for each way to write each term.
+PHRASES = """machine learning|deep-learning|llms|LLM|large language models|pytorch|tensorflow|jax
+scikit-learn|sklearn|train ml models|training the model|model training|fine-tuning|finetune|nlp
+natural language processing|computer vision|mlops|rag|retrieval augmented|embeddings|vector store
+vectordatabase|reinforcement learning|data science|data scientist|feature engineering|neural nets
+neuralnetworks|transformers|transformer station|cuda|generative ai|genai|gen ai|ml engineer
+ml  platform|ai agents|llm-agent|agentic|prompt engineering|promptdesign|prompts|openai|anthropic
+claude|gemini|gpt-4|chatgpt|llama|mistral|azure openai|bedrock|vertex ai|langchain|langgraph
+llama index|hugging face|autogen|crewai|model context protocol|chatbots|conversational ai|copilot
+inference|model deployment|evals|ai features|ml applications|llm capability|ai-capabilities
+ai assistants|ml workflows|ai integration|aimodels|ai pipelines|ml systems|ai/ml|plain words"""
+
+
+def test_anchors_lose_no_term(spark):
+    """Anchored matching names and counts what every pattern, tried on every text, does."""
+    assert set(vocab.DESCRIPTION_ANCHORS) == {label for label, _ in vocab.DESCRIPTION_TERMS}
+    phrases = PHRASES.replace("\n", "|").split("|")
+    odd = str.maketrans("ski", "\u017f\u212a\u0130"), str.maketrans("i", "\u0131")
+    texts = [form for p in phrases for form in (
+        p, p.upper(), p.title(), p.translate(odd[0]), p.translate(odd[1]), f"x{p}y",
+        f"{p} and {p.upper()}, {phrases[len(p) % 7]}")] + ["", None, " ".join(phrases)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    every = [(label, F.regexp_count("s", F.lit(f"(?iU){p}")))
+             for label, p in vocab.DESCRIPTION_TERMS]
+    terms = describe.description_terms(F.col("s"))
+    rows = df.select(
+        "s", terms.alias("terms"), describe.description_mentions(F.col("s")).alias("mentions"),
+        describe.description_mentions(F.col("s"), terms).alias("again"),
+        F.array(*[F.struct(F.lit(label).alias("label"), n.alias("n")) for label, n in every])
+        .alias("every")).collect()
+    for r in rows:
+        counts = {x["label"]: x["n"] for x in r["every"]}
+        assert r["terms"] == [label for label, n in counts.items() if n], r["s"]
+        if r["s"] is not None:
+            assert r["mentions"] == r["again"] == sum(counts.values()), r["s"]
+    named = {label for r in rows for label in r["terms"]}
+    assert named == set(vocab.DESCRIPTION_ANCHORS)
+
+
 def test_new_description_rules_judge_stored_rows_once_more(spark):
     """Strict rules leave the row loose; other rules requeue and promote it; the same ones rest."""
     row = {c: None for c in state.JOBS_COLUMNS} | {
