@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from jobsluice.functions.classify import (
     CYCLE_REASONS, NO_AI, NO_PLACE, classify, tier_rank)
@@ -61,6 +62,23 @@ STATE_SCHEMAS = {
     "links": LINKS_SCHEMA,
 }
 BOARD = ["platform", "token"]
+# How snapshots are cut into parts. A run changes the jobs of the sources it met; what
+# is added to the other tables is of its own week.
+SOURCE_PARTS, WEEK = 64, 7 * 86400
+WEEKLY = {"role_keys": "since", "descriptions": "checked_at", "pages": "fetched_at"}
+
+
+def part_of(table: str) -> Column:
+    """The part of a stored table that a row belongs to; small tables are one part."""
+    if table == "jobs":
+        return F.pmod(F.xxhash64("source"), F.lit(SOURCE_PARTS)).cast("bigint")
+    if table in WEEKLY:
+        return F.coalesce(F.floor(F.col(WEEKLY[table]) / WEEK), F.lit(-1)).cast("bigint")
+    return F.lit(0).cast("bigint")
+
+
+def columns_of(table: str) -> list[str]:
+    return StructType.fromDDL(STATE_SCHEMAS[table]).fieldNames()
 
 
 def shown_at() -> Column:
