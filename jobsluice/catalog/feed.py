@@ -834,6 +834,11 @@ def alert_rows(spark, folder):
 
 # Five sources, fetched on three days: the even postings, those not divisible by three (source 4
 # only in part), and then the even ones again (sources 0 and 1) or every fourth.
+# The landed rows as the classifier sees them: one company, and a place as the only extra.
+LANDED_ROWS = """select * replace ('Acme' as company, '' as country, '' as employment_type,
+      '' as cycle_extra_s, location as loc_extra_s, false as ai_native) from fx"""
+
+
 @query("stream_run", duck(f"""
     select concat('greenhouse:t', cast(k % 5 as varchar), ':', cast(k as varchar)) as uid,
       cast({AS_OF_2026} + {DAY} * (k % 2) as bigint) as first_seen,
@@ -841,8 +846,11 @@ def alert_rows(spark, folder):
         when k % 5 < 2 or k % 4 = 0 then 2
         when k % 3 <> 0 and k % 5 <> 4 then 1 else 0 end as bigint) as last_seen,
       cast(case when k % 2 = 1 then 1 when k % 5 < 2 or k % 4 = 0 then 0
-        when k % 3 <> 0 or k % 5 = 4 then 1 else 2 end as int) as misses
-    from fx where k % 2 = 0 or k % 3 <> 0"""))
+        when k % 3 <> 0 or k % 5 = 4 then 1 else 2 end as int) as misses,
+      new_tier as tier, why as reason,
+      first_value(concat('greenhouse:t', cast(k % 5 as varchar), ':', cast(k as varchar))) over (
+        partition by title order by k % 2, k // 100 * 5 + k % 5, k) as group_id
+    from judged where k % 2 = 0 or k % 3 <> 0""", met=LANDED_ROWS, **d.classified("met")))
 def stream_run(spark, folder):
     """Three landings through the whole incremental run; the newest snapshot after them."""
     base = f"{scratch_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -864,7 +872,7 @@ def stream_run(spark, folder):
         run_increment(spark, f"{base}/landing", f"{base}/state", f"{base}/checkpoint",
                       sources(spark, folder), AS_OF_2026 + day * DAY).awaitTermination()
     return read_state(spark, f"{base}/state").jobs.select(
-        "uid", "first_seen", "last_seen", "misses")
+        "uid", "first_seen", "last_seen", "misses", "tier", "reason", "group_id")
 
 
 # Sites of postings by ranges of keys: even sites have a sitemap, odd ones a careers page. Three
