@@ -18,7 +18,7 @@ from jobsluice.sources.base import (
     items, label, label_of, listing, record_extras, records, scalar)
 
 FILE = ["source", "company", "repo", "branch", "path", "fetched_at"]
-CELL, ROW, GAP = "\x1f", "\x1e", "\x1d"
+CELL, GAP = "\x1f", "\x1d"
 
 # How tables, cells and links are written.
 PIPE_ROW = r"^\s*\|[^|]*\|[^|]*\|"
@@ -86,13 +86,15 @@ def _grids(files: DataFrame) -> DataFrame:
     return tables.where(F.size("raw") >= 2)
 
 
-def _cell_texts(raw: Column) -> Column:
-    """Visible text of every cell; the whole table is entity-decoded in one call."""
-    bare = F.transform(raw, lambda cells: F.array_join(F.transform(
-        cells, lambda c: strip_tags(F.regexp_replace(c, MD_LINK_TEXT, "$1"))), CELL))
-    decoded = F.split(unescape_html(F.array_join(bare, ROW)), ROW)
-    return F.transform(decoded, lambda cells: F.transform(
-        F.split(cells, CELL), lambda c: F.btrim(collapse(c), F.lit(" |*"))))
+def _cell_texts(cells: Column) -> Column:
+    """Visible text of a row's cells, entity-decoded in one call.
+
+    Row by row, so that what a batch hands to Python does not grow with the tables.
+    """
+    bare = F.array_join(F.transform(
+        cells, lambda c: strip_tags(F.regexp_replace(c, MD_LINK_TEXT, "$1"))), CELL)
+    return F.transform(F.split(unescape_html(bare), CELL),
+                       lambda c: F.btrim(collapse(c), F.lit(" |*")))
 
 
 def _fits(heads: Column, aliases: list[str], taken: list[Column]):
@@ -110,7 +112,7 @@ def _mapped(tables: DataFrame) -> DataFrame:
 
     Fields are taken in order; a column serves the first field that claims it.
     """
-    heads, taken = F.get("text", 0), []
+    heads, taken = F.col("heads"), []
     slots = F.sequence(F.lit(0), F.size(heads) - 1)
     for field, aliases in vocab.COLUMN_ALIASES.items():
         tables = tables.withColumn(
@@ -123,17 +125,28 @@ def _mapped(tables: DataFrame) -> DataFrame:
 
 def table_rows(files: DataFrame, as_of: int | Column) -> DataFrame:
     """Job rows of every table of each file."""
-    tables = _mapped(_grids(files).withColumn("text", _cell_texts(F.col("raw"))))
+    tables = _mapped(_grids(files).withColumn("heads", _cell_texts(F.get("raw", 0))))
     fields = list(vocab.COLUMN_ALIASES)
     width = F.greatest(*[F.coalesce(F.col(f"at_{f}"), F.lit(-1)) for f in fields])
-    body = F.slice(F.arrays_zip("raw", "text"), 2, F.size("raw"))
+    body = F.slice("raw", 2, F.size("raw"))
     rows = tables.select(*FILE, "table", *[f"at_{f}" for f in fields], width.alias("width"),
-                         F.posexplode(body).alias("pos", "r"))
-    rows = rows.where((F.size("r.raw") > F.col("width"))
-                      & ~F.array_join("r.text", " ").rlike(r"^[-: ]*$"))
+                         F.posexplode(body).alias("pos", "cells"))
+
+    cell = F.get("cells", F.col("at_url"))
+    links = F.concat(
+        F.regexp_extract_all(cell, F.lit(HREF), F.lit(1)),
+        F.regexp_extract_all(cell, F.lit(MD_LINK), F.lit(1)),
+        F.transform(F.regexp_extract_all(cell, F.lit(BARE_LINK), F.lit(0)),
+                    lambda u: F.regexp_replace(u, r"[>)]+$", "")))
+    link = F.get(F.filter(links, lambda u: ~u.rlike(f"(?i){vocab.IMAGE_URL}")), 0)
+    # Decoded together, both go through one Python worker a task.
+    rows = rows.where(F.size("cells") > F.col("width")).withColumns({
+        "text": _cell_texts(F.col("cells")),
+        "url": unescape_html(F.coalesce(link, F.lit("")))})
+    rows = rows.where(~F.array_join("text", " ").rlike(r"^[-: ]*$"))
 
     def text(field: str) -> Column:
-        return F.coalesce(F.get("r.text", F.col(f"at_{field}")), F.lit(""))
+        return F.coalesce(F.get("text", F.col(f"at_{field}")), F.lit(""))
 
     named = text("company")
     marks = "|".join(f"^{m}" for m in vocab.CONTINUATION_MARKS)
@@ -143,19 +156,11 @@ def table_rows(files: DataFrame, as_of: int | Column) -> DataFrame:
     rows = rows.withColumn("company_name", F.coalesce(
         F.last(own, ignorenulls=True).over(above), F.lit("")))
 
-    cell = F.get("r.raw", F.col("at_url"))
-    links = F.concat(
-        F.regexp_extract_all(cell, F.lit(HREF), F.lit(1)),
-        F.regexp_extract_all(cell, F.lit(MD_LINK), F.lit(1)),
-        F.transform(F.regexp_extract_all(cell, F.lit(BARE_LINK), F.lit(0)),
-                    lambda u: F.regexp_replace(u, r"[>)]+$", "")))
-    link = F.get(F.filter(links, lambda u: ~u.rlike(f"(?i){vocab.IMAGE_URL}")), 0)
     rows = rows.select(
         *FILE, "table", "pos", "company_name",
         F.regexp_replace(text("title"), TITLE_SUFFIX, "").alias("title"),
-        text("location").alias("location"),
-        unescape_html(F.coalesce(link, F.lit(""))).alias("url"),
-        F.regexp_extract(F.array_join("r.raw", " "), ROW_ID, 1).alias("row_id"),
+        text("location").alias("location"), "url",
+        F.regexp_extract(F.array_join("cells", " "), ROW_ID, 1).alias("row_id"),
         parse_table_date(text("date"), as_of).alias("posted_at"),
         text("details").alias("details"))
     return rows.where((F.col("title") != "") & (F.col("url") != ""))
