@@ -5,11 +5,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobsluice.functions import clean
+from jobsluice.operators.discovery import board_evidence
 from jobsluice.sources import trackers
+from jobsluice.sources.base import POSTING_SCHEMA
 
 T0 = 1793534400
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_evidence_of_boards_is_judged_once(spark):
+    rows = spark.createDataFrame(
+        [("Acme", "ML Intern", "Toronto, ON", "u", str(i), "s", False, 0, [], [], "", "", "", "",
+          "lever", "a") for i in range(3)], POSTING_SCHEMA + ", platform string, token string")
+    answered = spark.createDataFrame([("lever", "a"), ("lever", "b")],
+                                     "platform string, token string")
+    found = board_evidence(rows, T0, answered=answered)
+    # The union and its anti join read it; neither repeats the rules over the rows.
+    assert "rlike" not in plan(found)
+    assert {r["token"]: (r["jobs"], r["student"]) for r in found.collect()} == {
+        "a": (3, 3), "b": (0, 0)}
+
+
 def test_python_decodes_rows_not_tables(spark, tmp_path, monkeypatch):
     log = str(tmp_path)
 
