@@ -1,13 +1,16 @@
 """Work that several readers share is done once, and Python gets small values."""
 
+import json
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobsluice.functions import clean
 from jobsluice.operators.discovery import board_evidence
+from jobsluice.plans.run import empty_state, run
 from jobsluice.sources import trackers
-from jobsluice.sources.base import POSTING_SCHEMA
+from jobsluice.sources.base import LANDED_SCHEMA, POSTING_SCHEMA
 
 T0 = 1793534400
 
@@ -29,6 +32,20 @@ def test_evidence_of_boards_is_judged_once(spark):
         "a": (3, 3), "b": (0, 0)}
 
 
+def test_rows_of_a_run_are_recorded_once(spark):
+    sources = spark.createDataFrame(
+        [], "label string, name string, platform string, token string, kind string, "
+        "ai_native boolean, location string, country string")
+    body = json.dumps({"jobs": [{"id": 1, "title": "ML Intern", "absolute_url": "https://x.io/1",
+                                 "location": {"name": "Toronto, ON"}}]})
+    landed = spark.createDataFrame(
+        [("Acme", "greenhouse", "acme", "Acme", "", T0, 0, True, body)], LANDED_SCHEMA)
+    jobs = run(landed, sources, empty_state(spark), T0).state.jobs
+    # Stored and new rows read the same recorded table: fingerprints are made before it.
+    assert "sha1" not in plan(jobs)
+    assert [(r["uid"], r["misses"]) for r in jobs.collect()] == [("greenhouse:acme:1", 0)]
+
+
 def test_python_decodes_rows_not_tables(spark, tmp_path, monkeypatch):
     log = str(tmp_path)
 
