@@ -11,6 +11,7 @@ from jobsluice.operators.discovery import board_evidence
 from jobsluice.plans.run import empty_state, run
 from jobsluice.sources import trackers
 from jobsluice.sources.base import LANDED_SCHEMA, POSTING_SCHEMA
+from jobsluice.streaming import increment
 
 T0 = 1793534400
 
@@ -46,6 +47,23 @@ def test_rows_of_a_run_are_recorded_once(spark):
     assert [(r["uid"], r["misses"]) for r in jobs.collect()] == [("greenhouse:acme:1", 0)]
 
 
+def test_a_streamed_run_publishes_a_stored_jobs_table(spark, tmp_path, monkeypatch):
+    sources = spark.createDataFrame(
+        [], "label string, name string, platform string, token string, kind string, "
+        "ai_native boolean, location string, country string")
+    body = json.dumps({"jobs": [{"id": 1, "title": "ML Intern", "absolute_url": "https://x.io/1",
+                                 "location": {"name": "Toronto, ON"}}]})
+    spark.createDataFrame([("Acme", "greenhouse", "acme", "Acme", "", T0, 0, True, body)],
+                          LANDED_SCHEMA).write.parquet(f"{tmp_path}/landing")
+    met = []
+    monkeypatch.setattr(increment, "publish_state", lambda after, *rest: met.append(
+        (plan(after.jobs), [r["uid"] for r in after.jobs.collect()])))
+    increment.run_increment(spark, f"{tmp_path}/landing", f"{tmp_path}/state",
+                            f"{tmp_path}/checkpoint", sources, T0).awaitTermination()
+    # It is read twice from there on: no join may be left to do.
+    assert "join" not in met[0][0] and met[0][1] == ["greenhouse:acme:1"]
+
+
 def test_python_decodes_rows_not_tables(spark, tmp_path, monkeypatch):
     log = str(tmp_path)
 
