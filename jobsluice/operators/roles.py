@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobsluice.functions.identity import role_key_columns, role_keys
@@ -85,6 +85,19 @@ class Groups(NamedTuple):
     merged: DataFrame     # old_group -> group_id, for roles that became one
 
 
+def _packed(key: Column) -> Column:
+    """A key as few bytes: a fingerprint's hex digits are bytes, other keys stay as they are."""
+    return F.when(key.rlike("^fp:[0-9a-f]{40}$"), F.concat(
+        F.lit(b"\x00"), F.unhex(F.substring(key, 4, 40)))).otherwise(
+            F.concat(F.lit(b"\x01"), key.cast("binary")))
+
+
+def _unpacked(packed: Column) -> Column:
+    rest = F.substring(packed, 2, 1 << 30)
+    return F.when(F.substring(packed, 1, 1) == F.lit(b"\x00"), F.concat(
+        F.lit("fp:"), F.lower(F.hex(rest)))).otherwise(rest.cast("string"))
+
+
 def assign_groups(rows: DataFrame, stored_keys: DataFrame, as_of: int,
                   cfg: Settings = DEFAULT) -> Groups:
     """Give each row its role.
@@ -99,111 +112,134 @@ def assign_groups(rows: DataFrame, stored_keys: DataFrame, as_of: int,
     if "stored_since" not in rows.columns:
         rows = rows.withColumn("stored_since", F.lit(None).cast("bigint"))
     keyed = rows if set(KEYS) <= set(rows.columns) else with_role_keys(rows)
-    # Copies with equal keys act as one, so a huge group of them is one tuple.
+    keyed = keyed.withColumns({k: _packed(F.col(k)) for k in KEYS})
+    # Copies with equal keys act as one, so a huge group of them is one tuple. It has a number,
+    # which its links are made of: keys are only shuffled where they are compared.
     tuples = materialise(
         keyed.groupBy(*KEYS, "stored_group").agg(
             F.min(F.struct("seq", "uid")).alias("first"), F.count("*").alias("n"),
-            F.min("stored_since").alias("since")), "role-tuples")
+            F.min("stored_since").alias("since")).withColumn(
+                "node", F.monotonically_increasing_id()), "role-tuples")
     total = tuples.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    nodes, edges = _contracted(tuples, stored_keys, total, cfg)
-    named = materialise(_named(nodes, edges, tuples, cfg, total), "role-names")
-    labels = materialise(split_lookup(
-        nodes, named, ["node"], ["key"], how="inner", cfg=cfg, total=4 * total).select(
-            "key", "known", "is_fp", F.col("c.id").alias("group_id"),
-            F.when(F.col("c.rank") == 0, F.col("c.at")).otherwise(F.lit(as_of))
-            .cast("bigint").alias("since")), "labels")
-
-    by_fp = labels.where("is_fp").select(F.col("key").alias("key_fp"), "group_id")
-    per_fp = tuples.groupBy("key_fp").agg(F.sum("n").alias("n"))
+    keys = _met_keys(tuples, stored_keys)
+    members = _members(tuples, keys)
+    names = materialise(_named(tuples, keys, members, cfg, total), "role-names")
+    # A tuple has three keys, so no node is met more often here.
+    by_fp = keys.where("is_fp").join(names, "node").select(
+        F.col("key").alias("key_fp"), F.col("c.id").alias("group_id"))
+    per_fp = keys.where(F.col("is_fp") & (F.col("n") >= cfg.hot_rows)).select(
+        F.col("key").alias("key_fp"), "n").distinct()
     grouped = split_lookup(keyed, by_fp, ["key_fp"], ["uid"], counts=per_fp, cfg=cfg,
                            total=total)
 
     # Stored roles that now share a component take its one id.
     merged = materialise(
-        named.where(F.col("node").startswith(GROUP)).select(
-            F.substring("node", len(GROUP) + 1, 1 << 30).alias("old_group"),
-            F.col("c.id").alias("group_id")).where("old_group <> group_id"), "merged-roles")
+        members.groupBy("group_id").agg(F.min("node").alias("node")).join(names, "node").select(
+            F.col("group_id").alias("old_group"), F.col("c.id").alias("group_id"))
+        .where("old_group <> group_id"), "merged-roles")
     relabelled = stored_keys
     if not merged.isEmpty():
         relabelled = stored_keys.join(
             merged.select(F.col("group_id").alias("_new"), F.col("old_group").alias("group_id")),
             "group_id", "left").select(
                 "key", F.coalesce("_new", "group_id").alias("group_id"), "since")
-    fresh = labels.where("not known").select("key", "group_id", "since")
+    fresh = keys.where("group_id is null").select("key", "node").join(names, "node").select(
+        _unpacked(F.col("key")).alias("key"), F.col("c.id").alias("group_id"),
+        F.when(F.col("c.rank") == 0, F.col("c.at")).otherwise(F.lit(as_of))
+        .cast("bigint").alias("since"))
     return Groups(grouped.drop(*KEYS, "stored_group", "stored_since"),
                   relabelled.unionByName(fresh), merged)
 
 
-GROUP = "group:"
+def _met_keys(tuples: DataFrame, stored_keys: DataFrame) -> DataFrame:
+    """Every key of the batch: its first tuple (``node``), first arrival, counts, stored role."""
+    own = tuples.where("key_fp is not null").select(
+        "first", "n", "node", F.inline(F.array(*[
+            F.struct(F.col(k).alias("key"), F.lit(k == "key_fp").alias("is_fp")) for k in KEYS])))
+    met = own.where("key is not null").groupBy("key").agg(
+        F.min("first").alias("first"), F.bool_or("is_fp").alias("is_fp"),
+        F.min("node").alias("node"), F.count("*").alias("tuples"), F.sum("n").alias("n"))
+    return materialise(met.join(stored_keys.select(
+        _packed(F.col("key")).alias("key"), "group_id", F.col("since").alias("kept_since")),
+        "key", "left"), "role-keys")
+
+
+def _members(tuples: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(group_id, node)``: stored roles and the nodes that belong to them."""
+    held = tuples.where("stored_group is not null and key_fp is not null")
+    return keys.where("group_id is not null").select("group_id", "node").unionByName(
+        held.select(F.col("stored_group").alias("group_id"), "node"))
 
 
-def _contracted(tuples: DataFrame, stored_keys: DataFrame, total: int, cfg: Settings
-                ) -> tuple[DataFrame, DataFrame]:
-    """``(key, known, is_fp, node, at)`` of the batch's keys, and the links between nodes.
+def _links(tuples: DataFrame, keys: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)``: tuples under the first one of their company and title, and all other links.
 
-    The stored keys are a forest: a key met before stands for its role, one node.
-    A new company-and-title key is a node itself. A requisition key links the nodes
-    it is met with, but only where there are two, or where it is known: one that is
-    met with a single node is that node. So most of a batch is named without any
-    graph, and rounds are made over the few links between different nodes.
+    A tuple has one company and title, so these are stars already. The other links, of tuples
+    that share a requisition or a stored role, are between the first tuples of such stars.
     """
-    own = tuples.select(
-        "first", F.inline(F.array(*[
-            F.struct(F.col(k).alias("key"), F.lit(k == "key_fp").alias("is_fp")) for k in KEYS])))
-    met = own.where("key is not null").groupBy("key").agg(
-        F.min("first").alias("first"), F.bool_or("is_fp").alias("is_fp"))
-    keys = materialise(met.join(stored_keys.select(
-        "key", "group_id", F.col("since").alias("kept_since")), "key", "left"), "role-keys")
-    role = F.concat(F.lit(GROUP), "group_id")
-    firsts = keys.where("is_fp").select(
-        F.col("key").alias("key_fp"), F.coalesce(role, F.col("key")).alias("root"))
-    rooted = split_lookup(tuples.select(*KEYS, "stored_group"), firsts, ["key_fp"],
-                          ["key_req", "key_host", "stored_group"], cfg=cfg, total=total)
-    rooted = materialise(rooted, "role-roots")
-    pairs = rooted.select("root", F.explode(F.array("key_req", "key_host")).alias("key")).where(
-        "key is not null").distinct()
-    spans = pairs.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    others = spans.join(keys.where("not is_fp"), "key").select(
-        "key", F.coalesce(role, "low").alias("node"), "low", "high", "group_id", "kept_since",
-        "first")
-    others = materialise(others, "role-others")
-    joins = others.where((F.col("low") != F.col("node")) | (F.col("high") != F.col("node")))
-    links = pairs.join(joins.select("key", "node"), "key").select(
-        F.col("root").alias("a"), F.col("node").alias("b"))
-    held = rooted.where("stored_group is not null").select(
-        F.col("root").alias("a"), F.concat(F.lit(GROUP), "stored_group").alias("b"))
-    edges = materialise(links.unionByName(held).where("a <> b").distinct(), "role-links")
-    columns = ["key", F.col("group_id").isNotNull().alias("known"), "is_fp", "node", "group_id",
-               "kept_since", "first"]
-    every = keys.where("is_fp").withColumn("node", F.coalesce(role, F.col("key"))).select(
-        *columns).unionByName(others.withColumn("is_fp", F.lit(False)).select(*columns))
-    return every, edges
-
-
-def _named(nodes: DataFrame, edges: DataFrame, tuples: DataFrame, cfg: Settings, total: int
+    shared = keys.where("tuples > 1").select("key", F.col("node").alias("b"), "is_fp")
+    met = tuples.where("key_fp is not null").select(
+        F.col("node").alias("a"), F.explode(F.array(*KEYS)).alias("key")).where("key is not null")
+    links = materialise(met.join(shared, "key").select("a", "b", "is_fp").where("a <> b")
+                        .distinct(), "role-links")
+    copies = links.where("is_fp").select("a", "b")
+    centres = members.groupBy("group_id").agg(F.min("node").alias("b"))
+    others = links.where("not is_fp").select("a", "b").unionByName(
+        members.join(centres, "group_id").select(F.col("node").alias("a"), "b"))
+    if not copies.isEmpty():
+        for end in ("a", "b"):
+            firsts = copies.select(F.col("a").alias(end), F.col("b").alias("_first"))
+            others = others.join(firsts, end, "left").withColumn(
+                end, F.coalesce("_first", end)).drop("_first")
+    return copies, materialise(others.where("a <> b").distinct(), "role-links")
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every linked node has one link, to a node that has none: no round is needed."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("out")).unionByName(
+        links.select(F.col("b").alias("node"), F.lit(None).cast("int").alias("out")))
+    return ends.groupBy("node").agg(
+        F.count("out").alias("out"), F.count("*").alias("all")).where(
+            "out > 1 or (out = 1 and all > 1)").isEmpty()
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    centres = links.select(F.col("b").alias("node")).distinct()
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        centres.withColumn("component", F.col("node")))
+
+
+def _named(tuples: DataFrame, keys: DataFrame, members: DataFrame, cfg: Settings, total: int
            ) -> DataFrame:
     """``(node, c)``: what each node's role is called; stored roles by age, then arrivals."""
     def rank(level: int, at: str, name: str):
         return F.struct(F.lit(level).alias("rank"), F.coalesce(F.col(at), F.lit(0)).cast(ORDER)
                         .alias("at"), F.col(name).alias("id"))
 
-    said = nodes.where("known or is_fp").select("node", F.when(
-        F.col("known"), rank(0, "kept_since", "group_id")).otherwise(
+    known = F.col("group_id").isNotNull()
+    said = keys.where(known | F.col("is_fp")).select("node", F.when(
+        known, rank(0, "kept_since", "group_id")).otherwise(
             rank(1, "first.seq", "first.uid")).alias("c"))
-    held = tuples.where("stored_group is not null").select(
-        F.concat(F.lit(GROUP), "stored_group").alias("node"),
-        rank(0, "since", "stored_group").alias("c"))
+    held = tuples.where("stored_group is not null and key_fp is not null").select(
+        "node", rank(0, "since", "stored_group").alias("c"))
     candidates = said.unionByName(held).groupBy("node").agg(F.min("c").alias("c"))
-    if edges.isEmpty():
+    copies, edges = _links(tuples, keys, members)
+    linked = materialise(_stars(edges) if _are_stars(edges)
+                         else connected_components(edges, cfg), "linked")
+    components = linked.unionByName(copies.join(
+        linked.withColumnRenamed("node", "b"), "b", "left").select(
+            F.col("a").alias("node"), F.coalesce("component", "b").alias("component")))
+    components = materialise(components, "components")
+    if components.isEmpty():
         return candidates
-    components = materialise(connected_components(edges, cfg), "components")
-    candidates = materialise(candidates, "role-candidates")
-    linked = candidates.join(components, "node")
-    names = linked.groupBy("component").agg(F.min("c").alias("c"), F.count("*").alias("n"))
-    shared = split_lookup(linked.select("node", "component"), names.drop("n"), ["component"],
-                          ["node"], counts=names.select("component", "n"), how="inner", cfg=cfg,
-                          total=4 * total).select("node", "c")
-    return candidates.join(components, "node", "left_anti").unionByName(shared)
+    sizes = components.groupBy("component").agg(F.count("*").alias("n"))
+    best = materialise(candidates.join(components, "node", "left").groupBy(
+        F.coalesce("component", "node").alias("component")).agg(F.min("c").alias("c")),
+        "role-candidates")
+    shared = split_lookup(components, best, ["component"], ["node"], counts=sizes, how="inner",
+                          cfg=cfg, total=4 * total).select("node", "c")
+    alone = best.withColumnRenamed("component", "node").join(components, "node", "left_anti")
+    return alone.select("node", "c").unionByName(shared)
 
 
 def regroup(jobs: DataFrame, merged: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:

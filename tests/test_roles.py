@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from jobsluice.operators import roles
 from jobsluice.operators.roles import assign_groups, connected_components, first_of_each_role
 from jobsluice.operators.skew import split_lookup
 from jobsluice.operators.state import JOBS_SCHEMA, ROLE_KEYS_SCHEMA
@@ -139,3 +140,34 @@ def test_batches_one_by_one_give_the_roles_of_one_batch(spark):
     parts, part_keys, merged = groups(0, 60, 150, 240)
     assert parts == whole and part_keys == keys and merged and not none
     assert 5 < len(set(whole.values())) < 150
+
+
+def test_roles_are_linked_by_numbers(spark, monkeypatch):
+    """Keys are long texts; the rounds over the links between them shuffle numbers only."""
+    met = []
+    find = roles.connected_components
+    monkeypatch.setattr(roles, "connected_components", lambda edges, cfg: met.append(
+        dict(edges.dtypes)) or find(edges, cfg))
+    rows = [(f"u{i}", f"Firm {i // 2}", "Data Intern", f"https://x.com/jobs/{10000 + (i + 1) // 2}", i)
+            for i in range(12)]
+    stored = spark.createDataFrame(
+        [("req@x.com:10003", "old", 5), ("req:firm9:1", "other", 1)], ROLE_KEYS_SCHEMA)
+    made = assign_groups(spark.createDataFrame(
+        rows, "uid string, company string, title string, url string, seq bigint"), stored, 100)
+    assert met == [{"a": "bigint", "b": "bigint"}]
+    assert {r["group_id"] for r in made.rows.collect()} == {"old"}
+    keys = {r["key"]: (r["group_id"], r["since"]) for r in made.keys.collect()}
+    assert keys["req:firm9:1"] == ("other", 1) and keys["req@x.com:10000"] == ("old", 5)
+    fp = [k for k in keys if k.startswith("fp:")]
+    assert len(fp) == 6 and all(len(k) == 43 for k in fp)
+
+
+def test_links_that_are_stars_need_no_round(spark, monkeypatch):
+    monkeypatch.setattr(roles, "connected_components", None)
+    rows = [(f"u{i}", "Firm", f"Role {i}", f"https://x.com/jobs/{10000 + i // 4}", i)
+            for i in range(12)]
+    made = assign_groups(spark.createDataFrame(
+        rows, "uid string, company string, title string, url string, seq bigint"),
+        spark.createDataFrame([], ROLE_KEYS_SCHEMA), 100)
+    assert {r["uid"]: r["group_id"] for r in made.rows.collect()} == {
+        f"u{i}": f"u{i // 4 * 4}" for i in range(12)}
