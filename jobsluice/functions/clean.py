@@ -13,7 +13,10 @@ from pyspark.sql import types as T
 from jobsluice.functions import vocab
 
 BLANKS = " \t\n\r\x0b\x0c\x85 "
-JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*:)?|true|[\[\]{}]'
+JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+JSON_TOKEN = JSON_STRING + r"(?:\s*:)?|true|[\[\]{}]"
+# The first group is empty for the keys of objects.
+JSON_VALUE = rf"({JSON_STRING}(?!\s*:)|true)|{JSON_STRING}"
 MAX_NESTING = 4
 
 
@@ -81,6 +84,7 @@ def flatten_json(text: Column, enclosing: int = 0) -> Column:
     """
     limit = MAX_NESTING + enclosing
     start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
+    none = F.array().cast("array<string>")
 
     def change(token: Column) -> Column:
         return (F.when(token.isin("[", "{"), 1).when(token.isin("]", "}"), -1).otherwise(0))
@@ -88,29 +92,38 @@ def flatten_json(text: Column, enclosing: int = 0) -> Column:
     def is_value(token: Column) -> Column:
         return ~token.isin("[", "{", "]", "}") & ~token.endswith(":")
 
-    def literal(token: Column) -> Column:
-        return F.when(token == "true", F.lit('"remote"')).otherwise(token)
-
     def step(acc: Column, token: Column) -> Column:
         kept = is_value(token) & (acc["depth"] <= limit)
-        out = F.when(kept, F.concat(acc["out"], F.array(literal(token)))).otherwise(acc["out"])
+        out = F.when(kept, F.concat(acc["out"], F.array(token))).otherwise(acc["out"])
         return F.struct((acc["depth"] + change(token)).alias("depth"), out.alias("out"))
 
-    def deepest(acc: Column, token: Column) -> Column:
-        depth = acc["depth"] + change(token)
-        return F.struct(depth.alias("depth"), F.greatest(acc["most"], depth).alias("most"))
-
-    def strings(tokens: Column) -> Column:
-        most = F.aggregate(tokens, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most")),
-                           deepest)["most"]
-        # Hardly a record is nested deeper than the limit; others are read in one pass.
-        return F.when(most <= limit, F.transform(F.filter(tokens, is_value), literal)).otherwise(
-            F.aggregate(tokens, start, step, lambda acc: acc["out"]))
-
-    literals = let(F.regexp_extract_all(text, F.lit(JSON_TOKEN), F.lit(0)), strings)
-    decoded = F.from_json(
-        F.concat(F.lit("["), F.array_join(literals, ","), F.lit("]")), "array<string>")
-    return F.coalesce(decoded, F.array().cast("array<string>"))
+    def is_flat(json: Column) -> Column:
+        """Not nested deeper than the limit: so few brackets open, or so many rounds close all."""
+        brackets = F.regexp_replace(json, JSON_STRING + r'|[^\[\]{}"]++', "")
+        for _ in range(limit):
+            brackets = F.regexp_replace(brackets, r"\[\]|\{\}", "")
+        return ~json.rlike(r"(?:[\[{][^\[{]*+){%d}" % (limit + 1)) | (brackets == "")
+
+    def literals(json: Column) -> Column:
+        # Hardly a record is nested deeper than the limit; others are read token by token.
+        return F.when(is_flat(json), F.array_remove(
+            F.regexp_extract_all(json, F.lit(JSON_VALUE), F.lit(1)), "")).otherwise(
+            F.aggregate(F.regexp_extract_all(json, F.lit(JSON_TOKEN), F.lit(0)), start, step,
+                        lambda acc: acc["out"]))
+
+    def decoded(json: Column, found: Column) -> Column:
+        quoted = F.array_join(found, "")
+        said = F.transform(found, lambda x: F.when(x == "true", F.lit('"remote"')).otherwise(x))
+        return (
+            F.when(F.size(found) == 0, none)
+            # With nothing escaped, the strings stand between the quotes as they are.
+            .when(~json.contains("\\") & ~F.array_contains(found, "true"), F.split(
+                F.substring(quoted, F.lit(2), F.length(quoted) - 2), '""'))
+            .otherwise(F.from_json(
+                F.concat(F.lit("["), F.array_join(said, ","), F.lit("]")), "array<string>")))
+
+    return F.coalesce(let(text, lambda json: F.when(json != "{}", let(
+        literals(json), lambda found: decoded(json, found)))), none)
 
 
 def _said(text: Column) -> Column:

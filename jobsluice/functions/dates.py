@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from jobsluice.functions.clean import collapse, strip
+from jobsluice.functions.clean import collapse, let, strip
 from jobsluice.settings import DEFAULT, Settings
 
 DAY = 86_400
@@ -25,36 +25,50 @@ def _epoch(text: Column) -> Column:
 
 def _iso(text: Column) -> Column:
     """ISO date or date-time; without an offset it is UTC."""
-    full = F.regexp_replace(text, r"([+\-]\d{2})(\d{2})$", "$1:$2")
-    zoned = F.when(full.rlike(r":\d{2}.*(?:Z|[+\-]\d{2}:\d{2})$"), full).otherwise(
-        F.when(F.length(full) > 10, F.concat(full, F.lit("Z"))))
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.coalesce(
-        _epoch(zoned),
-        _epoch(F.concat(F.substring(text, 1, 19), F.lit("Z"))),
-        _epoch(F.concat(F.substring(text, 1, 10), F.lit("T00:00:00Z")))))
+    def read(full: Column) -> Column:
+        zoned = F.when(full.rlike(r":\d{2}.*(?:Z|[+\-]\d{2}:\d{2})$"), full).otherwise(
+            F.when(F.length(full) > 10, F.concat(full, F.lit("Z"))))
+        return F.coalesce(
+            _epoch(zoned),
+            _epoch(F.concat(F.substring(text, 1, 19), F.lit("Z"))),
+            _epoch(F.concat(F.substring(text, 1, 10), F.lit("T00:00:00Z"))))
+
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), let(
+        F.regexp_replace(text, r"([+\-]\d{2})(\d{2})$", "$1:$2"), read))
+
+
+def _prose(low: Column, as_of: int | Column) -> Column:
+    """``posted 3+ days ago`` in lower case; null when no age is named."""
+    days = F.regexp_extract(low, r"(\d+)\+?\s*day", 1)
+    age = (F.when(low.contains("today") | low.contains("just posted"), 0)
+           .when(low.contains("yesterday"), 1)
+           .when(days != "", F.coalesce(days.try_cast("bigint"), F.lit(-1))))
+    return let(age.cast("bigint"), lambda n: F.when(n.isNotNull(), F.coalesce(
+        F.when(n >= 0, at(as_of) - n * DAY), F.lit(0).cast("bigint"))))
 
 
 def parse_date(value: Column, as_of: int | Column) -> Column:
     """Seconds, milliseconds, prose ages and ISO text; 0 when nothing reads."""
-    text = strip(value)
-    low = F.lower(text)
-    number = text.try_cast("double")
-    seconds = F.when(number > MILLIS_ABOVE, number / 1000).otherwise(number)
-    bounded = F.when((seconds > EARLIEST) & (seconds < LATEST), seconds.cast("bigint"))
-    days = F.regexp_extract(low, r"(\d+)\+?\s*day", 1)
-    parsed = (
-        F.when(text.rlike(r"^-?\d+(?:\.\d+)?(?:[Ee]\+?\d+)?$"), bounded)
-        .when(low.contains("today") | low.contains("just posted"), at(as_of))
-        .when(low.contains("yesterday"), at(as_of) - DAY)
-        .when(days != "", at(as_of) - days.try_cast("bigint") * DAY)
-        .otherwise(_iso(text))
-    )
-    return F.coalesce(parsed, F.lit(0).cast("bigint"))
+    def bounded(number: Column) -> Column:
+        seconds = F.when(number > MILLIS_ABOVE, number / 1000).otherwise(number)
+        return F.when((seconds > EARLIEST) & (seconds < LATEST), seconds.cast("bigint"))
+
+    def read(text: Column) -> Column:
+        # An ISO text names no age; it is told first, as most dates are one.
+        return (
+            F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}(?:T[\d:.+\-]*Z?)?$"), _iso(text))
+            .when(text.rlike(r"^-?\d+(?:\.\d+)?(?:[Ee]\+?\d+)?$"),
+                  let(text.try_cast("double"), bounded))
+            .when(text != "", F.coalesce(let(F.lower(text), lambda low: _prose(low, as_of)),
+                                         _iso(text))))
+
+    return F.coalesce(let(strip(value), read), F.lit(0).cast("bigint"))
 
 
 def first_date(*values: Column, as_of: int | Column) -> Column:
     """The first value that reads as a date, else 0."""
-    parsed = [F.nullif(parse_date(v, as_of), F.lit(0)) for v in values]
+    parsed = [let(parse_date(v, as_of), lambda seconds: F.when(seconds != 0, seconds))
+              for v in values]
     return F.coalesce(*parsed, F.lit(0).cast("bigint"))
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobsluice.functions import vocab
-from jobsluice.functions.clean import clean_str, flatten_json, join_distinct_array, strip
+from jobsluice.functions.clean import (
+    clean_str, flatten_json, join_distinct_array, let, strip)
 
 LANDED_SCHEMA = (
     "source string, platform string, token string, company string, country string, "
@@ -93,21 +94,44 @@ def truthy(key: str, record: Column | str = "job") -> Column:
     return ~scalar(key, record).isin("", "false", "0", "null", "[]", "{}")
 
 
+LABELS = "struct<" + ", ".join(f"{k}: string" for k in vocab.LABEL_KEYS) + ">"
+
+
+def is_object(path: str, record: Column | str) -> Column:
+    """Only an object reads as a struct."""
+    return F.try_variant_get(record, path, LABELS).isNotNull()
+
+
+def label_at(path: str, record: Column | str) -> Column:
+    """The scalar at a path as text, or the first label-like field of the object there."""
+    def first(fields: Column) -> Column:
+        said = F.filter(F.array(*[strip(fields[k]) for k in vocab.LABEL_KEYS]), lambda x: x != "")
+        return F.when(fields.isNotNull(), F.coalesce(F.get(said, 0), F.lit(""))).otherwise(
+            clean_str(F.try_variant_get(record, path, "string")))
+
+    # The fields are looked up in one go.
+    return let(F.try_variant_get(record, path, LABELS), first)
+
+
 def label_of(value: Column) -> Column:
     """A scalar as text, or an object's first label-like field."""
-    fields = [F.nullif(strip(F.try_variant_get(value, path_of(k), "string")), F.lit(""))
-              for k in vocab.LABEL_KEYS]
-    is_object = F.schema_of_variant(value).startswith("OBJECT")
-    return F.when(is_object, F.coalesce(*fields, F.lit(""))).otherwise(
-        clean_str(F.try_variant_get(value, "$", "string")))
+    return label_at("$", value)
 
 
 def label(key: str, record: Column | str = "job") -> Column:
     """Clean text of a value that may be a scalar, an object or a list of either."""
-    many = F.try_variant_get(record, path_of(key), "array<variant>")
-    one = F.try_variant_get(record, path_of(key), "variant")
-    said = F.filter(F.transform(many, label_of), lambda x: x != "")
-    return F.coalesce(F.array_join(said, ", "), label_of(one), F.lit(""))
+    path = path_of(key)
+
+    def text(value: Column) -> Column:
+        said = F.filter(F.transform(F.try_variant_get(record, path, "array<variant>"), label_of),
+                        lambda x: x != "")
+        # Objects and lists read as JSON; so may a scalar, and is told from them there.
+        return (F.when(value.startswith("["), F.coalesce(
+                    F.array_join(said, ", "), label_at(path, record)))
+                .when(value.startswith("{"), label_at(path, record))
+                .otherwise(clean_str(value)))
+
+    return let(F.try_variant_get(record, path, "string"), text)
 
 
 def place(*parts: Column) -> Column:
@@ -121,17 +145,17 @@ def one(col: Column) -> Column:
 
 def each(key: str, *fields: str, record: Column | str = "job") -> Column:
     """For each object of a list, its named fields joined; scalars read as they are."""
-    def text(value: Column) -> Column:
-        if not fields:
-            return label_of(value)
-        parts = [scalar(f, value) for f in fields]
-        return join_distinct_array(F.array(*parts))
-    return F.transform(items(key, record), text)
+    if not fields:
+        return F.transform(items(key, record), label_of)
+    shape = "array<struct<" + ", ".join(f"`{f}`: string" for f in fields) + ">>"
+    found = F.coalesce(F.try_variant_get(record, path_of(key), shape), F.array().cast(shape))
+    return F.transform(found, lambda x: join_distinct_array(F.array(*[x[f] for f in fields])))
 
 
 def _fragments(keys: list[str], record: Column | str) -> Column:
-    texts = [F.to_json(F.try_variant_get(record, path_of(k), "variant")) for k in keys]
-    return F.concat(F.lit("["), F.concat_ws(",", *texts), F.lit("]"))
+    """The record's fields of these names as JSON, all looked up in one go."""
+    shape = "struct<" + ", ".join(f"{k}: variant" for k in keys) + ">"
+    return F.to_json(F.try_variant_get(record, "$", shape))
 
 
 def flat(keys: list[str], record: Column | str = "job") -> Column:

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobsluice.functions import clean
+from jobsluice.functions.dates import first_date
 from jobsluice.operators.discovery import board_evidence
 from jobsluice.plans.run import empty_state, run
 from jobsluice.sources import trackers
-from jobsluice.sources.base import LANDED_SCHEMA, POSTING_SCHEMA
+from jobsluice.sources.base import LANDED_SCHEMA, POSTING_SCHEMA, flat, label, records, scalar
+from jobsluice.sources.careers import embedded_postings
+from jobsluice.sources.details import extract_descriptions
+from jobsluice.sources.json_boards import resolve_multi_location
 from jobsluice.streaming import increment
 
 T0 = 1793534400
@@ -87,3 +91,32 @@ def test_python_decodes_rows_not_tables(spark, tmp_path, monkeypatch):
     assert {(r["company"], r["url"]) for r in rows} == {
         (f"A & B {i}", f"https://a.io/{i}?a=1&b=2") for i in range(500)}
     assert max(int(p.read_text()) for p in tmp_path.iterdir()) < 200
+
+
+def test_a_date_reads_its_text_once(spark):
+    jobs = records(spark.createDataFrame([("[]",)], "body string"), "$")
+    dated = jobs.select(first_date(scalar("a"), scalar("b"), as_of=T0).alias("d"))
+    assert plan(dated).count("try_variant_get") == 3  # with the one that finds the records
+
+
+def test_fields_under_many_keys_are_looked_up_at_once(spark):
+    jobs = records(spark.createDataFrame(
+        [('[{"term": "x", "location": {"name": "A \\"1\\""}, "offices": [true, {"name": ""}, 3]},'
+          '{"offices": [[[["in", ["out"]]]], "B", {"a": "C"}, {"a": "D"}, {"a": "E"}]}, 5]',)],
+        "body string"), "$")
+    found = jobs.select(flat(["location", "offices"]).alias("out"))
+    assert plan(found).count("try_variant_get") == 2
+    assert [r["out"] for r in found.collect()] == [
+        ['A "1"', "remote", ""], ["in", "B", "C", "D", "E"], []]
+
+
+def test_labels_of_every_shape(spark):
+    jobs = records(spark.createDataFrame([(json.dumps([
+        {"a": " x "}, {"a": {"city": "", "title": "t", "text": " u "}}, {"a": ["p", {"name": "q"}]},
+        {"a": "[s"}, {"a": "{s"}, {"a": []}, {"a": {}}, {"a": None}, {"a": 5}, {}, "a"]),)],
+        "body string"), "$")
+    got = jobs.select(label("a").alias("a")).collect()
+    assert [r["a"] for r in got] == ["x", "u", "p, q", "[s", "{s", "", "", "", "5", "", ""]
+    # The fields of an object are read in one go.
+    assert "schema_of_variant" not in plan(jobs.select(label("a")))
+    assert "['city']" not in plan(jobs.select(label("a")))
