@@ -120,3 +120,13 @@ def test_labels_of_every_shape(spark):
     # The fields of an object are read in one go.
     assert "schema_of_variant" not in plan(jobs.select(label("a")))
     assert "['city']" not in plan(jobs.select(label("a")))
+
+
+def test_python_reads_a_detail_once(spark):
+    rows = spark.createDataFrame([("1", "https://a.b/1", "")],
+                                 "uid string, url string, inline_description string")
+    details = spark.createDataFrame([("https://a.b/1", 1, "<p>a &amp;amp; b</p>")],
+                                    "url string, fetched_at long, body string")
+    found = extract_descriptions(rows, details, T0)
+    assert plan(found).count("_decode_twice(") == 1 and plan(found).count("job_nodes(") == 1
+    assert [(r["uid"], r["text"]) for r in found.collect()] == [("1", "a & b")]
