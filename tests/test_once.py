@@ -122,6 +122,14 @@ def test_labels_of_every_shape(spark):
     assert "['city']" not in plan(jobs.select(label("a")))
 
 
+def test_postings_of_a_page_are_parsed_once(spark):
+    pages = spark.createDataFrame([("s", "u", 1, ['{"title": "A"}', '{"title": ""}', "{"])],
+                                  "source string, url string, fetched_at long, nodes array<string>")
+    found = embedded_postings(pages, T0)
+    assert plan(found).count("parsejson") == 1
+    assert [(r["pos"], r["title"]) for r in found.collect()] == [(0, "A")]
+
+
 def test_python_reads_a_detail_once(spark):
     rows = spark.createDataFrame([("1", "https://a.b/1", "")],
                                  "uid string, url string, inline_description string")
