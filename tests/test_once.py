@@ -138,3 +138,19 @@ def test_python_reads_a_detail_once(spark):
     found = extract_descriptions(rows, details, T0)
     assert plan(found).count("_decode_twice(") == 1 and plan(found).count("job_nodes(") == 1
     assert [(r["uid"], r["text"]) for r in found.collect()] == [("1", "a & b")]
+
+
+def test_places_of_a_detail_are_parsed_once(spark):
+    rows = spark.createDataFrame(
+        [("c", title, place, "https://x.y/en-US/Jobs/job/1", uid, "s", False, 0, [], [], "", "",
+          "", "") for uid, title, place in [("1", "ML Intern", "2 Locations"), ("2", "Cook", "A")]],
+        POSTING_SCHEMA)
+    body = json.dumps({"jobPostingInfo": {"location": "A", "additionalLocations": ["B"]}})
+    details = spark.createDataFrame(
+        [("s", "/job/1", 1, body)],
+        "source string, external_path string, fetched_at long, body string")
+    found = resolve_multi_location(rows, details, T0)
+    # The rows, whose keys are counted before they are joined, are stored by then.
+    assert plan(found).count("parsejson") == 1
+    assert plan(found).count("rlike") == 0
+    assert {r["uid"]: r["location"] for r in found.collect()} == {"1": "A, B", "2": "A"}
