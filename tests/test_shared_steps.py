@@ -1,12 +1,15 @@
 """What a run's steps share is made once: keys, fingerprints and terms."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from jobsluice.functions import identity, vocab
 from jobsluice.functions.boards import board_of, with_board
 from jobsluice.operators import state
 from jobsluice.operators.roles import KEYS, with_role_keys
-from jobsluice.sources.base import POSTING_SCHEMA
+from jobsluice.sources.base import LANDED_SCHEMA, POSTING_SCHEMA
+from jobsluice.streaming import increment
 
 T0 = 1793534400
 
@@ -68,3 +71,24 @@ def test_patterns_of_boards_are_tried_on_their_anchors(spark):
     assert list(vocab.BOARD_ANCHORS) == patterns
     tested = plan(with_board(rows, keep_all=True))
     assert all(anchor in tested for anchor in vocab.BOARD_ANCHORS.values())
+
+
+def test_a_streamed_run_publishes_stored_tables(spark, tmp_path, monkeypatch):
+    sources = spark.createDataFrame(
+        [], "label string, name string, platform string, token string, kind string, "
+        "ai_native boolean, location string, country string")
+    body = json.dumps({"jobs": [{
+        "id": 1, "title": "ML Intern", "location": {"name": "Toronto, ON"},
+        "absolute_url": "https://jobs.lever.co/acme/0000abcd-0000-4000-8000-000000000001"}]})
+    spark.createDataFrame([("Acme", "greenhouse", "acme", "Acme", "", T0, 0, True, body)],
+                          LANDED_SCHEMA).write.parquet(f"{tmp_path}/landing")
+    met = {}
+    monkeypatch.setattr(increment, "publish_state", lambda after, *rest: met.update({
+        name: (plan(getattr(after, name)), getattr(after, name).count())
+        for name in ("jobs", "role_keys", "discovered", "candidates")}))
+    increment.run_increment(spark, f"{tmp_path}/landing", f"{tmp_path}/state",
+                            f"{tmp_path}/checkpoint", sources, T0).awaitTermination()
+    # Digests and writes read each of them: nothing may be left to do.
+    assert not any("join" in made or "aggregate" in made for made, _ in met.values())
+    assert {name: n for name, (_, n) in met.items()} == {
+        "jobs": 1, "role_keys": 3, "discovered": 1, "candidates": 1}
