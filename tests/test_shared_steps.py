@@ -1,13 +1,14 @@
-"""What a run's steps share is made once: keys, fingerprints and terms."""
+"""What a run's steps share is made once: keys, fingerprints, terms, dates and links."""
 
 import json
 
 from pyspark.sql import functions as F
 
-from jobsluice.functions import identity, vocab
+from jobsluice.functions import clean, identity, vocab
 from jobsluice.functions.boards import board_of, with_board
 from jobsluice.operators import state
 from jobsluice.operators.roles import KEYS, with_role_keys
+from jobsluice.sources import careers, sitemaps
 from jobsluice.sources.base import LANDED_SCHEMA, POSTING_SCHEMA
 from jobsluice.streaming import increment
 
@@ -92,3 +93,40 @@ def test_a_streamed_run_publishes_stored_tables(spark, tmp_path, monkeypatch):
     assert not any("join" in made or "aggregate" in made for made, _ in met.values())
     assert {name: n for name, (_, n) in met.items()} == {
         "jobs": 1, "role_keys": 3, "discovered": 1, "candidates": 1}
+
+
+def test_entries_of_sitemaps_are_dated_once(spark):
+    root = "https://x.io/sitemap.xml"
+    entry = "<url><loc>https://x.io/{}/1</loc><lastmod>2026-10-31</lastmod></url>"
+    child = "https://x.io/jobs.xml"
+    files = spark.createDataFrame(
+        [("a", "Acme", root, p, T0, root, b) for p, b in [
+            (None, f"<urlset>{entry.format('jobs')}{entry.format('about')}</urlset>"),
+            ("ABOUT", f"<urlset>{entry.format('jobs')}{entry.format('about')}</urlset>")]]
+        + [("b", "Acme", root, "", T0, root,
+            f'<s:sitemapindex xmlns:s="http://s.org"><s:sitemap ><s:loc>{child}</s:loc></s:sitemap>'
+            "</s:sitemapindex>"),
+           ("b", "Acme", root, "", T0, child, f"<urlset>{entry.format('jobs')}</urlset>")],
+        "source string, company string, sitemap_url string, pattern string, fetched_at bigint, "
+        "url string, body string")
+    found = sitemaps.sitemap_entries(files, T0)
+    assert plan(found).count("just posted") == 1
+    assert sorted((r["source"], r["loc"], r["modified"] > 0) for r in found.collect()) == [
+        ("a", "https://x.io/about/1", True), ("a", "https://x.io/jobs/1", True),
+        ("b", "https://x.io/jobs/1", True)]
+    # A file that names no children is not parsed for them.
+    assert sitemaps.CHILD_TAG in plan(found)
+
+
+def test_links_of_careers_pages_are_made_once(spark):
+    pages = spark.createDataFrame(
+        [("s", "Acme", "https://x.io/careers", T0, "<a href='/jobs/1'>Engineer</a>"
+          "<a href='https://y.com/1'>Other</a><a href='https://y.com/job/2'>A job</a>")],
+        "source string, company string, url string, fetched_at bigint, html string")
+    found = careers.page_links(pages)
+    # The rules of relative links stand in the plan once, whatever reads the link.
+    once = plan(pages.select(clean.absolute_url(F.col("url"), F.col("html"))))
+    marker = "|$)"
+    assert 0 < plan(found).count(marker) <= once.count(marker)
+    assert sorted(r["url"] for r in found.collect()) == [
+        "https://x.io/jobs/1", "https://y.com/job/2"]
